@@ -52,5 +52,7 @@ def standard_ids(text: Column) -> Column:
 
 
 def reference_ids(text: Column) -> Column:
+    """All identifiers. Each kind holds a digit, so texts without one are skipped."""
     every = F.concat(function_ids(text), universal_ids(text), standard_ids(text))
-    return F.array_sort(F.array_distinct(F.coalesce(every, F.array().cast("array<string>"))))
+    return F.when(text.rlike(r"\p{Nd}"), F.sort_array(F.array_distinct(every))) \
+            .otherwise(F.array().cast("array<string>"))

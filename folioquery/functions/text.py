@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -9,15 +10,33 @@ from pyspark.sql import Column, functions as F
 from folioquery.functions import fixed_values as fv
 
 
+_OTHER_WHITESPACE = fv.WHITESPACE.replace(" ", "")
+
+
 def strip(col: Column, chars: str = fv.WHITESPACE) -> Column:
-    """Remove any of ``chars`` from both ends."""
-    return F.btrim(col, F.lit(chars))
+    """Remove any of ``chars`` from both ends.
+
+    Trimming spaces is cheap, trimming a set of characters is not; so for
+    whitespace the set is tried only where it shows at an end.
+    """
+    if chars != fv.WHITESPACE:
+        return F.btrim(col, F.lit(chars))
+    plain = F.trim(col)
+    ends = F.concat(F.substring(plain, 1, 1), F.substring(plain, -1, 1))
+    odd = F.translate(ends, _OTHER_WHITESPACE, "") != ends
+    return F.when(odd, F.btrim(plain, F.lit(chars))).otherwise(plain)
 
 
 def lstrip(col: Column, chars: str = fv.WHITESPACE) -> Column:
     return F.ltrim(col, F.lit(chars))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where the
+    body uses it many times or inside a lambda."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def blank_to_null(col: Column) -> Column:
     return F.when(strip(col) != "", col)
 
@@ -34,8 +53,10 @@ def sparse_tokens(col: Column) -> Column:
 
     Newlines and tabs stay inside tokens; tokens of only whitespace vanish.
     """
-    flat = F.translate(F.lower(col), fv.TOKEN_PUNCTUATION, " " * len(fv.TOKEN_PUNCTUATION))
-    return F.filter(F.split(flat, " ", -1), lambda t: strip(t) != "")
+    flat = F.regexp_replace(F.lower(col), "[" + re.escape(fv.TOKEN_PUNCTUATION) + "]", " ")
+    # A token starting with a visible ASCII character cannot be blank.
+    return F.filter(F.split(flat, " ", -1),
+                    lambda t: ((t >= "!") & (t < "\x7f")) | (strip(t) != ""))
 
 
 def set_tokens(col: Column) -> Column:
@@ -47,9 +68,8 @@ def set_tokens(col: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Set similarity of two distinct-token arrays; 0 when either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0),
-                  both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    ratio = bind(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), ratio).otherwise(F.lit(0.0))
 
 
 def sentences(col: Column) -> Column:

@@ -47,6 +47,13 @@ def join_small(big: DataFrame, small: DataFrame, key: str, hot: str | None = Non
     return spread_out.join(salted, [key, "salt"]).drop("salt")
 
 
+def pick_rows(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of a large store whose key is wanted; the store is not shuffled
+    while the wanted keys are few."""
+    wanted = ids.select(key).distinct()
+    return store.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, key, "left_semi")
+
+
 def top_rows(df: DataFrame, key, order: list, k: int, rank: str = "rank") -> DataFrame:
     """Best ``k`` rows per key, ranked from 1.
 

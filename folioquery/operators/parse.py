@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.refs import reference_ids
 from folioquery.functions.text import lines, lstrip, strip
+from folioquery.session import spread
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def _latest(flag: Column, value: Column, default: Column | None = None) -> Colum
 def document_lines(docs: DataFrame) -> DataFrame:
     """(file_id, value) -> (file_id, line_no, s): one stripped line per row."""
     return (
-        docs.select("file_id", F.posexplode(lines(F.col("value"))).alias("line_no", "raw"))
+        spread(docs).select("file_id", F.posexplode(lines(F.col("value"))).alias("line_no", "raw"))
         .select("file_id", "line_no", strip(F.col("raw")).alias("s"))
     )
 
@@ -91,7 +92,7 @@ def _headings(numbered: DataFrame, options: ParseOptions) -> DataFrame:
     )
     return (
         named.withColumn("opens", opens)
-        .withColumn("c", strip(lstrip(s, "> ")))
+        .withColumn("c", F.when(s.startswith(">"), strip(lstrip(s, "> "))).otherwise(s))
         .withColumn("is_head", F.col("level") > 0)
         .withColumn("is_pipe", (F.col("level") == 0) & s.startswith("|"))
         .withColumn("caption", F.when(F.col("is_head") | F.col("is_pipe"), None)
@@ -257,7 +258,7 @@ def parse_chunks(docs: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
         .groupBy("file_id", "run", "kind")
         .agg(
             F.min("line_no").alias("first_line"),
-            F.array_sort(F.collect_list(F.struct("line_no", "c"))).alias("body"),
+            F.sort_array(F.collect_list(F.struct("line_no", "c"))).alias("body"),
             *[F.first(x).alias(x) for x in
               ("s", "cells", "header", "doc_title", "chapter", "section", "table_no")],
         )
@@ -276,7 +277,7 @@ def parse_chunks(docs: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
     numbered = (
         runs.withColumn("n", F.count_if(~is_note).over(
             by_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-        .withColumn("notes", F.array_sort(F.collect_list(F.when(is_note, note)).over(in_file)))
+        .withColumn("notes", F.sort_array(F.collect_list(F.when(is_note, note)).over(in_file)))
         .where(~is_note)
     )
     table_rows = Window.partitionBy("file_id", "table_key")

@@ -8,13 +8,18 @@ partial counting in every task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import sparse_tokens, strip
-from folioquery.operators.joins import join_small, top_rows
+from folioquery.operators.joins import join_small, pick_rows, top_rows
+from folioquery.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -22,6 +27,7 @@ class SparseIndex:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    n_docs: DataFrame
 
     def write(self, path: str) -> "SparseIndex":
         """Store the index and return one that reads the stored tables.
@@ -32,46 +38,43 @@ class SparseIndex:
         spark = self.postings.sparkSession
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
-        derived = from_postings(stored, self.stats.select("n_docs"))
-        derived.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        counted = SparseIndex(stored, spark.read.parquet(f"{path}/terms"), derived.stats)
-        _stats(stored, counted.terms, self.stats.select("n_docs")) \
+        from_postings(stored, self.n_docs).terms.write.mode("overwrite").parquet(f"{path}/terms")
+        _stats(stored, spark.read.parquet(f"{path}/terms"), self.n_docs) \
             .write.mode("overwrite").parquet(f"{path}/stats")
         return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> SparseIndex:
-    return SparseIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
+    postings, terms, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats"))
+    return SparseIndex(postings, terms, stats, stats.select("n_docs"))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Token array -> array of (term, tf), counted within the row.
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tokens) batches -> one row per document and distinct token.
 
-    Sorting brings equal tokens together; the start of each run and the start
-    of the next one give the count.
+    Tokens become integer codes per batch; (row, code) pairs are counted at once.
     """
-    ordered = F.array_sort(tokens)
-    n = F.size(tokens)
-
-    def runs(s: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), n - 1),
-                      lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.transform(at, lambda i, j: F.struct(
-            F.get(s, i).alias("term"),
-            (F.coalesce(F.get(at, j + 1), n) - i).cast("long").alias("tf")))
-
-    once = F.transform(F.array(ordered), runs)  # binds the sorted array once
-    return F.when(n > 0, F.get(once, 0))
+    for batch in batches:
+        ids, tokens = batch.column(0), batch.column(1)
+        lengths = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = tokens.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        width = len(coded.dictionary)
+        rows = np.repeat(np.arange(batch.num_rows), lengths)
+        pairs, times = np.unique(rows * width + coded.indices.to_numpy(), return_counts=True)
+        at = pairs // width
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(at)), coded.dictionary.take(pa.array(pairs % width)),
+             pa.array(times.astype(np.int64)), pa.array(lengths[at])],
+            names=["doc_id", "term", "tf", "dl"])
 
 
 def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) -> (doc_id, term, tf, dl). No shuffle."""
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), sparse_tokens(F.col(text_col)).alias("tokens"))
-        .select("doc_id", F.size("tokens").cast("long").alias("dl"),
-                F.explode(term_counts(F.col("tokens"))).alias("p"))
-        .select("doc_id", "p.term", "p.tf", "dl")
-    )
+    """(doc_id, text) -> (doc_id, term, tf, dl), counted in place, without a shuffle."""
+    tokens = spread(docs).select(F.col(id_col).alias("doc_id"), sparse_tokens(F.col(text_col)).alias("tokens"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return tokens.mapInArrow(_count_terms, f"doc_id {id_type}, term string, tf bigint, dl bigint")
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +92,7 @@ def _stats(postings: DataFrame, terms: DataFrame, n_docs: DataFrame) -> DataFram
 
 def from_postings(postings: DataFrame, n_docs: DataFrame) -> SparseIndex:
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return SparseIndex(postings, terms, _stats(postings, terms, n_docs))
+    return SparseIndex(postings, terms, _stats(postings, terms, n_docs), n_docs)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SparseIndex:
@@ -101,9 +104,8 @@ def question_terms(questions: DataFrame, id_col: str = "query_id", text_col: str
     """(query_id, term, times): repeated terms count every time they occur."""
     cleaned = strip(F.lower(F.col(text_col)))
     return (
-        questions.select(F.col(id_col).alias("query_id"),
-                         F.explode(term_counts(sparse_tokens(cleaned))).alias("p"))
-        .select("query_id", "p.term", F.col("p.tf").alias("times"))
+        questions.select(F.col(id_col).alias("query_id"), F.explode(sparse_tokens(cleaned)).alias("term"))
+        .groupBy("query_id", "term").agg(F.count("*").alias("times"))
     )
 
 
@@ -112,8 +114,7 @@ def with_idf(q_terms: DataFrame, index: SparseIndex) -> DataFrame:
 
     The vocabulary is cut to the questions' terms before anything else.
     """
-    wanted = q_terms.select("term").distinct()
-    known = index.terms.join(wanted, "term", "left_semi")
+    known = pick_rows(index.terms, q_terms, "term")
     n = index.stats.select("n_docs").scalar()
     mean_idf = index.stats.select("mean_idf").scalar()
     raw = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
@@ -129,9 +130,8 @@ def bm25_scores(questions: DataFrame, index: SparseIndex, id_col: str = "query_i
     all matches of a document meet in one task: the sum per (question,
     document) then needs no second shuffle, however common a term is.
     """
-    q_terms = with_idf(question_terms(questions, id_col, text_col), index)
-    vocabulary = q_terms.select("term").distinct()
-    hits = join_small(index.postings, vocabulary, "term").repartition("doc_id")
+    q_terms = materialize(with_idf(question_terms(questions, id_col, text_col), index), "question-terms")
+    hits = pick_rows(index.postings, q_terms, "term").repartition("doc_id")
     avgdl = index.stats.select("avgdl").scalar()
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = F.col("times") * F.col("idf") * (F.col("tf") * F.lit(k1 + 1) / norm)
