@@ -173,28 +173,35 @@ def location(chapter: Column, section: Column) -> Column:
 
 # --- html -------------------------------------------------------------------
 
+HTML_STEPS = (
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<script\b.*?</script\s*>", ""),
+    (r"(?is)<style\b.*?</style\s*>", ""),
+    (r"(?is)<head\b.*?</head\s*>", ""),
+    (r"(?is)<!doctype[^>]*>", ""),
+    (r"(?i)<h1\b[^>]*>", "\n\n# "),
+    (r"(?i)<h2\b[^>]*>", "\n\n## "),
+    (r"(?i)<h3\b[^>]*>", "\n\n### "),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)<img\b[^>]*>", "\n\n![figure](image)\n> **[TODO: MANUAL CAPTION]**\n\n"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</?(p|div|article|nav|ul|ol|footer|h1|h2|h3|table|tr|body)\b[^>]*>", "\n\n"),
+    (r"(?s)<[^>]*>", ""),
+)
+HTML_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
+    ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "'"), ("&amp;", "&"),
+)
+
+
 def html_to_markdown(col: Column) -> Column:
     """Raw page to markdown: headings, bullets and paragraphs survive.
 
     Takes the place of the external document converter: headings become
     ``#`` lines, list items ``- `` lines, images a reference plus caption stub.
     """
-    steps = (
-        (r"(?is)<!--.*?-->", ""),
-        (r"(?is)<(script|style|head)\b.*?</\1\s*>", ""),
-        (r"(?is)<!doctype[^>]*>", ""),
-        (r"(?i)<h1\b[^>]*>", "\n\n# "),
-        (r"(?i)<h2\b[^>]*>", "\n\n## "),
-        (r"(?i)<h3\b[^>]*>", "\n\n### "),
-        (r"(?i)<li\b[^>]*>", "\n- "),
-        (r"(?i)<img\b[^>]*>", "\n\n![figure](image)\n> **[TODO: MANUAL CAPTION]**\n\n"),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</?(p|div|article|nav|ul|ol|footer|h1|h2|h3|table|tr|body)\b[^>]*>", "\n\n"),
-        (r"(?s)<[^>]*>", ""),
-    )
-    for pattern, replacement in steps:
+    for pattern, replacement in HTML_STEPS:
         col = F.regexp_replace(col, pattern, replacement)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
-                         ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in HTML_ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return fix_spacing(F.regexp_replace(col, r"[ \t]*\n[ \t]*", "\n"))

@@ -105,7 +105,7 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, metric: str, schema: T
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))) \
         .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
     cells = vectors.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(n_cells)).cast("int")) \
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -167,13 +167,6 @@ def classified_lines(docs: DataFrame, options: ParseOptions = ParseOptions()) ->
     )
 
 
-def _row_cells(options: ParseOptions) -> dict[str, Column]:
-    pieces = F.split("s", r"\|", -1)
-    cells = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))),
-                        lambda x: strip(x))
-    return {"cells": F.when(F.col("kind") == "row", cells)}
-
-
 def chunk_lines(classified: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """Attach a run number to each line; lines of one run form one chunk."""
     kind, before = F.col("kind"), F.lag("kind").over(_by_line())
@@ -190,7 +183,7 @@ def chunk_lines(classified: DataFrame, options: ParseOptions = ParseOptions()) -
     rows = (
         classified.withColumn("starts", starts)
         .withColumn("first_row", (kind == "row") & F.coalesce(before != "row", F.lit(True)))
-        .withColumns(_row_cells(options))
+        .withColumn("cells", F.when(kind == "row", pipe_cells(F.col("s"))))
     )
     rule = F.col("s").contains("---")
     if options.compat:
@@ -347,10 +340,14 @@ def _chunk_columns() -> list[Column]:
         F.when(grouped, F.transform(others, row_id))
         .when(is_row, F.array().cast("array<string>")).alias("sibling_ids"),
     )
+    # Rows of a table carry consecutive numbers, so neighbours need no lookup.
+    prev_id = F.when(is_row & (n > F.col("first_n")), row_id(n - 1))
+    next_id = F.when(is_row & (n < F.col("first_n") + total - 1), row_id(n + 1))
     return [
         cid.alias("id"), "file_id", n.cast("long").alias("n"),
         F.when(has_mark, _notes_appended(text, ordered)).otherwise(text).alias("text"),
         child.alias("page_content"), refs.alias("refs"), metadata.alias("metadata"),
+        prev_id.alias("prev_id"), next_id.alias("next_id"),
     ]
 
 
@@ -372,3 +369,19 @@ def content_type_histogram(chunks: DataFrame, column: str = "metadata.content_ty
     total = F.sum("n").over(Window.partitionBy())
     return counts.withColumn("pct", F.floor(F.lit(100) * F.col("n") / total)) \
                  .select("content_type", "n", "pct")
+
+
+def line_chunks(docs: DataFrame, min_chars: int = fv.MIN_PROSE_CHARS) -> DataFrame:
+    """Every long enough line as its own prose chunk: (file_id, n, line_no, text).
+
+    For corpora whose paragraphs are lines. Numbered within the row, no shuffle.
+    """
+    numbered = F.transform(lines(F.col("value")), lambda s, i: F.struct(i.alias("line_no"), strip(s).alias("text")))
+    kept = F.filter(numbered, lambda x: F.length(x["text"]) >= min_chars)
+    return docs.select("file_id", F.posexplode(kept).alias("n", "c")).select("file_id", "n", "c.line_no", "c.text")
+
+
+def pipe_cells(line: Column) -> Column:
+    """Cells of a pipe line: what lies between its first and last pipe, trimmed."""
+    pieces = F.split(line, r"\|", -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: strip(x))
