@@ -1 +1,184 @@
+"""Queries on golden sets, judge replies and evaluation summaries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from folioquery.catalog.answers import pipeline_store
+from folioquery.catalog.base import query, table
+from folioquery.functions import fixed_values as fv
+from folioquery.operators import evaluate as ev
+from folioquery.plans.evaluate import run_evaluation
+from folioquery.providers import offline
+from folioquery.session import new_table_path
+from folioquery.sources.stores import write_eval
+
+
+@query("golden_validate", """
+WITH l AS (SELECT d.doc_id, d.text, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))
+SELECT doc_id AS index, 'not an object' AS error FROM l WHERE toxic = 1
+UNION ALL SELECT doc_id, 'missing required field ''expected_answer''' FROM l WHERE quality IS NULL
+UNION ALL SELECT doc_id, 'field ''expected_answer'' is empty or not a string' FROM l WHERE toxic = 0 AND quality = 0
+UNION ALL SELECT doc_id, 'field ''question_category'' is empty or not a string' FROM l WHERE quality IS NULL""")
+def golden_validate(spark, sf):
+    """Items from documents: unlabelled ones lack an answer and have a numeric
+    category, bad ones have a blank answer, toxic ones are not objects."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    good = F.to_json(F.struct(F.col("lang").alias("question_category"), F.col("text").alias("question"),
+                              F.when(F.col("quality") == 1, "good").otherwise(" \n").alias("expected_answer")))
+    bare = F.to_json(F.struct(F.lit(1).alias("question_category"), F.col("text").alias("question")))
+    item = F.when(F.col("toxic") == 1, "[1]").when(F.col("quality").isNull(), bare).otherwise(good)
+    return ev.golden_errors(d.select(F.col("doc_id").alias("index"), item.alias("item")))
+
+
+_K = "cast(json_extract(props, '$.k') AS INT)"
+
+
+@query("judge_parse", f"""
+SELECT event_id, CASE WHEN ok THEN score END AS faithfulness, CASE WHEN ok THEN 1.0::DOUBLE END AS relevance,
+  CASE WHEN ok THEN 'because ' || event_type ELSE 'JUDGE_FAILURE' END AS faithfulness_reasoning, NOT ok AS judge_failed
+FROM (SELECT event_id, event_type, event_type IN ('click', 'view', 'signup') AS ok, least({_K} // 20, 4) * 0.25::DOUBLE AS score FROM events)""")
+def judge_parse(spark, sf):
+    """Replies rendered from events: fenced object, array of one, array of two,
+    empty array, and a score that is no anchor."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    anchor = F.element_at(F.array(*[F.lit(a) for a in fv.SCORE_ANCHORS]), F.least(F.floor(k / 20), F.lit(4)).cast("int") + 1)
+    score = F.when(F.col("event_type") == "purchase", "0.6").otherwise(anchor)
+    why = F.concat(F.lit("because "), F.col("event_type"))
+    fields = [score.alias("faithfulness"), F.lit("1.0").alias("relevance"), F.lit("0.5").alias("completeness"), F.lit("0.0").alias("correctness")]
+    body = F.to_json(F.struct(*fields, *[why.alias(f"{m}_reasoning") for m in fv.METRICS]))
+    reply = (F.when(F.col("event_type") == "click", F.concat(F.lit("\n```json\n"), body, F.lit("\n```\n")))
+             .when(F.col("event_type") == "view", F.concat(F.lit("["), body, F.lit("]")))
+             .when(F.col("event_type") == "signup", F.concat(F.lit("```["), body, F.lit(", {}]```")))
+             .when(F.col("event_type") == "error", "[]").otherwise(body))
+    replies = table(spark, sf, "events").select("event_id", reply.alias("reply"))
+    return ev.scored(replies).select("event_id", "faithfulness", "relevance", "faithfulness_reasoning", "judge_failed")
+
+
+@query("index_validate", """
+WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT doc_id AS index, value, event_id IS NULL AS judge_failed FROM labels LEFT JOIN r ON user_id = doc_id AND k = 1""")
+def index_validate(spark, sf):
+    """Labels are requested, events are returned results with many duplicates."""
+    returned = table(spark, sf, "events").select(F.col("user_id").alias("index"), F.col("event_id").alias("pos"), "value")
+    return ev.validated_results(table(spark, sf, "labels").select(F.col("doc_id").alias("index")), returned)
+
+
+@query("judge_route", """
+SELECT doc_id, CASE WHEN source = 'src1' THEN 'failed' WHEN lang = 'fr' THEN 'negative' ELSE 'standard' END AS route,
+  CASE WHEN length(text) > 1000 THEN left(text, 1000) || chr(10) || chr(10) || '[... CONTEXT TRUNCATED AT SAFETY LIMIT ...]' ELSE text END AS context
+FROM documents""")
+def judge_route(spark, sf):
+    answer = F.when(F.col("source") == "src1", fv.ERROR_SENTINEL).otherwise("ok")
+    category = F.when(F.col("lang") == "fr", " Negative ").otherwise(F.col("lang"))
+    return table(spark, sf, "documents").select(
+        "doc_id", ev.judge_route(answer, category).alias("route"), ev.truncated_context(F.col("text"), 1000).alias("context"))
+
+
+def records(spark, sf) -> DataFrame:
+    """Evaluation records: documents as items, labels as judge results."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    q, t = F.col("quality").cast("double"), F.col("toxic").cast("double")
+    return d.select(
+        F.col("doc_id").alias("index"), F.col("lang").alias("category"), (F.col("n_chars") > 1000).cast("int").alias("retrieval_hit"),
+        q.alias("faithfulness"), (1 - t).alias("relevance"), (q * 0.5).alias("completeness"), ((q + 1 - t) / 2).alias("correctness"),
+        q.isNull().alias("judge_failed"))
+
+
+_REC = """r AS (SELECT lang AS category, (n_chars > 1000)::INT AS hit, quality::DOUBLE AS fa, (1 - toxic)::DOUBLE AS re, quality * 0.5::DOUBLE AS cp,
+  (quality + 1 - toxic) / 2::DOUBLE AS cr, quality IS NULL AS failed FROM documents LEFT JOIN labels USING (doc_id))"""
+_MEANS = ", ".join(f"round(avg({c}), 9) AS {m}" for c, m in zip(("fa", "re", "cp", "cr"), fv.METRICS))
+
+
+def _rounded(df: DataFrame, *extra: str) -> DataFrame:
+    for c in (*fv.METRICS, *extra):
+        df = df.withColumn(c, F.round(c, 9))
+    return df
+
+
+@query("eval_summary", f"""WITH {_REC}
+SELECT count(*) AS n, count_if(failed) AS n_failed, count_if(NOT failed) AS n_valid, round(avg(hit) * 100, 9) AS hit_pct, {_MEANS} FROM r""")
+def eval_summary(spark, sf):
+    return _rounded(ev.summary(records(spark, sf)), "hit_pct")
+
+
+@query("eval_by_category", f"WITH {_REC} SELECT category, count(*) AS n, {_MEANS} FROM r WHERE NOT failed GROUP BY category")
+def eval_by_category(spark, sf):
+    return _rounded(ev.by_category(records(spark, sf)))
+
+
+@query("eval_rollup", f"""WITH {_REC}
+SELECT category, grouping(category) AS is_total, count(*) AS n, {_MEANS} FROM r WHERE NOT failed GROUP BY ROLLUP (category)""")
+def eval_rollup(spark, sf):
+    return _rounded(ev.rollup_summary(records(spark, sf)))
+
+
+@query("eval_records", """
+SELECT 'run' AS run_id, item_id AS index, 'benchmark' AS category, b.text AS question, 'none' AS expected_answer, c.text AS generated_answer,
+  coalesce((length(c.text) > 100)::INT, 0) AS retrieval_hit, quality::DOUBLE AS faithfulness, CASE WHEN quality IS NULL THEN '' ELSE 'label' END AS faithfulness_reasoning,
+  coalesce(quality IS NULL, true) AS judge_failed
+FROM benchmark b LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) c ON conv_id = item_id LEFT JOIN labels ON doc_id = item_id""")
+def eval_records(spark, sf):
+    golden = table(spark, sf, "benchmark").select(F.col("item_id").alias("index"), F.lit("benchmark").alias("question_category"),
+                                                  F.col("text").alias("question"), F.lit("none").alias("expected_answer"))
+    answers = table(spark, sf, "conversations").where("turn = 0").select(
+        F.col("conv_id").alias("index"), F.col("text").alias("generated_answer"), F.lit("ctx").alias("retrieved_context"),
+        (F.length("text") > 100).alias("retrieval_hit"))
+    q = F.col("quality").cast("double")
+    scores = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("index"), F.lit(False).alias("judge_failed"),
+        *[c for m in fv.METRICS for c in (q.alias(m), F.lit("label").alias(f"{m}_reasoning"))])
+    return ev.eval_records("run", golden, answers, scores).select(
+        "run_id", "index", "category", "question", "expected_answer", "generated_answer", "retrieval_hit", "faithfulness",
+        "faithfulness_reasoning", "judge_failed")
+
+
+def verified_records(spark, sf) -> DataFrame:
+    """Events as verified records: errors and purchases are high risk."""
+    high = F.col("event_type").isin("error", "purchase")
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("category"), F.when(high, "HIGH").otherwise("LOW").alias("risk_level"),
+        high.cast("int").alias("minicheck_triggered"), (high & (F.col("value") > 50)).cast("int").alias("retry_triggered"))
+
+
+@query("verification_summary", """
+SELECT count(*) AS n, count_if(high) AS n_high, count_if(high) AS n_checked, count_if(high AND value > 50) AS n_retries,
+  round(CASE WHEN count_if(high) > 0 THEN count_if(high AND value > 50) / count_if(high) * 100 ELSE 0.0 END, 9) AS retry_pct
+FROM (SELECT value, event_type IN ('error', 'purchase') AS high FROM events)""")
+def verification_summary(spark, sf):
+    return ev.verification_summary(verified_records(spark, sf)).withColumn("retry_pct", F.round("retry_pct", 9))
+
+
+@query("high_risk_by_category", """
+SELECT event_type AS category, count(*) AS n, CASE WHEN event_type IN ('error', 'purchase') THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS high_pct
+FROM events GROUP BY event_type""")
+def high_risk_by_category(spark, sf):
+    return ev.high_risk_by_category(verified_records(spark, sf))
+
+
+@query("case_finder", """
+SELECT item_id AS index, text AS question FROM benchmark WHERE contains(lower(text), 'the ') ORDER BY item_id LIMIT 1""")
+def case_finder(spark, sf):
+    golden = table(spark, sf, "benchmark").select(F.col("item_id").alias("index"), F.col("text").alias("question"))
+    return ev.find_case(golden, "THE ")
+
+
+@query("eval_sinks", """
+SELECT doc_id AS index, lang AS category, (n_chars > 1000)::INT AS retrieval_hit, quality::DOUBLE AS faithfulness FROM documents LEFT JOIN labels USING (doc_id)""")
+def eval_sinks(spark, sf):
+    """Trace and metrics files written; the metrics file read back."""
+    out = new_table_path(spark, "eval")
+    rows = records(spark, sf).withColumn("generated_answer", F.lit("a, \"quoted\"\nanswer"))
+    write_eval(rows, f"{out}/trace", f"{out}/metrics")
+    return spark.read.csv(f"{out}/metrics", header=True, schema=rows.drop("generated_answer").schema) \
+                .select("index", "category", "retrieval_hit", "faithfulness")
+
+
+@query("evaluation_plan")
+def evaluation_plan(spark, sf):
+    """Every benchmark item answered, judged by the stand-in and recorded."""
+    golden = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("index"), F.lit("factual").alias("question_category"), F.col("text").alias("question"),
+        F.col("text").alias("expected_answer"), F.array(F.struct(
+            F.lit("Unknown Framework").alias("document_title"), F.lit("").alias("section_title"), F.col("text").alias("raw_text"))).alias("sources"))
+    return run_evaluation("run", golden, pipeline_store(spark, sf), offline())

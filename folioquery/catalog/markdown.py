@@ -82,7 +82,7 @@ chunks AS (
   SELECT k AS file_id, n, id, body || CASE WHEN noted THEN notes ELSE '' END AS text,
     CASE content_type WHEN 'figure' THEN 'Doc: Order ' || k || ' | Visual: ' || section || ' | ' || split_part(body, ' | Details: ', 2) ELSE body END AS page_content,
     refs, 'Order ' || k AS source, 'Overview' AS chapter, section, content_type,
-    CASE WHEN content_type = 'list' THEN 2 END AS list_size, NULL AS table_id, NULL AS table_row, NULL AS table_total, NULL AS prev_id, NULL AS next_id
+    CASE WHEN content_type = 'list' THEN 2 END AS list_size, NULL::VARCHAR AS table_id, NULL::BIGINT AS table_row, NULL::BIGINT AS table_total, NULL::VARCHAR AS prev_id, NULL::VARCHAR AS next_id
   FROM plain JOIN notes USING (k)
   UNION ALL
   SELECT k, 2 + r, 'f' || k || '_t1_r' || (2 + r),

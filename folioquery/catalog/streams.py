@@ -1 +1,48 @@
+"""Streaming queries: the given tables arrive as a file stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioquery.catalog.answers import HISTORY_SQL, pipeline_store
+from folioquery.catalog.base import query, table
+from folioquery.catalog.logs import ORDER, PAIR_SQL, log_lines
+from folioquery.catalog.retrieval import questions
+from folioquery.operators.memory import turns_from_messages
+from folioquery.plans.ask import answer
+from folioquery.providers import offline
+from folioquery.session import new_table_path
+from folioquery.streaming.logs import answer_stream, last_carry, memory_stream, pair_stream
+
+
+def _as_stream(spark, df, name):
+    """Hand a table to a stream through the work folder."""
+    path = new_table_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query("stream_log_pairing", f"WITH {PAIR_SQL} SELECT event_id, risk, total FROM pairs")
+def stream_log_pairing(spark, sf):
+    out = new_table_path(spark, "pair-stream")
+    pair_stream(_as_stream(spark, log_lines(spark, sf), "lines"), ORDER, out, f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/pairs").select("event_id", "risk", "total")
+
+
+@query("stream_memory", f"WITH {HISTORY_SQL} SELECT conv_id, turn, length(line) AS n_chars FROM kept")
+def stream_memory(spark, sf):
+    out = new_table_path(spark, "memory-stream")
+    turns = turns_from_messages(table(spark, sf, "conversations"))
+    q = memory_stream(_as_stream(spark, turns, "turns"), out, f"{out}/checkpoint")
+    q.awaitTermination()
+    line = F.length("human") + F.length("assistant") + 19
+    return last_carry(spark, q, out).select("conv_id", "turn", line.alias("n_chars"))
+
+
+@query("stream_answers")
+def stream_answers(spark, sf):
+    out = new_table_path(spark, "answer-stream")
+    store, models = pipeline_store(spark, sf), offline()
+    stream = _as_stream(spark, questions(spark, sf), "questions")
+    answer_stream(stream, lambda q: answer(q, store, models), out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).select("query_id", "risk_level", "answer")
