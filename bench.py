@@ -14,7 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from folioquery.catalog import answers, evaluation, logs, markdown, retrieval  # noqa: E402
+from folioquery.catalog import answers, evaluation, logs, markdown, retrieval  # noqa: E402, F401
+from folioquery.catalog.base import QUERIES as REGISTERED  # noqa: E402
 from folioquery.operators.sparse import build_index  # noqa: E402
 from folioquery.plans.build import build_store  # noqa: E402
 from folioquery.providers import offline  # noqa: E402
@@ -40,17 +41,9 @@ def build_all(spark, sf):
 QUERIES = {
     "build_sparse_index": build_sparse,
     "build_store": build_all,
-    "document_chunks": markdown.document_chunks,
-    "ref_ids": markdown.ref_ids,
-    "bm25_top12": retrieval.bm25_top12,
-    "knn_l2": retrieval.knn_l2,
-    "rrf_fusion": retrieval.rrf_fusion,
-    "rerank_top6": retrieval.rerank_lexical,
-    "answer_plan": answers.answer_plan,
-    "history_window_1000": answers.history_window,
-    "eval_rollup": evaluation.eval_rollup,
-    "log_pairing": logs.log_pairing,
-    "latency_p80": logs.latency_p80,
+    **{name: REGISTERED[name] for name in (
+        "document_chunks", "ref_ids", "bm25_top12", "knn_l2", "rrf_fusion", "rerank_lexical", "answer_plan",
+        "history_window_1000", "eval_rollup", "log_pairing", "latency_p80")},
 }
 
 

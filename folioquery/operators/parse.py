@@ -52,15 +52,27 @@ def _so_far():
     return _by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _running(flag: Column) -> Column:
-    return F.count_if(flag).over(_so_far())
+def _before():
+    return _by_line().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _latest(flag: Column, value: Column, default: Column | None = None) -> Column:
+    """``value`` at the last line so far where ``flag`` holds."""
     last = F.last(F.when(flag, value), ignorenulls=True).over(_so_far())
     return last if default is None else F.coalesce(last, default)
 
 
+def _previous(flag: Column, value: Column, default: Column) -> Column:
+    """``value`` at the last earlier line where ``flag`` holds."""
+    return F.coalesce(F.last(F.when(flag, value), ignorenulls=True).over(_before()), default)
+
+
+def body_line() -> Column:
+    """The line without block quote marks."""
+    s = F.col("s")
+    return F.when(s.startswith(">"), strip(lstrip(s, "> "))).otherwise(s)
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """(file_id, value) -> (file_id, line_no, s): one stripped line per row."""
     return (
@@ -69,150 +81,129 @@ def document_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _headings(numbered: DataFrame, options: ParseOptions) -> DataFrame:
-    """Heading level, title and the mode each heading opens; body line ``c``."""
-    s, title = F.col("s"), F.col("title")
-    level = (F.when(s.startswith("# "), 1).when(s.startswith("## "), 2)
-             .when(s.startswith("### "), 3).otherwise(0))
-    named = (
-        numbered.withColumn("level", level)
-        .withColumn("title", F.when(F.col("level") == 1, strip(F.replace(s, F.lit("#"), F.lit(""))))
-                    .when(F.col("level") == 2, strip(F.replace(s, F.lit("##"), F.lit(""))))
-                    .when(F.col("level") == 3, strip(F.replace(s, F.lit("###"), F.lit("")))))
-    )
+def _headings(rows: DataFrame, options: ParseOptions) -> DataFrame:
+    """Heading level, title, the mode each heading opens, and captions."""
+    s, level, title = F.col("s"), F.col("level"), F.col("title")
+    named = rows.withColumn("level", F.when(s.startswith("# "), 1).when(s.startswith("## "), 2)
+                            .when(s.startswith("### "), 3).otherwise(0)) \
+        .withColumn("title", F.when(level == 1, strip(F.replace(s, F.lit("#"), F.lit(""))))
+                    .when(level == 2, strip(F.replace(s, F.lit("##"), F.lit(""))))
+                    .when(level == 3, strip(F.replace(s, F.lit("###"), F.lit("")))))
     low = F.lower(title)
     table3 = low.contains("table") if options.compat else low.rlike(r"(?U)\btables?\b")
     opens = (
-        F.when(F.col("level") == 1, "prose")
-        .when((F.col("level") == 2) & title.rlike(r"(?iU)^Table\s+"), "pending")
-        .when(F.col("level") == 2, "prose")
-        .when((F.col("level") == 3) & table3, "pending")
-        .when((F.col("level") == 3) & (low.contains("figure") | low.contains("diagram")), "figure")
-        .when(F.col("level") == 3, "prose")
-    )
-    return (
-        named.withColumn("opens", opens)
-        .withColumn("c", F.when(s.startswith(">"), strip(lstrip(s, "> "))).otherwise(s))
-        .withColumn("is_head", F.col("level") > 0)
-        .withColumn("is_pipe", (F.col("level") == 0) & s.startswith("|"))
-        .withColumn("caption", F.when(F.col("is_head") | F.col("is_pipe"), None)
-                    .when(F.col("c").rlike(BOLD_TABLE), "table")
-                    .when(F.col("c").rlike(BOLD_FIGURE), "figure"))
+        F.when(level == 1, "prose")
+        .when((level == 2) & title.rlike(r"(?iU)^Table\s+"), "pending")
+        .when(level == 2, "prose")
+        .when((level == 3) & table3, "pending")
+        .when((level == 3) & (low.contains("figure") | low.contains("diagram")), "figure")
+        .when(level == 3, "prose")
     )
+    c = body_line()
+    bold = c.startswith("**")
+    return named.select(
+        "file_id", "line_no", "s", "level", "title", opens.alias("opens"),
+        (level > 0).alias("is_head"), s.startswith("|").alias("is_pipe"),
+        ((s != "") & (s != "---") & ~s.startswith("![")).alias("is_content"),
+        F.when((level == 0) & bold & c.rlike(BOLD_TABLE), "table")
+        .when((level == 0) & bold & c.rlike(BOLD_FIGURE), "figure").alias("caption"))
 
 
 def classified_lines(docs: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """Every content line with its kind and the titles in force at it."""
-    every = document_lines(docs)
-    content = (
-        every.withColumn("blanks", _running(F.col("s") == ""))
-        .where((F.col("s") != "") & (F.col("s") != "---") & ~F.col("s").startswith("!["))
-    )
-    heads = _headings(content, options)
-    after_pipes = ~F.col("is_pipe") & F.coalesce(F.lag("is_pipe").over(_by_line()), F.lit(False))
-    captions = F.col("caption").isNotNull()
-
-    blocks = (
-        heads
-        .withColumn("new_block", F.col("is_head") | after_pipes)
-        .withColumn("mode_at_head", _latest(F.col("is_head"), F.col("opens"), F.lit("prose")))
-        .withColumn("n_captions", _running(captions))
-        .withColumn("head_block", _latest(F.col("new_block"), F.col("is_head"), F.lit(True)))
-        .withColumn("captions_before", _latest(
-            F.col("new_block"),
-            F.col("n_captions") - F.when(captions, 1).otherwise(0), F.lit(0)))
-    )
+    head, content = F.col("is_head"), F.col("is_content")
+    names_chapter = (F.col("level") >= 2) & (F.col("opens") == "prose")
+    located = _headings(document_lines(docs), options).withColumns({
+        "blanks": F.count_if(F.col("s") == "").over(_so_far()),
+        "after_pipe": _previous(content, F.col("is_pipe"), F.lit(False)),
+        "mode_at_head": _latest(head, F.col("opens"), F.lit("prose")),
+        "doc_title": _latest(F.col("level") == 1, F.col("title"), F.lit(fv.DEFAULT_TITLE)),
+        "chapter": _latest(names_chapter, F.col("title"), F.lit(fv.DEFAULT_CHAPTER)),
+    }).where(content)
+
+    starts_block = head | (~F.col("is_pipe") & F.col("after_pipe"))
+    caption = F.col("caption").isNotNull()
+    blocks = located.withColumn("new_block", starts_block).withColumns({
+        # The heading's own block starts in the heading's mode, others as prose.
+        "head_block": _latest(F.col("new_block"), head, F.lit(True)),
+        "caption_before": _previous(F.col("new_block") | caption, caption, F.lit(False)),
+    })
     free = ~F.col("head_block") | (F.col("mode_at_head") == "prose")
-    first_caption = captions & free & (F.col("n_captions") - F.col("captions_before") == 1)
-    staged = (
-        blocks.withColumn("first_caption", F.when(first_caption, F.col("caption")))
-        .withColumn("n_figures", _running(F.col("first_caption") == "figure"))
-        .withColumn("n_tables", _running(F.col("first_caption") == "table"))
-        .withColumn("figures_at_head", _latest(F.col("is_head"), F.col("n_figures"), F.lit(0)))
-        .withColumn("tables_at_block", _latest(
-            F.col("new_block"),
-            F.col("n_tables") - F.when(F.col("first_caption") == "table", 1).otherwise(0), F.lit(0)))
-    )
-    in_figure = (F.col("mode_at_head") == "figure") | (F.col("n_figures") > F.col("figures_at_head"))
-    armed = ((F.col("head_block") & (F.col("mode_at_head") == "pending"))
-             | (F.col("n_tables") > F.col("tables_at_block")))
-    figure_starts = (F.col("first_caption") == "figure") & (F.col("mode_at_head") != "figure") \
-        & (F.col("n_figures") - F.col("figures_at_head") == 1)
-    table_starts = (F.col("first_caption") == "table") & ~in_figure
-    c = F.col("c")
+    first = caption & free & (F.col("new_block") | ~F.col("caption_before"))
+    captioned = blocks.withColumn("first_caption", F.when(first, F.col("caption")))
+    is_figure, is_table = (F.coalesce(F.col("first_caption") == x, F.lit(False)) for x in ("figure", "table"))
+    events = captioned.withColumns({
+        "figure_before": _previous(head | is_figure, is_figure, F.lit(False)),
+        "table_before": _previous(F.col("new_block") | is_table, is_table, F.lit(False)),
+    })
+    was_figure = ~head & ((F.col("mode_at_head") == "figure") | F.col("figure_before"))
+    starts_figure, starts_table = is_figure & ~was_figure, is_table & ~was_figure
+    armed = (F.col("head_block") & (F.col("mode_at_head") == "pending")) \
+        | (F.col("table_before") & ~F.col("new_block"))
+    c = body_line()
     kind = (
-        F.when(F.col("is_head") | figure_starts | table_starts, "mark")
-        .when(in_figure, "figure")
+        F.when(head | starts_figure | starts_table, "mark")
+        .when(was_figure, "figure")
         .when(armed & F.col("is_pipe"), "row")
         .when(armed, "desc")
-        .when(c.rlike(BIBLIOGRAPHY_LINE), "skip")
-        .when(c.rlike(NOTE_LINE), "note")
+        .when(c.startswith("-") & c.rlike(BIBLIOGRAPHY_LINE), "skip")
+        .when(c.startswith("[^") & c.rlike(NOTE_LINE), "note")
         .when(c.startswith("- ") | c.startswith("* "), "list")
         .otherwise("prose")
     )
-    opens_table = F.coalesce(F.col("opens") == "pending", F.lit(False)) | F.coalesce(table_starts, F.lit(False))
-    caption_name = strip(strip(c, "*"))
-    names_section = (F.col("kind") == "mark") & (
-        (F.col("level") == 0) | (F.col("level") == 3) | ((F.col("level") == 2) & (F.col("opens") == "pending")))
-    names_chapter = (F.col("level") >= 2) & (F.col("opens") == "prose")
-    return (
-        staged.withColumn("kind", kind)
-        .withColumn("doc_title", _latest(F.col("level") == 1, F.col("title"), F.lit(fv.DEFAULT_TITLE)))
-        .withColumn("chapter", _latest(names_chapter, F.col("title"), F.lit(fv.DEFAULT_CHAPTER)))
-        .withColumn("section", _latest(names_section, F.coalesce(F.col("title"), caption_name), F.lit("")))
-        .withColumn("table_no", _running(opens_table))
-        .where(F.col("kind") != "skip")
-        .select("file_id", "line_no", "s", "c", "blanks", "kind",
-                "doc_title", "chapter", "section", "table_no")
-    )
+    names_section = head & ((F.col("level") == 3) | ((F.col("level") == 2) & (F.col("opens") == "pending")))
+    named = F.when(names_section, F.col("title")) \
+        .when(starts_figure | starts_table, strip(strip(c, "*")))
+    return events.select(
+        "file_id", "line_no", "s", "blanks", "doc_title", "chapter", kind.alias("kind"), named.alias("named"),
+        ((head & (F.col("opens") == "pending")) | starts_table).alias("opens_table"))
 
 
 def chunk_lines(classified: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """Attach a run number to each line; lines of one run form one chunk."""
-    kind, before = F.col("kind"), F.lag("kind").over(_by_line())
-    # Notes never interrupt a list or a paragraph, so they look one line past.
-    body = F.when(kind != "note", kind)
-    last_body = F.last(body, ignorenulls=True).over(_by_line().rowsBetween(Window.unboundedPreceding, -1))
-    last_blanks = F.last(F.when(kind != "note", F.col("blanks")), ignorenulls=True).over(
-        _by_line().rowsBetween(Window.unboundedPreceding, -1))
-    starts = (
-        kind.isin("desc", "row", "note")
-        | last_body.isNull() | (last_body != kind)
-        | (kind.isin("list", "prose") & (last_blanks != F.col("blanks")))
-    )
-    rows = (
-        classified.withColumn("starts", starts)
-        .withColumn("first_row", (kind == "row") & F.coalesce(before != "row", F.lit(True)))
-        .withColumn("cells", F.when(kind == "row", pipe_cells(F.col("s"))))
-    )
+    kind = F.col("kind")
+    # Notes and bibliography lines never interrupt a list or a paragraph.
+    body = ~kind.isin("note", "skip")
+    titled = classified.withColumns({
+        "section": _latest(F.col("named").isNotNull(), F.col("named"), F.lit("")),
+        "table_no": F.count_if("opens_table").over(_so_far()),
+        "body_before": F.last(F.when(body, F.struct("kind", "blanks")), ignorenulls=True).over(_before()),
+        "kind_before": F.lag("kind").over(_by_line()),
+    }).where(kind != "skip")
+    last = F.col("body_before")
+    starts = body & (
+        kind.isin("desc", "row") | last.isNull() | (last["kind"] != kind)
+        | (kind.isin("list", "prose") & (last["blanks"] != F.col("blanks"))))
+    is_row = kind == "row"
+    first_row = is_row & F.coalesce(F.col("kind_before") != "row", F.lit(True))
     rule = F.col("s").contains("---")
+    rows = titled.select(
+        "file_id", "line_no", "s", "kind", "doc_title", "chapter", "section", "table_no",
+        starts.alias("starts"), first_row.alias("first_row"), rule.alias("rule"),
+        F.when(is_row, pipe_cells(F.col("s"))).alias("cells"))
     if options.compat:
-        is_header = F.col("first_row") & ~rule
+        is_header = F.col("first_row") & ~F.col("rule")
     else:
-        named = (kind == "row") & ~rule & F.exists("cells", lambda x: x != "")
-        seen = F.count_if(named).over(
-            Window.partitionBy("file_id", "kind", "table_no").orderBy("line_no")
+        rows = rows.withColumn("named_row", is_row & ~F.col("rule") & F.exists("cells", lambda x: x != ""))
+        seen = F.count_if("named_row").over(
+            Window.partitionBy("file_id", "table_no").orderBy("line_no")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        is_header = named & (seen == 1)
+        is_header = F.col("named_row") & (seen == 1)
     none = F.array().cast("array<string>")
     carried = F.when(F.col("is_header"), F.col("cells")).when(F.col("first_row"), none)
-    headed = (
-        rows.withColumn("is_header", is_header)
-        .withColumn("header", F.last(carried, ignorenulls=True).over(_so_far()))
-    )
-    keep_row = ~rule & ~F.col("is_header") & (F.size("cells") == F.size("header"))
-    if not options.compat:
-        keep_row = keep_row & (F.size("header") > 0)
     # A note inside a paragraph has its own run; the paragraph's number is
     # counted over body lines only, so it is the same on both sides of it.
-    number = F.count_if(F.col("starts") & (kind != "note")).over(_so_far())
-    return (
-        headed.withColumn("run", F.when(kind == "note", -F.col("line_no") - 1).otherwise(number))
-        .where((kind != "mark") & ((kind != "row") | keep_row))
-        .withColumn("header", F.when(kind == "row", F.col("header")))
-        .select("file_id", "run", "kind", "line_no", "s", "c", "cells", "header",
-                "doc_title", "chapter", "section", "table_no")
-    )
+    numbered = rows.withColumn("is_header", is_header).withColumns({
+        "header": F.last(carried, ignorenulls=True).over(_so_far()),
+        "number": F.count_if("starts").over(_so_far()),
+    })
+    keep_row = ~F.col("rule") & ~F.col("is_header") & (F.size("cells") == F.size("header"))
+    if not options.compat:
+        keep_row = keep_row & (F.size("header") > 0)
+    return numbered.where((kind != "mark") & (~is_row | keep_row)).select(
+        "file_id", F.when(kind == "note", -F.col("line_no") - 1).otherwise(F.col("number")).alias("run"),
+        "kind", "line_no", "s", body_line().alias("c"), "cells", F.when(is_row, F.col("header")).alias("header"),
+        "doc_title", "chapter", "section", "table_no")
 
 
 def _row_value(name: str) -> Column:
@@ -259,8 +250,9 @@ def parse_chunks(docs: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
         .withColumn("joined", F.array_join("body", " "))
         .where((F.col("kind") != "prose") | (F.length("joined") >= fv.MIN_PROSE_CHARS))
     )
-    in_file = Window.partitionBy("file_id")
-    by_first = in_file.orderBy("first_line")
+    by_first = Window.partitionBy("file_id").orderBy("first_line")
+    so_far = by_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = by_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_note = F.col("kind") == "note"
     note = F.struct(
         F.col("first_line").alias("at"),
@@ -268,18 +260,15 @@ def parse_chunks(docs: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
         F.regexp_extract(F.col("joined"), NOTE_LINE, 2).alias("text"),
     )
     numbered = (
-        runs.withColumn("n", F.count_if(~is_note).over(
-            by_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-        .withColumn("notes", F.sort_array(F.collect_list(F.when(is_note, note)).over(in_file)))
+        runs.withColumns({
+            "n": F.count_if(~is_note).over(so_far) - 1,
+            "notes": F.collect_list(F.when(is_note, note)).over(whole),
+        })
         .where(~is_note)
     )
     table_rows = Window.partitionBy("file_id", "table_key")
-    placed = (
-        numbered
-        .withColumn("table_key", F.when(F.col("kind") == "row", F.col("table_no")))
-        .withColumn("first_n", F.min("n").over(table_rows))
-        .withColumn("rows", F.count("*").over(table_rows))
-    )
+    placed = numbered.withColumn("table_key", F.when(F.col("kind") == "row", F.col("table_no"))).withColumns({
+        "first_n": F.min("n").over(table_rows), "rows": F.count("*").over(table_rows)})
     return placed.select(*_chunk_columns())
 
 
