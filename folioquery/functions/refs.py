@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from folioquery.functions import fixed_values as fv
-from folioquery.functions.text import strip
+from folioquery.functions.text import bind, strip
 
 _KEYWORD = r"(?iU)\b(" + "|".join(fv.FUNCTION_PREFIX) + r")\b"
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _mapped(col: Column, table: dict[str, str]) -> Column:
     out = col
     for key, value in table.items():
@@ -32,22 +36,31 @@ def function_ids(text: Column) -> Column:
         found = F.regexp_extract_all(piece, F.lit(r"(?U)\b\d+\.\d+\b"), F.lit(0))
         return F.transform(found, lambda d: F.concat(prefix, F.lit("_"), d))
 
-    return F.flatten(F.zip_with(words, owned, tag))
+    found = F.flatten(F.zip_with(words, owned, tag))
+    return F.when(text.rlike(r"\p{Nd}\.\p{Nd}"), found).otherwise(_none())
 
 
 def universal_ids(text: Column) -> Column:
     """``AB-1.2`` style identifiers; short prefixes are spelled out."""
-    pattern = F.lit("(?U)" + fv.UNIVERSAL_ID)
-    prefixes = F.regexp_extract_all(text, pattern, F.lit(1))
-    numbers = F.regexp_extract_all(text, pattern, F.lit(2))
-    return F.zip_with(prefixes, numbers,
-                      lambda p, n: F.concat(_mapped(p, fv.SHORT_PREFIX), F.lit("_"), n))
+    def normal(match: Column) -> Column:
+        return bind(F.regexp_extract(match, "^[A-Z]+", 0), lambda p: F.concat(
+            _mapped(p, fv.SHORT_PREFIX), F.lit("_"), F.substr(match, F.length(p) + 2)))
+
+    return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + fv.UNIVERSAL_ID), F.lit(0)), normal)
+
+
+# A word every match of the pattern contains, to skip texts without it.
+_STANDARD_HINTS = ("iso", "sp", "nist", "o", "fips", "rfc", "ieee")
 
 
 def standard_ids(text: Column) -> Column:
     """Identifiers of standards, upper case with underscores for spaces."""
+    low = F.lower(text)
+    for variant, plain in (("ſ", "s"), ("ı", "i"), ("i̇", "i")):  # letters that equal s and i in any case
+        low = F.replace(low, F.lit(variant), F.lit(plain))
     found = F.flatten(F.array(*[
-        F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0)) for p in fv.STANDARD_IDS]))
+        F.when(F.contains(low, F.lit(hint)), F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0))).otherwise(_none())
+        for p, hint in zip(fv.STANDARD_IDS, _STANDARD_HINTS, strict=True)]))
     return F.transform(found, lambda m: F.regexp_replace(strip(F.upper(m)), r"(?U)\s+", "_"))
 
 
@@ -55,4 +68,4 @@ def reference_ids(text: Column) -> Column:
     """All identifiers. Each kind holds a digit, so texts without one are skipped."""
     every = F.concat(function_ids(text), universal_ids(text), standard_ids(text))
     return F.when(text.rlike(r"\p{Nd}"), F.sort_array(F.array_distinct(every))) \
-            .otherwise(F.array().cast("array<string>"))
+            .otherwise(_none())
