@@ -20,6 +20,7 @@ from folioquery.functions import fixed_values as fv
 from folioquery.operators.joins import top_rows
 
 MAX_SHIPPED_QUESTIONS = 16_384
+MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 BLOCK_QUESTIONS = 4_096
 GRID_VECTORS = 50_000
 _CHUNK = 1_024
@@ -132,7 +133,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 2 * fv.TOP_K, metric: s
     head = queries.select("query_id", "vec").limit(max_shipped + 1).collect()
     if not head:
         return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    if len(head) <= max_shipped:
+    if len(head) <= max_shipped and len(head) * len(head[0]["vec"]) * 8 <= MAX_SHIPPED_BYTES:
         near = _shipped(head, vectors, k, metric, schema)
     else:
         near = _grid(queries, vectors, k, metric, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from folioquery.session import materialize
@@ -12,14 +12,24 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
+def _row_bytes(df: DataFrame):
+    """Rough size of a row: text by length, plain values by 8, the rest as JSON."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
                    max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure, before hinting, that a side is small. Reads at most max_rows + 1 rows."""
-    size = df.limit(max_rows + 1).agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-    ).first()
-    return size["n"] <= max_rows and size["bytes"] <= max_bytes
+    """Measure, before hinting, that a side is small. Counted where the rows are."""
+    size = df.agg(F.count("*").alias("n"), F.sum(_row_bytes(df)).alias("bytes")).first()
+    return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str, hot: str | None = None,
@@ -48,10 +58,14 @@ def join_small(big: DataFrame, small: DataFrame, key: str, hot: str | None = Non
 
 
 def pick_rows(store: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of a large store whose key is wanted; the store is not shuffled
-    while the wanted keys are few."""
-    wanted = ids.select(key).distinct()
-    return store.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, key, "left_semi")
+    """Rows of a large store whose key is wanted.
+
+    While the wanted keys are few they are broadcast and the store is not
+    shuffled. The check counts the keys as given, duplicates included.
+    """
+    keys = ids.select(key)
+    wanted = keys.distinct()
+    return store.join(F.broadcast(wanted) if fits_broadcast(keys) else wanted, key, "left_semi")
 
 
 def top_rows(df: DataFrame, key, order: list, k: int, rank: str = "rank") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import sparse_tokens, strip
 from folioquery.operators.joins import join_small, pick_rows, top_rows
-from folioquery.session import materialize, spread
+from folioquery.session import materialize
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) -> (doc_id, term, tf, dl), counted in place, without a shuffle."""
-    tokens = spread(docs).select(F.col(id_col).alias("doc_id"), sparse_tokens(F.col(text_col)).alias("tokens"))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), sparse_tokens(F.col(text_col)).alias("tokens"))
     id_type = docs.schema[id_col].dataType.simpleString()
     return tokens.mapInArrow(_count_terms, f"doc_id {id_type}, term string, tf bigint, dl bigint")
 

@@ -56,10 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (a few small files).
+SPLIT_BYTES = 128 * 1024 * 1024
 
-    Larger inputs come with enough splits and are left alone, unshuffled.
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a file scan of a few small files.
+
+    Applies only when there are fewer files than cores and they are no larger
+    than one split; any real table is left alone, unshuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if len(scan.inputFiles()) >= cores:
+        return scan
+    first = scan.select("_metadata.file_size").first()
+    return scan.repartition(cores) if first and first[0] <= SPLIT_BYTES else scan
