@@ -31,11 +31,15 @@ def run_evaluation(run_id: str, golden: DataFrame, store: Store, providers: Prov
                    negative_judge=None) -> DataFrame:
     """golden(index, question_category, question, expected_answer, sources) -> records.
 
-    Every item is answered on its own, without conversation history.
+    Every item is answered on its own, without conversation history. With
+    ``compat`` an apology for an engine error is judged like an answer.
     """
     items = ev.subset(golden, indices or [])
     asked = items.select(F.col("index").alias("query_id"), "question")
     done = materialize(answer(asked, store, providers, profile=profile, compat=compat), "answers")
+    if not compat:
+        broken = F.startswith("answer", F.lit(fv.ERROR_ANSWER))
+        done = done.withColumn("answer", F.when(broken, fv.ERROR_SENTINEL).otherwise(F.col("answer")))
     answers = done.withColumnRenamed("query_id", "index").join(
         items.select("index", F.transform("sources", lambda s: s["document_title"]).alias("expected")), "index")
     hit = (F.col("answer") != fv.ERROR_SENTINEL) & ev.retrieval_hit(
