@@ -313,7 +313,6 @@ def _chunk_columns() -> list[Column]:
     last_note = lambda k: F.element_at(F.filter("notes", lambda x: x["key"] == k), -1)["text"]
     ordered = F.transform(keys, lambda k: F.struct(k.alias("key"), last_note(k).alias("text")))
     total = F.col("rows")
-    others = F.filter(F.sequence(F.col("first_n"), F.col("first_n") + total - 1), lambda i: i != n)
     is_row, is_list = kind == "row", kind == "list"
     grouped = is_row & (total >= 2)
     metadata = F.struct(
@@ -325,8 +324,6 @@ def _chunk_columns() -> list[Column]:
         F.when(is_row, section).alias("table_title"),
         F.when(is_row, n - F.col("first_n") + 1).cast("int").alias("table_row"),
         F.when(grouped, total).when(is_row, 0).cast("int").alias("table_total"),
-        F.when(grouped, F.transform(others, row_id))
-        .when(is_row, F.array().cast("array<string>")).alias("sibling_ids"),
     )
     # Rows of a table carry consecutive numbers, so neighbours need no lookup.
     prev_id = F.when(is_row & (n > F.col("first_n")), row_id(n - 1))
@@ -339,8 +336,25 @@ def _chunk_columns() -> list[Column]:
     ]
 
 
+def with_siblings(chunks: DataFrame) -> DataFrame:
+    """Add metadata.sibling_ids: the ids of a table's other rows, in order.
+
+    Rows of a table are numbered without gaps, so the list follows from a
+    row's own number, place and table size. It grows with the square of the
+    table, which is why only exported stores carry it.
+    """
+    m, n = F.col("metadata"), F.col("n")
+    prefix = F.regexp_replace("id", "[0-9]+$", "")
+    first = n - m["table_row"] + 1
+    others = F.filter(F.sequence(first, first + m["table_total"] - 1), lambda i: i != n)
+    none = F.array().cast("array<string>")
+    ids = F.when(m["table_total"] >= 2, F.transform(others, lambda i: F.concat(prefix, i.cast("string")))) \
+        .when(m["table_total"] == 0, none)
+    return chunks.withColumn("metadata", m.withField("sibling_ids", ids))
+
+
 def parent_store(chunks: DataFrame) -> DataFrame:
-    return chunks.select("id", "text", "refs", "metadata")
+    return with_siblings(chunks).select("id", "text", "refs", "metadata")
 
 
 def child_store(chunks: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.operators.parse import ParseOptions, child_store, content_type_histogram, parse_chunks
+from folioquery.operators.parse import ParseOptions, child_store, content_type_histogram, parent_store, parse_chunks, with_siblings
 
 LONG = "This paragraph is certainly longer than forty characters."
 
@@ -36,7 +36,7 @@ def parsed(spark):
     docs = spark.createDataFrame([(i + 1, CASES[c]) for i, c in enumerate(order)], "file_id long, value string")
     out = {}
     for compat in (True, False):
-        for r in parse_chunks(docs, ParseOptions(compat)).orderBy("file_id", "n").collect():
+        for r in with_siblings(parse_chunks(docs, ParseOptions(compat))).orderBy("file_id", "n").collect():
             out.setdefault((order[r["file_id"] - 1], compat), []).append(r)
     return lambda case, compat=True: out.get((case, compat), [])
 
@@ -163,6 +163,16 @@ def test_ids_unique_and_histogram(spark):
     assert sum(r["n"] for r in hist.values()) == chunks.count() and hist["figure"]["n"] == 2
 
 
+def test_exported_parents_read_back(spark, tmp_path):
+    from folioquery.sources.stores import read_parents, write_jsonl
+    docs = spark.createDataFrame([(1, CASES["two_tables"]), (2, CASES["single"])], "file_id long, value string")
+    store = parent_store(parse_chunks(docs))
+    write_jsonl(store, str(tmp_path / "parents"))
+    back = read_parents(spark, str(tmp_path / "parents"))
+    assert sorted(map(str, store.select("id", "text", "refs", "metadata").collect())) == sorted(
+        map(str, back.select("id", "text", "refs", "metadata").collect()))
+
+
 def test_parse_has_one_shuffle_of_lines(spark):
     docs = spark.createDataFrame([(1, LONG)], "file_id long, value string").repartition(4)
     plan = parse_chunks(docs)._jdf.queryExecution().executedPlan().toString()
