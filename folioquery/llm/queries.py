@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from folioquery.llm import mixing, quality
+from folioquery.llm import mixing, quality, secrets, wavelet
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_wavelet_shards": wavelet.op6_wavelet_shards,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 
