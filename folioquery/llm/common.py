@@ -60,3 +60,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("_m"))
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return moved.unionAll(least.select("a", F.col("_m").alias("b"))).where("a != b").distinct()
+
+
+def whole_groups(batches, keys: list[str], rows: int = 20_000):
+    """Cuts a stream sorted by ``keys`` into frames of about ``rows`` rows that never split a group."""
+    import pandas as pd
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        frame = pd.concat(held, ignore_index=True)
+        last = (frame[keys] != frame[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield frame.iloc[:cut].reset_index(drop=True)
+        held = [frame.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def local_components(n: int, a, b):
+    """Smallest reachable index of each of ``n`` items linked by index arrays ``a`` and ``b``."""
+    import numpy as np
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
