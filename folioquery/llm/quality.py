@@ -99,11 +99,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
                     .when(F.col("_ln") >= MIN_GROUP, F.col("_lim")).otherwise(F.col("_every")).alias("_limits")))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, lang, source and any others) packed in ``_row``, with the signals, base_failed and kept."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
-    signals = with_signals(packed).drop("text")
-    limits = materialize(thresholds(sketches(with_signals(docs.select("text", "lang", "source")))), "quality-limits")
+def with_verdicts(signals: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds base_failed and kept, joining each group's cutoffs (one row per language and source)."""
     limits = limits.withColumnsRenamed({"lang": "_l", "source": "_s"})
     same = F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
     joined = signals.join(F.broadcast(limits) if fits_broadcast(limits) else limits, same, "left")
@@ -112,15 +109,31 @@ def judge(docs: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False)))
 
 
+def judge(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, source) to the signals of each row, base_failed and kept.
+
+    The signals, a few numbers a row, are written once and read for both the sketches and the verdicts.
+    """
+    signals = materialize(with_signals(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality-signals")
+    return with_verdicts(signals, materialize(thresholds(sketches(signals)), "quality-limits"))
+
+
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return judge(docs).where("kept").select("_row.*")
+    """The documents that pass, with the columns they came with.
+
+    The texts are read twice, for the cutoffs and for the verdicts, and never shuffled.
+    """
+    plain = docs.select("doc_id", "text", "lang", "source")
+    signals = materialize(with_signals(plain).drop("text"), "quality-signals")
+    limits = materialize(thresholds(sketches(signals)), "quality-limits")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
+    return with_verdicts(with_signals(packed).drop("text"), limits).where("kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                              "base_failed", "kept")
+    return judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
 
 
 def _sql() -> str:
