@@ -43,7 +43,7 @@ from folioquery.session import materialize
 
 WORDS = 3            # of a shingle
 PERCENT = 90         # 100 * intersection >= PERCENT * union links
-SHARED = 0.5         # cost model: chance that an element is shared with another document of the band
+SHARED = 0.2         # cost model: chance that an element is shared with another document of the band
 SKETCH_BITS = 512
 BLOCK = 1024         # members of a bucket that meet in one task
 PAIRS_AT_ONCE = 1 << 18
