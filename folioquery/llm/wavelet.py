@@ -19,8 +19,10 @@ a block is a block of its own.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,7 +61,7 @@ class WaveletMatrix:
             padded = np.zeros(-(-len(row) // STEP) * STEP, bool)
             padded[: len(row)] = ones
             ranks.append(np.concatenate([[0], np.cumsum(padded.reshape(-1, STEP).sum(1))]).astype(np.uint32))
-            row = np.concatenate([row[~ones], row[ones]])
+            row = np.concatenate([row.compress(~ones), row.compress(ones)])
             zeros.append(len(ones) - int(ranks[-1][-1]))
         return cls(len(row), planes, zeros, ranks)
 
@@ -140,14 +142,15 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             before, zeros = np.empty_like(row), self.zeros[level]
-            before[~ones] = row[:zeros]
-            before[ones] = row[zeros:] | kind(1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~ones)] = row[:zeros]
+            before[np.flatnonzero(ones)] = row[zeros:] | kind(1 << (len(self.planes) - 1 - level))
             row = before
         return row
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
     return Tokenizer.from_file(path)
 
@@ -160,15 +163,15 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, kind=np.uint16):
-        self.tokenizer, self.kind, self.seen = _tokenizer(path), kind, {}
+        self.tokenizer, self.code, self.seen = _tokenizer(path), np.dtype(kind).char, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.seen) > CACHED_WORDS:
             self.seen.clear()
-        new = list({w for words in split for w in words if w not in self.seen})
+        new = list(set().union(*split).difference(self.seen))
         coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.seen.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, coded))
+        self.seen.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(new, coded))
         find = self.seen.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
