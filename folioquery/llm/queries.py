@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioquery.llm import jaccard, line_templates, mixing, pieces, quality, secrets, vector_dups, wavelet
+from folioquery.llm import jaccard, line_templates, mixing, pieces, quality, secrets, toxicity, vector_dups, wavelet
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_wavelet_shards": wavelet.op6_wavelet_shards,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_vector_dups": vector_dups.op8_vector_dups,
