@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from folioquery.operators.joins import fits_broadcast
 from folioquery.session import materialize
 
 # White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -19,6 +20,11 @@ def words_sql(text: str = "text") -> str:
     return f"array_remove(split(coalesce({text}, ''), r'{SPACES}'), '')"
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """A join side that is broadcast only once its size is measured; beyond the bound it is shuffled."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
 def components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Smallest id reachable from each node: rows (id, component).
 

@@ -24,8 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioquery.llm.common import SPACES, read, words_sql
-from folioquery.operators.joins import fits_broadcast, pick_rows
+from folioquery.llm.common import SPACES, measured, read, words_sql
 from folioquery.session import materialize
 
 DEPTH = 3
@@ -34,14 +33,14 @@ MIN_TOKENS = 3
 SIMILARITY = 60   # percent of the tokens
 
 KEY = ["doc_id", "_t"]  # a document and its text
+MASKED = "transform(_w, x -> CASE WHEN x RLIKE '[0-9]' THEN '<*>' ELSE x END)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Lines with their masked tokens: doc_id, _t, line, _m."""
     return (docs.select("doc_id", F.xxhash64("text").alias("_t"), F.posexplode(F.split("text", "\n")).alias("line", "_s"))
             .withColumn("_w", F.expr(words_sql("_s"))).where(F.size("_w") >= MIN_TOKENS)
-            .select(*KEY, "line", F.expr(
-                "CASE WHEN _s RLIKE '[0-9]' THEN transform(_w, x -> CASE WHEN x RLIKE '[0-9]' THEN '<*>' ELSE x END) ELSE _w END").alias("_m")))
+            .select(*KEY, "line", F.expr(f"CASE WHEN _s RLIKE '[0-9]' THEN {MASKED} ELSE _w END").alias("_m")))
 
 
 def _documents(lines: DataFrame, template: str) -> DataFrame:
@@ -50,29 +49,43 @@ def _documents(lines: DataFrame, template: str) -> DataFrame:
             .agg(F.count("*").alias("_docs"), F.min("doc_id").alias("_first")).where(F.col("_docs") >= MIN_DOCS).drop("_docs"))
 
 
+def _generalised(docs: DataFrame, single: DataFrame) -> DataFrame:
+    """Lines (_id, doc_id, _sig) of leaves with several documents, variable tokens left out of the template.
+
+    A token at its place in a leaf is one 64-bit hash, and a template the sum of
+    its fixed places' hashes, so only hashes are shuffled and no line is gathered.
+    """
+    shared = materialize(_documents(single, "_leaf"), "line-shared").select("_leaf")
+    open_ = materialize(single.join(measured(shared), "_leaf"), "line-open")
+    once = open_.groupBy(*KEY, "line", "_leaf").agg(F.min("_id").alias("_id"), F.count("*").alias("_c"))  # repeated rows as one
+    of_doc = once.groupBy(*KEY).agg(F.collect_list(F.struct("_id", "line", "_leaf", "_c")).alias("_open"))  # lines of one text
+    of_doc = materialize(of_doc, "line-open-texts").withColumnsRenamed({"doc_id": "_i", "_t": "_h"})
+    found = docs.withColumn("_t", F.xxhash64("text")).join(measured(of_doc), (F.col("doc_id") == F.col("_i")) & (F.col("_t") == F.col("_h")))
+    tokens = (found.select("doc_id", F.expr(r"transform(array(split(text, '\n')), l -> transform(_open, o -> struct(o._id, o._leaf, o._c, l[o.line] AS _s)))[0]").alias("_o"))
+              .select("doc_id", F.explode("_o").alias("_o")).select("doc_id", "_o.*")
+              .withColumn("_w", F.expr(words_sql("_s"))).withColumn("_n", F.size("_w"))
+              .select("_id", "doc_id", "_leaf", "_n", "_c", F.posexplode(F.expr(f"CASE WHEN _s RLIKE '[0-9]' THEN {MASKED} ELSE _w END")).alias("_pos", "_tok"))
+              .select("_id", "doc_id", "_n", "_c", F.xxhash64("_leaf", "_pos", "_tok").alias("_place")))
+    tokens = materialize(tokens, "line-places")
+    fixed = materialize(_documents(tokens, "_place"), "line-fixed").select("_place")
+    kept = tokens.join(measured(fixed), "_place").groupBy("_id", "doc_id", "_n", "_c").agg(
+        F.count("*").alias("_k"), F.sum(F.xxhash64("_place").cast("decimal(38,0)")).alias("_sum"))
+    each = F.expr("CAST(_sum / _c AS DECIMAL(38,0))")
+    return (kept.where(100 * F.col("_k") >= SIMILARITY * F.col("_n") * F.col("_c"))
+            .select("_id", "doc_id", F.xxhash64("_n", each).alias("_sig")))
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """Lines to drop, as (doc_id, _t, line)."""
     placed = materialize(_lines(docs).select(
-        *KEY, "line", F.xxhash64(F.size("_m"), F.slice("_m", 1, DEPTH)).alias("_leaf"), F.xxhash64("_m").alias("_sig")), "line-leaves")
-    plain = placed.join(_documents(placed, "_sig"), "_sig", "left")
-    known = materialize(plain.select(*KEY, "line", "_leaf", "_first"), "line-known")
-
-    single = known.where("_first IS NULL").select(*KEY, "line", "_leaf")
-    shared = single.select("_leaf", "doc_id").distinct().groupBy("_leaf").agg(F.count("*").alias("_d")).where(F.col("_d") >= MIN_DOCS)
-    open_ = materialize(single.join(shared.select("_leaf"), "_leaf", "left_semi"), "line-open")
-    again = _lines(pick_rows(docs.select("doc_id", "text"), open_.select("doc_id"), "doc_id"))
-    tokens = materialize(again.join(open_, KEY + ["line"]).select(*KEY, "line", "_leaf", F.posexplode("_m").alias("_pos", "_tok")), "line-tokens")
-    place = ["_leaf", "_pos", "_tok"]
-    fixed = (tokens.select(*place, "doc_id").distinct().groupBy(*place).agg(F.count("*").alias("_d"))
-             .where(F.col("_d") >= MIN_DOCS).select(*place, F.lit(1).alias("_fixed")))
-    marked = tokens.join(fixed, place, "left").groupBy(*KEY, "line", "_leaf").agg(
-        F.sum(F.coalesce("_fixed", F.lit(0))).alias("_n"), F.count("*").alias("_all"),
-        F.sort_array(F.collect_list(F.struct("_pos", F.when(F.col("_fixed") == 1, F.col("_tok")).alias("_tok")))).alias("_parts"))
-    general = materialize(marked.where(100 * F.col("_n") >= SIMILARITY * F.col("_all")).select(
-        *KEY, "line", F.xxhash64("_leaf", "_parts").alias("_sig")), "line-general")
-    grown = general.join(_documents(general, "_sig"), "_sig").select(*KEY, "line", "_first")
-    found = known.where("_first IS NOT NULL").select(*KEY, "line", "_first").unionAll(grown)
-    return found.where("doc_id != _first").select(*KEY, "line").distinct()
+        F.monotonically_increasing_id().alias("_id"), *KEY, "line",
+        F.xxhash64(F.size("_m"), F.slice("_m", 1, DEPTH)).alias("_leaf"), F.xxhash64("_m").alias("_sig")), "line-leaves")
+    recurring = materialize(_documents(placed, "_sig"), "line-recurring")
+    known = placed.join(measured(recurring), "_sig", "left")
+    general = materialize(_generalised(docs, known.where("_first IS NULL").select("_id", *KEY, "line", "_leaf")), "line-general")
+    grown = general.join(measured(materialize(_documents(general, "_sig"), "line-grown")), "_sig").where("doc_id != _first").select("_id")
+    exact = known.where("doc_id != _first").select(*KEY, "line")
+    return exact.unionAll(placed.join(measured(grown), "_id", "left_semi").select(*KEY, "line")).distinct()
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:
@@ -81,7 +94,7 @@ def without_recurring(docs: DataFrame) -> DataFrame:
     drops = drops.withColumnsRenamed({"doc_id": "_i", "_t": "_h"})
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text")
     same = (F.col("doc_id") == F.col("_i")) & (F.xxhash64("text") == F.col("_h"))
-    joined = packed.join(F.broadcast(drops) if fits_broadcast(drops) else drops, same, "left")
+    joined = packed.join(measured(drops), same, "left")
     kept = F.expr(r"""CASE WHEN _drop IS NULL THEN text ELSE
         transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _drop), i -> l[i]), '\n'))[0] END""")
     return joined.select("_doc", "doc_id", kept.alias("_text"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"), "text")
