@@ -7,7 +7,7 @@ about BLOCK tokens, whole documents each:
 
 ``part``, ``block``  place of the shard and of the block in it
 ``n_tokens``         tokens of the block
-``doc_ids``          64-bit ids of the documents (null ids as the least value, flagged in ``null_ids``)
+``doc_ids``          64-bit ids of the documents (null ids as 0, flagged in ``null_ids``)
 ``lengths``          64-bit token counts of the documents
 ``planes``           the wavelet matrix (see ``WaveletMatrix.to_bytes``)
 
@@ -19,15 +19,17 @@ a block is a block of its own.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -39,11 +41,13 @@ from folioquery.session import new_table_path
 END_ID = 1
 BLOCK = 1 << 20          # tokens a block is closed at
 STEP = 512               # bits between two entries of a rank directory
-CACHED_WORDS = 400_000   # encoded words a task remembers; then it starts afresh
-TEXTS_AT_ONCE = 1 << 21  # characters encoded together
+WORDS_KEPT = 800_000     # encoded words a worker remembers; then it starts afresh
+TEXTS_AT_ONCE = 1 << 24  # bytes of text encoded together
 
 BLOCKS = ("part int, block int, n_tokens long, n_docs long, doc_ids binary, null_ids binary, lengths binary, "
           "planes binary")
+BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()),
+                          *[(c, pa.binary()) for c in ("doc_ids", "null_ids", "lengths", "planes")]])
 
 
 class WaveletMatrix:
@@ -156,71 +160,136 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Encodes texts word by word with a memory of words.
+    """Encodes texts through their distinct words, each encoded once and remembered.
 
-    Holds for vocabularies whose normaliser and splitter never join or look
-    across ASCII white space; then the ids of a text are those of its words.
+    Holds for vocabularies whose normaliser lowers letters and whose splitter
+    never joins across ASCII white space nor letters or digits with a full stop
+    or comma after them; then the ids of a text are those of its words.
     """
 
-    def __init__(self, path: str, kind=np.uint16):
-        self.tokenizer, self.code, self.seen = _tokenizer(path), np.dtype(kind).char, {}
+    def __init__(self, path: str, kind):
+        self.tokenizer, self.kind = _tokenizer(path), kind
+        self.ends = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in ".,"}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.start, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind), 0
+
+    def _stems(self, words: pa.Array) -> np.ndarray:
+        """Places of the words' encodings, new ones encoded."""
+        distinct = words.to_pylist()
+        if len(self.place) > WORDS_KEPT:
+            self.forget()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            first, ends = len(self.place), self.used + np.cumsum(sizes)
+            grow = lambda a, n: a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+            self.start, self.ids = grow(self.start, first + len(new) + 1), grow(self.ids, int(ends[-1]))
+            self.ids[self.used:ends[-1]] = np.fromiter(itertools.chain.from_iterable(e.ids for e in coded), self.kind, int(sizes.sum()))
+            self.start[first + 1:first + len(new) + 1] = ends
+            self.used = int(ends[-1])
+            self.place.update(zip(new, range(first, first + len(new))))
+        return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and each text's number of ids."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        names = pc.if_else(pc.string_is_ascii(words.dictionary), pc.ascii_lower(words.dictionary), words.dictionary)
+        mark = np.zeros(len(names), np.int64)  # 0: the word as it is, else the mark cut off its end
+        for k, end in enumerate(self.ends, 1):
+            cut = pc.match_substring_regex(names, r"[\pL\pN]\Q" + end + r"\E$")
+            names = pc.if_else(cut, pc.utf8_slice_codeunits(names, 0, -1), names)
+            mark[cut.to_numpy(zero_copy_only=False)] = k
+        stems = names.dictionary_encode()
+        place = self._stems(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)]
+        tails = [np.array(t, self.kind) for t in ([], *self.ends.values())]
+        stem = self.start[place + 1] - self.start[place]
+        size = stem + np.array([len(t) for t in tails])[mark]
+        starts = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), self.kind)  # of the distinct words
+        into, at = _ranges(starts, stem), _ranges(self.start[place], stem)
+        ids[into] = self.ids[at]
+        for k, tail in enumerate(tails):
+            for j, value in enumerate(tail):
+                ids[(starts + stem + j)[mark == k]] = value
+
+        of_word = words.indices.to_numpy(zero_copy_only=False)
+        n = size[of_word]
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        return ids[_ranges(starts[of_word], n)], np.diff(np.concatenate([[0], np.cumsum(n)])[bounds])
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] places), then start[1], and so on."""
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.seen) > CACHED_WORDS:
-            self.seen.clear()
-        new = list(set().union(*split).difference(self.seen))
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.seen.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(new, coded))
-        find = self.seen.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, kind) -> WordEncoder:
+    """One per Python worker, so that its tasks share the words remembered."""
+    return WordEncoder(path, kind)
 
 
 def encode_blocks(docs: DataFrame, vocabulary: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, text) to the rows of the file format, in order of doc_id over the partitions."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size = TaskContext.get().partitionId(), 0, _tokenizer(vocabulary).get_vocab_size()
         bits = max(1, (size - 1).bit_length())
         kind = np.uint16 if bits <= 16 else np.uint32
-        encoder, end = WordEncoder(vocabulary, kind), np.array([END_ID], kind).tobytes()
-        ids: list[bytes] = []
-        docs_: list = []
-        lengths: list[int] = []
-
-        def close():
-            nonlocal ids, docs_, lengths, seq
-            tokens = np.frombuffer(b"".join(ids), kind)
-            null = pd.isna(pd.Series(docs_, dtype=object)).to_numpy()
-            keys = np.array([np.iinfo(np.int64).min if n else d for d, n in zip(docs_, null)], "<i8")
-            row = pd.DataFrame([(part, seq, len(tokens), len(docs_), keys.tobytes(), null.tobytes(),
-                                 np.array(lengths, "<i8").tobytes(), WaveletMatrix.build(tokens, bits).to_bytes())],
-                               columns=["part", "block", "n_tokens", "n_docs", "doc_ids", "null_ids", "lengths", "planes"])
-            ids, docs_, lengths, seq = [], [], [], seq + 1
-            return row
+        encoder = _encoder(vocabulary, kind)
+        ids: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal seq
+            tokens, n = np.concatenate(ids), np.concatenate(lengths)
+            row = {"part": part, "block": seq, "n_tokens": len(tokens), "n_docs": len(n), "doc_ids": np.concatenate(keys).tobytes(),
+                   "null_ids": np.concatenate(nulls).tobytes(), "lengths": n.tobytes(), "planes": WaveletMatrix.build(tokens, bits).to_bytes()}
+            for held in (ids, keys, nulls, lengths):
+                held.clear()
+            seq += 1
+            return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
 
         held = 0
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            ends = np.cumsum([len(t) for t in texts]) // TEXTS_AT_ONCE
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(texts)]
-            keys = batch["doc_id"].astype(object).tolist()
+            marks = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)) // TEXTS_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                for key, code in zip(keys[a:b], encoder(texts[a:b])):
-                    code += end
-                    n = len(code) // np.dtype(kind).itemsize
-                    if held and held + n > block:
-                        yield close()
-                        held = 0
-                    ids.append(code)
-                    docs_.append(key)
-                    lengths.append(n)
-                    held += n
+                tokens, n = encoder(batch["text"].slice(a, b - a))
+                tokens, n = np.insert(tokens, np.cumsum(n), END_ID), n + 1
+                key = batch["doc_id"].slice(a, b - a)
+                null, key = key.is_null().to_numpy(zero_copy_only=False), key.fill_null(0).to_numpy()
+                ends = np.cumsum(n)
+                x = 0
+                while x < len(n):  # whole documents, as many as the block still takes
+                    base = ends[x] - n[x]
+                    y = int(np.searchsorted(ends, base + block - held, side="right"))
+                    if y <= x:
+                        if held:
+                            yield close()
+                            held = 0
+                            continue
+                        y = x + 1
+                    ids.append(tokens[base:ends[y - 1]])
+                    keys.append(key[x:y].astype("<i8"))
+                    nulls.append(null[x:y])
+                    lengths.append(n[x:y].astype("<i8"))
+                    held += int(ends[y - 1] - base)
+                    x = y
         if held:
             yield close()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInPandas(encode, BLOCKS)
+    return ordered.mapInArrow(encode, BLOCKS)
 
 
 def write_shards(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
