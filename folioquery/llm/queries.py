@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioquery.llm import jaccard, line_templates, mixing, pieces, quality, secrets, toxicity, vector_dups, wavelet
+from folioquery.llm import context_mixing, jaccard, line_templates, mixing, pieces, quality, secrets, toxicity, vector_dups, wavelet
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_context_mixing": context_mixing.op2_context_mixing,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_toxicity": toxicity.op5_toxicity,
