@@ -39,6 +39,7 @@ from folioquery.session import materialize
 FOLDS = 5
 MINED = 256           # words of the mined lexicons, at most
 MINED_GROUPS = 8
+CANDIDATES = 50_000   # words and stems that the mining compares, most frequent in toxic training texts first
 MIN_GAIN = 40.0       # log-likelihood ratio of a word that is mined or becomes a feature,
 MIN_SHARE = 0.02      # and the least share of its class's documents that have it: no chance word, no group of copies
 SAMPLE = 10_000       # documents a stratum (posterior below and from one half) that fit the classifier
@@ -110,26 +111,38 @@ def mine_lexicon(labelled: DataFrame) -> tuple[list[frozenset], frozenset]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = Counter()
         for batch in batches:
-            found = [Counter(), Counter()]
-            for text, toxic in zip(_texts(batch), batch["toxic"]):
-                found[int(toxic > 0)].update(forms(tokens(text)))
-            for k, c in enumerate(found):
-                yield pd.DataFrame({"word": list(c), "toxic": list(c.values()) if k else 0, "clean": 0 if k else list(c.values())})
+            for text in _texts(batch):
+                have = forms(tokens(text))
+                found.update(have if wanted is None else have & wanted)
+            if len(found) > 200_000:
+                yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+                found.clear()
+        if found:
+            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
     all_ = labelled.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("t"), F.count(F.when(F.col("toxic") <= 0, 1)).alias("c")).first()
     if not all_["t"] or not all_["c"]:
         return [frozenset()] * MINED_GROUPS, frozenset()
-    t, c, share = F.col("toxic"), F.col("clean"), all_["t"] / (all_["t"] + all_["c"])
-    gain = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(F.greatest(c, F.lit(1)) / ((t + c) * (1 - share)))).otherwise(0.0))
-    listed = [w for words in LEXICONS.values() for w in words]
-    counts = materialize(labelled.mapInPandas(count, "word string, toxic long, clean long").groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(
-        (F.col("toxic") >= max(3, MIN_SHARE * all_["t"])) | F.col("word").isin(listed)), "toxic-words")
-    against = frozenset(r["word"] for r in counts.where(F.col("word").isin(listed)).where(c > t).collect())  # listed words only
-    best = (counts.where(t >= max(3, MIN_SHARE * all_["t"])).where(t >= MIN_PRECISION * (t + c)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-            .orderBy(F.desc("gain"), "word").limit(MINED).collect())  # at most MINED words
-    return [frozenset(r["word"] for r in best if zlib.crc32(r["word"].encode()) % MINED_GROUPS == g) for g in range(MINED_GROUPS)], against
+    listed, wanted = [w for words in LEXICONS.values() for w in words], None
+    often = counted(labelled.where("toxic > 0")).where((F.col("n") >= max(3, MIN_SHARE * all_["t"])) | F.col("word").isin(listed))
+    # A form of a share of the toxic documents: at most the mean number of forms over MIN_SHARE, cut at CANDIDATES.
+    toxic = {r["word"]: r["n"] for r in often.orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()}
+    wanted = frozenset(toxic) | frozenset(listed)
+    clean = {r["word"]: r["n"] for r in counted(labelled.where("toxic <= 0")).collect()}  # of those words only
+    share, gains = all_["t"] / (all_["t"] + all_["c"]), []
+    for word, t in toxic.items():
+        c = clean.get(word, 0)
+        gain = 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0))
+        if t >= max(3, MIN_SHARE * all_["t"]) and t >= MIN_PRECISION * (t + c) and gain >= MIN_GAIN:
+            gains.append((-gain, word))
+    best = [w for _, w in sorted(gains)[:MINED]]
+    against = frozenset(w for w in listed if clean.get(w, 0) > toxic.get(w, 0))
+    return [frozenset(w for w in best if zlib.crc32(w.encode()) % MINED_GROUPS == g) for g in range(MINED_GROUPS)], against
 
 
 class LabelModel:
@@ -183,9 +196,10 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -
     rate = float(np.clip((weight * target).sum() / max(weight.sum(), 1e-9), 1e-6, 1 - 1e-6)) if len(target) else PRIOR
     if not len(target) or not sum(map(len, rows)):
         return {}, math.log(rate / (1 - rate))
-    slot, doc = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    have, total, all_ = np.bincount(slot, minlength=SLOTS).astype(float), target.sum(), len(target)
-    toxic = np.bincount(slot, weights=target[doc], minlength=SLOTS)
+    have, toxic, total, all_ = np.zeros(SLOTS), np.zeros(SLOTS), target.sum(), len(target)
+    for row, t in zip(rows, target):  # slots of a row are distinct
+        have[row] += 1
+        toxic[row] += t
     clean = have - toxic
     part = lambda n, expected: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(expected, 1e-9)), 0)
     gain = 2 * (part(toxic, have * total / all_) + part(clean, have * (all_ - total) / all_))
@@ -194,9 +208,10 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -
     chosen = np.sort(np.argsort(-gain, kind="stable")[:min(FEATURES, int((gain > 0).sum()))])
     column = np.full(SLOTS, -1)
     column[chosen] = np.arange(len(chosen))
-    keep = column[slot] >= 0
     x = np.zeros((len(rows), len(chosen)), np.float32)
-    x[doc[keep], column[slot[keep]]] = 1
+    for k, row in enumerate(rows):
+        at = column[row]
+        x[k, at[at >= 0]] = 1
     w, b, weight = np.zeros(len(chosen)), math.log(rate / (1 - rate)), weight / weight.sum()
     speed, momentum = 2.0, [np.zeros(len(chosen)), 0.0]
     scale_w, scale_b = np.full(len(chosen), 1e-8), 1e-8
