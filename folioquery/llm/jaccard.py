@@ -321,9 +321,9 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with the smallest id of their group; columns as they came."""
-    kept = jaccard_groups(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = jaccard_groups(docs, width, percent).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"))
     return packed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_doc.*")
 
