@@ -37,7 +37,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioquery.llm.common import components, read, whole_groups
+from folioquery.llm.common import components, measured, read, whole_groups
 from folioquery.operators.joins import pick_rows
 from folioquery.session import materialize
 
@@ -293,9 +293,12 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     texts = rows.where("bucket IS NULL").select("doc_id", "n", "cls")
     index = rows.where("bucket IS NOT NULL").select("bucket", "cls")
 
-    shared = (index.groupBy("bucket").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.count("*").alias("_c"))
-              .where("_lo != _hi").select("bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks")))
-    members = materialize(index.join(shared, "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks")), "jaccard-members")
+    shared = materialize(index.groupBy("bucket").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.count("*").alias("_c"))
+                         .where("_lo != _hi"), "jaccard-buckets")
+    two = shared.where("_c = 2").select("bucket", F.explode(F.array("_lo", "_hi")).alias("cls"), F.lit(1).alias("_blocks"))
+    large = shared.where("_c > 2").select("bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
+    many = index.join(measured(large), "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks"))
+    members = materialize(two.unionAll(many), "jaccard-members")
     first = texts.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(members.select("cls").distinct(), "cls", "left_semi")
     sets = materialize(class_sets(docs, wanted, width), "jaccard-sets")
