@@ -15,8 +15,9 @@ source with a third of all rows spreads over all tasks. Random numbers come
 from a hash of the document id, so reruns and lost tasks agree.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a
-source of its own, last in order; repeated rows of one id are told apart only
-by their order numbers and share their fate; an empty table gives no rows.
+source of its own, last in order; repeated rows
+are drawn each for itself, and as documents all take the larger number of copies;
+a null id draws like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from folioquery.llm.common import SPACES, read
-from folioquery.operators.joins import fits_broadcast, with_positions
+from folioquery.llm.common import SPACES, measured, read
+from folioquery.operators.joins import with_positions
 from folioquery.session import materialize
 
 WEIGHTS = (5, 2, 1)     # of the sources in order, repeating
@@ -43,15 +44,10 @@ def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.expr(f"CAST(coalesce(regexp_count(text, r'{WORD}'), 0) AS BIGINT)"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A table of one row per source: broadcast only once measured, else shuffled."""
-    return F.broadcast(df) if fits_broadcast(df) else df
-
-
 def by_source(left: DataFrame, right: DataFrame) -> DataFrame:
     """Join on the source, null included; ``right`` has one row per source."""
     right = right.withColumnRenamed("source", "_src")
-    return left.join(_small(right), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    return left.join(measured(right), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -104,7 +100,7 @@ def expected_copies(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def pareto_prefix(candidates: DataFrame, room: DataFrame) -> DataFrame:
-    """The rows (doc_id, source, size, _q, _row) of the order's prefix within each source's ``_room`` words."""
+    """The rows (_k, source, size) of the order's prefix within each source's ``_room`` words."""
     v = F.col("_q") / (1 + F.col("_q"))
     placed = candidates.withColumn("_b", F.least(F.floor(v * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     sums = placed.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
@@ -115,42 +111,36 @@ def pareto_prefix(candidates: DataFrame, room: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))).alias("_before"))
     at = by_source(placed, border)
     whole = at.where("_edge IS NULL OR _b < _edge")
-    inside = Window.partitionBy("source").orderBy("_q", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source").orderBy("_q", "doc_id", "_row", "_k").rowsBetween(Window.unboundedPreceding, 0)
     part = (at.where("_b = _edge").withColumn("_cum", F.sum("size").over(inside) + F.coalesce("_before", F.lit(0)))
             .where("_cum <= _room"))
-    keep = ["doc_id", "_row", "source", "size"]
+    keep = ["_k", "source", "size"]
     return whole.select(*keep).unionAll(part.select(*keep))
 
 
 def mix(sizes: DataFrame) -> DataFrame:
-    """(doc_id, source, size) to (doc_id, _row, source, size, source_size, target, _copies).
-
-    ``_row`` numbers the rows of one id that agree in source and size.
-    """
+    """(doc_id, source, size) to (doc_id, source, size, source_size, target, _copies), a row per input row."""
     same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
-    numbered = materialize(sizes.withColumn("_row", F.row_number().over(same)), "mix-sizes")
+    numbered = materialize(sizes.withColumn("_row", F.row_number().over(same)).withColumn("_k", F.monotonically_increasing_id()), "mix-sizes")
     goals = materialize(targets(numbered), "mix-targets")
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), "doc_id", "_row")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rated = expected_copies(numbered, goals).withColumn("_whole", F.floor("_e").cast("long"))
     p = F.col("_e") - F.col("_whole")
     rated = materialize(rated.withColumn("_q", F.when(p > 0, (u / (1 - u)) * F.try_divide(1 - p, p))).drop("_e"), "mix-order")
-    open_ = rated.where("_whole < 2 AND _q IS NOT NULL").select("doc_id", "_row", "source", "size", "_q")
+    open_ = rated.where("_whole < 2 AND _q IS NOT NULL").select("_k", "doc_id", "_row", "source", "size", "_q")
     room = materialize(rated.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("_whole") * F.col("size")).alias("_got"))
                        .select("source", (F.col("target") - F.col("_got")).alias("_room")), "mix-room")
     taken = None
     for _ in range(FILLS):
-        left = open_ if taken is None else open_.join(taken, ["doc_id", "_row"], "left_anti")
-        fits = by_source(left, room).where("size <= _room").drop("_room")
-        new = materialize(pareto_prefix(fits, room), "mix-taken").drop("size", "source")
-        more = by_source(open_.join(new, ["doc_id", "_row"], "left_semi"), room.select("source")).groupBy("source").agg(F.sum("size").alias("_add"))
+        left = open_ if taken is None else open_.join(taken.select("_k"), "_k", "left_anti")
+        new = materialize(pareto_prefix(by_source(left, room).where("size <= _room").drop("_room"), room), "mix-taken")
+        more = new.groupBy("source").agg(F.sum("size").alias("_add")).withColumnRenamed("source", "_src2")
         taken = new if taken is None else taken.unionAll(new)
-        more = more.withColumnRenamed("source", "_src2")
         room = materialize(room.join(more, F.col("source").eqNullSafe(F.col("_src2")), "left")
                            .select("source", (F.col("_room") - F.coalesce("_add", F.lit(0))).alias("_room")), "mix-room")
-    chosen = taken.withColumn("_one", F.lit(1))
-    counted = rated.select("doc_id", "_row", "_whole").join(chosen, ["doc_id", "_row"], "left").select(
-        "doc_id", "_row", (F.col("_whole") + F.coalesce("_one", F.lit(0))).alias("_copies"))
-    return by_source(numbered, goals).join(counted, ["doc_id", "_row"], "left").fillna(0, ["_copies"])
+    counted = rated.select("_k", "_whole").join(taken.select("_k", F.lit(1).alias("_one")), "_k", "left").select(
+        "_k", (F.col("_whole") + F.coalesce("_one", F.lit(0))).alias("_copies"))
+    return by_source(numbered, goals).join(counted, "_k", "left").fillna(0, ["_copies"]).drop("_k", "_row")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +152,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every document as often as the mix takes it; columns as they came."""
     sized = with_sizes(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "source", "text")).drop("text")
-    copies = mix(sized.select("doc_id", "source", "size")).where("_copies > 0").groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
+    copies = (mix(sized.select("doc_id", "source", "size")).where("_copies > 0").groupBy("doc_id", "source", "size")
+              .agg(F.max("_copies").alias("_copies")).withColumnsRenamed({"doc_id": "_i", "source": "_s", "size": "_n"}))
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return sized.select("doc_id", "_doc").join(copies, "doc_id").select("_doc", times.alias("_n")).select("_doc.*")
+    return sized.join(copies, same).select("_doc", times.alias("_time")).select("_doc.*")

@@ -13,8 +13,8 @@ any pass and are not joined through others. For cosine 0.98 a sign differs with
 probability 0.064, so with 64 neighbours each way and 16 passes the loss is
 far below one in a thousand at a million vectors a label; tests measure recall.
 
-Defined results: rows with null label, null, empty, zero or non-finite
-vectors link with nothing and stand alone; vectors of different lengths do not
+Defined results: rows with null id or label, null, empty, zero or non-finite
+vectors link with nothing, stand alone and are kept; vectors of different lengths do not
 link; equal vectors are one class that is compared once, each member counting;
 repeated ids are one vector each but share a row of the result per input row;
 an empty table gives no rows; other columns are ignored.
@@ -47,7 +47,7 @@ def _unit(rows) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Vectors that can link: (vec_id, label, dim, embedding)."""
-    return (vectors.where("label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
+    return (vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
             .where("NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
             .where("exists(embedding, x -> x != 0)")
             .select("vec_id", "label", F.size("embedding").alias("dim"), "embedding"))
@@ -145,7 +145,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id").join(found, "vec_id", "left").select(
         "vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"))
+        F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def op8_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

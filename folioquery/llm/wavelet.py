@@ -41,8 +41,8 @@ from folioquery.session import new_table_path
 END_ID = 1
 BLOCK = 1 << 20          # tokens a block is closed at
 STEP = 512               # bits between two entries of a rank directory
-WORDS_KEPT = 800_000     # encoded words a worker remembers; then it starts afresh
-TEXTS_AT_ONCE = 1 << 24  # bytes of text encoded together
+WORDS_KEPT = 500_000     # encoded words a worker remembers; then it starts afresh
+TEXTS_AT_ONCE = 1 << 22  # bytes of text encoded together
 
 BLOCKS = ("part int, block int, n_tokens long, n_docs long, doc_ids binary, null_ids binary, lengths binary, "
           "planes binary")
