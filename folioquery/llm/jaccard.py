@@ -12,7 +12,7 @@ never changes the result.
 
 Equal sets form one class and are indexed as one. Pairs are formed inside tasks,
 per bucket and pair of blocks of bounded size, and cut by set sizes and by a
-512-bit parity sketch (the bits in which two sketches differ never exceed the
+parity sketch (the bits in which two sketches differ never exceed the
 difference of the sets). What is left is united from the likeliest pair on, so
 a group of near copies yields a spanning forest and not all its pairs; these
 pairs are verified on the whole sets, then every remaining pair that passes the
@@ -44,7 +44,8 @@ from folioquery.session import materialize
 WORDS = 3            # of a shingle
 PERCENT = 90         # 100 * intersection >= PERCENT * union links
 SHARED = 0.2         # cost model: chance that an element is shared with another document of the band
-SKETCH_BITS = 512
+CHECK = 0.1          # and the cost of comparing two sketches, in index rows
+SKETCH_BITS = 512, 4096  # least and most; beyond, sketches of long texts cut less
 BLOCK = 1024         # members of a bucket that meet in one task
 PAIRS_AT_ONCE = 1 << 18
 
@@ -99,20 +100,33 @@ def band_of(n: int, percent: int = PERCENT) -> int:
     return bisect.bisect_right(bands(percent), n) - 1
 
 
-def allocate(band: int, population: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(segments, how many of them have budget 1) of a band, least in cost; (0, 0) if only equal sets link."""
+def allocate(band: int, population: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
+    """(segments, how many of them have budget 1, spare, least) of a band, least in cost; zeros if only equal sets link.
+
+    Spare segments make up for tiny ones, of fewer than ``least`` elements, which tell
+    little: a set with at most ``spare`` tiny segments leaves them out.
+    """
     top = bands(percent)[band + 1] - 1
     budget = allowed(2 * top, percent)
     if budget == 0:
-        return 0, 0
+        return 0, 0, 0, 0
     best = None
     for ones in range(0, (budget + 1) // 2 + 1) if budget < 64 else [0]:
-        m = budget + 1 - ones
-        size = top / m
-        cost = (m - ones) * (1 + population * SHARED ** size) + ones * (1 + size) * (1 + population * SHARED ** max(size - 1, 0))
+        m, spare, least = budget + 1 - ones, 0, 0
+        for small in (1, 2):
+            extra = 0
+            for _ in range(8):
+                size = top / (m + extra)
+                tiny = (m + extra - ones) * math.exp(-size) * (1 + size * (small - 1))
+                extra = math.ceil(tiny + 3 * math.sqrt(tiny))
+            if extra <= (budget + 1) / 4:
+                spare, least = extra, small
+        m, size = m + spare, top / (m + spare)
+        seen = CHECK * population
+        cost = (m - ones) * (1 + seen * SHARED ** size) + ones * (1 + size) * (1 + seen * SHARED ** max(size - 1, 0))
         if best is None or cost < best[0]:
-            best = cost, m, ones
-    return best[1], best[2]
+            best = cost, m, ones, spare, least
+    return best[1:]
 
 
 @functools.lru_cache(maxsize=1 << 14)
@@ -120,19 +134,23 @@ def _edges(m: int) -> np.ndarray:
     return np.array([(k << 64) // m for k in range(1, m)], _U)
 
 
-def index_keys(elements: np.ndarray, plan: dict[int, tuple[int, int]], percent: int = PERCENT) -> np.ndarray:
+def index_keys(elements: np.ndarray, plan: dict[int, tuple[int, int, int, int]], percent: int = PERCENT) -> np.ndarray:
     """Bucket keys of a set: in its band, and in the next one, where it may meet larger sets."""
     out, own = [], band_of(len(elements), percent)
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(elements), dtype=_U)])
     single = sums[1:] - sums[:-1]
     for band in (own, own + 1):
-        m, ones = plan.get(band, (0, 0))
+        m, ones, spare, least = plan.get(band, (0, 0, 0, 0))
         if not m:
             continue
         bounds = np.concatenate([[0], np.searchsorted(elements, _edges(m)), [len(elements)]])
         whole = sums[bounds[1:]] - sums[bounds[:-1]]
         salt = mix(np.arange(m, dtype=_U) * _MUL[0] + _U(band * 2 + 1))
-        out.append(mix(whole * _MUL[0] + salt))
+        keys, tiny = mix(whole * _MUL[0] + salt), np.diff(bounds) < least
+        tiny[:ones] = False
+        # Two sets that link agree in more than ``spare`` segments (by budget); if all of these
+        # were tiny, both sets would have more than ``spare`` tiny ones and keep them.
+        out.append(keys[~tiny] if tiny.sum() <= spare else keys)
         if ones:  # segments 0..ones-1 also through every subset with one element less
             upto = bounds[ones]
             segment = np.repeat(np.arange(ones), np.diff(bounds[:ones + 1]))
@@ -140,12 +158,43 @@ def index_keys(elements: np.ndarray, plan: dict[int, tuple[int, int]], percent:
     return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements that fall on each of SKETCH_BITS places."""
-    counts = np.bincount((mix(elements ^ _MUL[2]) & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+def sketch(elements: np.ndarray, percent: int = PERCENT) -> bytes:
+    """Parities of the elements that fall on each of a number of places; more places for larger sets.
+
+    Its two halves, added, are the sketch with half the places.
+    """
+    bits = SKETCH_BITS[0]
+    while bits < SKETCH_BITS[1] and bits < 8 * allowed(2 * len(elements), percent):
+        bits *= 2
+    counts = np.bincount((mix(elements ^ _MUL[2]) & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
+class _Sketches:
+    """Sketches of rows, comparable at the size of the smaller one."""
+
+    def __init__(self, rows: list[bytes]):
+        self.size = np.array([len(r) for r in rows])
+        self.place, self.table = {}, {}
+        for size in np.unique(self.size).tolist():
+            native, double = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+            halves = np.frombuffer(b"".join(rows[k] for k in double), np.uint64).reshape(len(double), 2, size // 8)
+            self.table[size] = np.concatenate([
+                np.frombuffer(b"".join(rows[k] for k in native), np.uint64).reshape(len(native), size // 8), halves[:, 0] ^ halves[:, 1]])
+            self.place[size] = np.full(len(rows), -1)
+            self.place[size][np.concatenate([native, double])] = np.arange(len(native) + len(double))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many places the sketches of two rows differ: at most the difference of the sets."""
+        out, size = np.zeros(len(x), np.int64), np.minimum(self.size[x], self.size[y])
+        for one in np.unique(size).tolist():
+            table, place = self.table[one], self.place[one]
+            at = np.flatnonzero((size == one) & (place[x] >= 0) & (place[y] >= 0))
+            for part in np.array_split(at, -(-len(at) * one // (1 << 26)) or 1):
+                out[part] = np.bitwise_count(table[place[x[part]]] ^ table[place[y[part]]]).sum(1, dtype=np.int64)
+        return out
+
+
 def _texts(batch: pd.DataFrame):
     return (t if isinstance(t, str) else "" for t in batch["text"])
 
@@ -177,14 +226,14 @@ def index_rows(docs: DataFrame, plan: dict, width: int, percent: int) -> DataFra
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cls long, bucket long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def class_sets(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
     """(cls, n, elements, sketch) of the wanted classes, from one document (doc_id) of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in _texts(batch)]
             yield pd.DataFrame({"cls": [set_class(s) for s in sets], "n": [len(s) for s in sets],
-                                "elements": [s.tobytes() for s in sets], "sketch": [sketch(s) for s in sets]})
+                                "elements": [s.tobytes() for s in sets], "sketch": [sketch(s, percent) for s in sets]})
 
     picked = pick_rows(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
     return picked.mapInPandas(run, "cls long, n long, elements binary, sketch binary").dropDuplicates(["cls"])
@@ -211,14 +260,14 @@ def _bucket_pairs(frame: pd.DataFrame):
 
 def _survivors(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Distinct pairs (a < b) of classes, of different components, that sizes and sketches allow."""
-    bits = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+    sketches = _Sketches(frame["sketch"].tolist())
     n, cls, comp = frame["n"].to_numpy(), frame["cls"].to_numpy(), frame["component"].to_numpy()
     out = []
     for x, y in _bucket_pairs(frame):
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         fit = (comp[x] != comp[y]) & (100 * small >= percent * large)
         x, y = x[fit], y[fit]
-        away = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        away = sketches.apart(x, y)
         fit = away <= allowed(n[x] + n[y], percent)
         x, y = x[fit], y[fit]
         out.append(pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y]),
@@ -295,13 +344,14 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     shared = materialize(index.groupBy("bucket").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.count("*").alias("_c"))
                          .where("_lo != _hi"), "jaccard-buckets")
-    two = shared.where("_c = 2").select("bucket", F.explode(F.array("_lo", "_hi")).alias("cls"), F.lit(1).alias("_blocks"))
+    two = shared.where("_c = 2").select("_lo", "_hi").distinct().select(  # a pair shares many buckets and is met once
+        F.xxhash64("_lo", "_hi").alias("bucket"), F.explode(F.array("_lo", "_hi")).alias("cls"), F.lit(1).alias("_blocks"))
     large = shared.where("_c > 2").select("bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
     many = index.join(measured(large), "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks"))
     members = materialize(two.unionAll(many), "jaccard-members")
     first = texts.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(members.select("cls").distinct(), "cls", "left_semi")
-    sets = materialize(class_sets(docs, wanted, width), "jaccard-sets")
+    sets = materialize(class_sets(docs, wanted, width, percent), "jaccard-sets")
 
     block = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
     units = members.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

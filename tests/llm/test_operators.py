@@ -124,6 +124,19 @@ def brute_groups(rows, width, percent):
     return {(i, len(s), find(i)) for i, s in sets}
 
 
+def test_sketches_never_exceed_the_difference():
+    from folioquery.llm import jaccard
+    rng, sets = np.random.default_rng(9), []
+    for n in (5, 300, 700, 1500, 3000, 9000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets += [a, a[rng.random(len(a)) > .05], np.unique(np.concatenate([a, rng.integers(0, 2**63, n // 5 + 1).astype(np.uint64)]))]
+    s = jaccard._Sketches([jaccard.sketch(a) for a in sets])
+    x, y = map(np.array, zip(*itertools.combinations(range(len(sets)), 2)))
+    for i, j, d in zip(x, y, s.apart(x, y)):
+        assert d <= len(np.setxor1d(sets[i], sets[j]))
+    assert s.apart(np.array([6]), np.array([7]))[0] > 0.5 * len(np.setxor1d(sets[6], sets[7]))
+
+
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 70)])
 def test_jaccard_against_brute_force(spark, width, percent):
     from folioquery.llm import jaccard
@@ -155,7 +168,8 @@ def test_jaccard_deletion_plans_lose_nothing():
             for k in range(60):
                 budget = jaccard.allowed(2 * (jaccard.bands(90)[k + 1] - 1), 90)
                 use = min(ones, (budget + 1) // 2)
-                plan[k] = (budget + 1 - use, use) if budget else (0, 0)
+                spare = int(rng.integers(0, 3))
+                plan[k] = (budget + 1 - use + spare, use, spare, 1 + spare % 2) if budget else (0, 0, 0, 0)
             assert (a.tolist() == b.tolist()
                     or set(jaccard.index_keys(a, plan, 90).tolist()) & set(jaccard.index_keys(b, plan, 90).tolist()))
 
