@@ -20,6 +20,7 @@ a block is a block of its own.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import struct
 import zlib
@@ -39,10 +40,11 @@ from folioquery.operators.joins import fits_broadcast
 from folioquery.session import new_table_path
 
 END_ID = 1
-BLOCK = 1 << 20          # tokens a block is closed at
+BLOCK = 1 << 18          # tokens a block is closed at
 STEP = 512               # bits between two entries of a rank directory
+JOINED = 256             # words of letters encoded as one string
 WORDS_KEPT = 500_000     # encoded words a worker remembers; then it starts afresh
-TEXTS_AT_ONCE = 1 << 22  # bytes of text encoded together
+TEXTS_AT_ONCE = 1 << 21  # bytes of text encoded together
 
 BLOCKS = ("part int, block int, n_tokens long, n_docs long, doc_ids binary, null_ids binary, lengths binary, "
           "planes binary")
@@ -169,6 +171,11 @@ class WordEncoder:
 
     def __init__(self, path: str, kind):
         self.tokenizer, self.kind = _tokenizer(path), kind
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last = None  # which ids end a word
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
         self.ends = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in ".,"}
         self.forget()
 
@@ -176,23 +183,49 @@ class WordEncoder:
         self.place: dict[str, int] = {}
         self.start, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind), 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and each word's number of ids.
+
+        Words of letters alone are encoded many to a string: each ends with the one token that ends a word.
+        """
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words)) if self.last is not None else np.zeros(len(words), bool)
+        letters, others = [w for w, p in zip(words, plain) if p], [w for w, p in zip(words, plain) if not p]
+        lines = [" ".join(letters[k:k + JOINED]) for k in range(0, len(letters), JOINED)]
+        many = self._ids(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False))
+        cuts = np.flatnonzero(self.last[many]) + 1 if lines else np.zeros(0, np.int64)
+        if len(cuts) != len(letters):
+            self.last = None  # not such a vocabulary
+            return self._encoded(words)
+        coded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        single, sizes = self._ids(coded), np.empty(len(words), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(cuts, prepend=0), np.fromiter(map(len, coded), np.int64, len(coded))
+        out, starts = np.empty(len(many) + len(single), self.kind), np.cumsum(sizes) - sizes
+        out[_ranges(starts[plain], sizes[plain])] = many
+        out[_ranges(starts[~plain], sizes[~plain])] = single
+        return out, sizes
+
+    def _ids(self, coded: list) -> np.ndarray:
+        return np.fromiter(itertools.chain.from_iterable(e.ids for e in coded), self.kind)
+
     def _stems(self, words: pa.Array) -> np.ndarray:
         """Places of the words' encodings, new ones encoded."""
         distinct = words.to_pylist()
         if len(self.place) > WORDS_KEPT:
             self.forget()
-        new = [w for w in distinct if w not in self.place]
-        if new:
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            first, ends = len(self.place), self.used + np.cumsum(sizes)
+        place = np.fromiter(map(self.place.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first = [distinct[k] for k in missing], len(self.place)
+            ids, sizes = self._encoded(new)
+            ends = self.used + np.cumsum(sizes)
             grow = lambda a, n: a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
             self.start, self.ids = grow(self.start, first + len(new) + 1), grow(self.ids, int(ends[-1]))
-            self.ids[self.used:ends[-1]] = np.fromiter(itertools.chain.from_iterable(e.ids for e in coded), self.kind, int(sizes.sum()))
+            self.ids[self.used:ends[-1]] = ids
             self.start[first + 1:first + len(new) + 1] = ends
             self.used = int(ends[-1])
+            place[missing] = np.arange(first, first + len(new))
             self.place.update(zip(new, range(first, first + len(new))))
-        return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        return place
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's number of ids."""
@@ -225,8 +258,8 @@ class WordEncoder:
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (n[0] places), then start[1], and so on."""
-    out = np.repeat(start - (np.cumsum(n) - n), n)
-    out += np.arange(len(out))
+    out = np.repeat((start - (np.cumsum(n) - n)).astype(np.int32), n)  # places within one slice of texts or the words kept
+    out += np.arange(len(out), dtype=np.int32)
     return out
 
 
