@@ -11,7 +11,7 @@ from folioquery.functions import fixed_values as fv, text as tx
 from folioquery.operators import context as cx, memory as mm, sparse as sp, verify as vf
 from folioquery.operators.joins import pick_rows, top_rows
 from folioquery.plans.ask import answer
-from folioquery.plans.build import Store, build_store, numbered_chunks
+from folioquery.plans.build import Store, build_store, file_of, numbered_chunks
 from folioquery.plans.diagnose import explain_questions
 from folioquery.providers import containment_verifier, fill, offline
 from folioquery.session import materialize, new_table_path
@@ -47,7 +47,7 @@ walk AS (
 def report_contexts(spark, sf) -> DataFrame:
     chunks = materialize(numbered_chunks(reports(spark, sf)), "report-chunks")
     rows = chunks.where(F.col("metadata.content_type") == "table").select(
-        F.shiftright("pos", 24).alias("query_id"), F.col("id").alias("chunk_id"), "page_content",
+        file_of(F.col("pos")).alias("query_id"), F.col("id").alias("chunk_id"), "page_content",
         F.col("metadata.source").alias("source"), F.lit("table").alias("content_type"))
     hits = materialize(top_rows(rows, "query_id", [F.md5(F.col("chunk_id").cast("binary"))], 6, rank="hit"), "hits")
     return cx.build_context(hits, chunks.select("id", "text", "metadata", "prev_id", "next_id"))
@@ -76,14 +76,13 @@ def citations(spark, sf):
 SELECT c.id, p.text AS prev_text, x.text AS next_text FROM chunks c LEFT JOIN chunks p ON p.id = c.prev_id
 LEFT JOIN chunks x ON x.id = c.next_id WHERE c.content_type = 'table'""")
 def neighbor_expand(spark, sf):
-    """Neighbours of every table row. Both sides are spread by chunk id."""
-    chunks = materialize(numbered_chunks(reports(spark, sf)), "report-chunks")
-    texts = chunks.select("id", "text")
-    rows = chunks.where(F.col("metadata.content_type") == "table").select("id", "prev_id", "next_id")
-    return (
-        rows.join(texts.select(F.col("id").alias("prev_id"), F.col("text").alias("prev_text")), "prev_id", "left")
-        .join(texts.select(F.col("id").alias("next_id"), F.col("text").alias("next_text")), "next_id", "left")
-        .select("id", "prev_text", "next_text"))
+    """Neighbours of every table row, each row a hit of its own."""
+    chunks = materialize(numbered_chunks(reports(spark, sf)).select("id", "text", "metadata.content_type", "prev_id", "next_id"), "report-chunks")
+    rows = chunks.where(F.col("content_type") == "table").select(
+        F.col("id").alias("query_id"), F.lit(1).alias("hit"), "content_type", "prev_id", "next_id")
+    of = lambda c: F.get(F.filter("neighbors", lambda n: n["id"] == F.col(c)), 0)["text"]
+    return cx.with_neighbors(rows, chunks).select(
+        F.col("query_id").alias("id"), of("prev_id").alias("prev_text"), of("next_id").alias("next_text"))
 
 
 _BLOCKS = "--- Source: NIST AI 100-{c} ---\nFirst block of {k}.\nMore.\n\n--- Source: B | X ---\n Second block of {k}. \n\n"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioquery.session import spread
 
-# Tables whose rows are costly to work on, worth spreading when in one small file.
+# Tables whose rows are costly to work on.
 TEXT_TABLES = ("documents", "pages")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -114,19 +114,20 @@ def eval_rollup(spark, sf):
 
 
 @query("eval_records", """
-SELECT 'run' AS run_id, item_id AS index, 'benchmark' AS category, b.text AS question, 'none' AS expected_answer, c.text AS generated_answer,
-  coalesce((length(c.text) > 100)::INT, 0) AS retrieval_hit, quality::DOUBLE AS faithfulness, CASE WHEN quality IS NULL THEN '' ELSE 'label' END AS faithfulness_reasoning,
+SELECT 'run' AS run_id, conv_id * 1000000 + turn AS index, role AS category, 'turn ' || turn AS question, 'none' AS expected_answer, c.text AS generated_answer,
+  (length(c.text) > 100)::INT AS retrieval_hit, quality::DOUBLE AS faithfulness, CASE WHEN quality IS NULL THEN '' ELSE 'label' END AS faithfulness_reasoning,
   coalesce(quality IS NULL, true) AS judge_failed
-FROM benchmark b LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) c ON conv_id = item_id LEFT JOIN labels ON doc_id = item_id""")
+FROM conversations c LEFT JOIN labels ON doc_id = conv_id""")
 def eval_records(spark, sf):
-    golden = table(spark, sf, "benchmark").select(F.col("item_id").alias("index"), F.lit("benchmark").alias("question_category"),
-                                                  F.col("text").alias("question"), F.lit("none").alias("expected_answer"))
-    answers = table(spark, sf, "conversations").where("turn = 0").select(
-        F.col("conv_id").alias("index"), F.col("text").alias("generated_answer"), F.lit("ctx").alias("retrieved_context"),
-        (F.length("text") > 100).alias("retrieval_hit"))
+    """Every message is an item and its own answer; labels of its conversation's number are the scores."""
+    said = table(spark, sf, "conversations").withColumn("index", F.col("conv_id") * 1000000 + F.col("turn"))
+    golden = said.select("index", F.col("role").alias("question_category"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("question"),
+                         F.lit("none").alias("expected_answer"))
+    answers = said.select("index", F.col("text").alias("generated_answer"), F.lit("ctx").alias("retrieved_context"),
+                          (F.length("text") > 100).alias("retrieval_hit"))
     q = F.col("quality").cast("double")
-    scores = table(spark, sf, "labels").select(
-        F.col("doc_id").alias("index"), F.lit(False).alias("judge_failed"),
+    scores = said.join(table(spark, sf, "labels"), F.col("doc_id") == F.col("conv_id")).select(
+        "index", F.lit(False).alias("judge_failed"),
         *[c for m in fv.METRICS for c in (q.alias(m), F.lit("label").alias(f"{m}_reasoning"))])
     return ev.eval_records("run", golden, answers, scores).select(
         "run_id", "index", "category", "question", "expected_answer", "generated_answer", "retrieval_hit", "faithfulness",

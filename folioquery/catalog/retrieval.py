@@ -170,7 +170,7 @@ def chapter_cap(spark, sf):
 
 @query("parent_lookup", f"""WITH {RERANK_SQL}
 SELECT h.query_id, h.hit, h.chunk_id::VARCHAR AS chunk_id,
-  CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || l.quality ELSE left(h.text, 50) END AS text,
+  CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || l.quality ELSE h.text END AS text,
   CASE WHEN l.doc_id IS NOT NULL THEN 'label' ELSE h.source END AS source_title,
   CASE WHEN l.doc_id IS NOT NULL THEN 'toxic ' || l.toxic ELSE '' END AS chapter,
   CASE WHEN l.doc_id IS NOT NULL THEN 'list' ELSE 'prose' END AS content_type
@@ -179,7 +179,7 @@ def parent_lookup_query(spark, sf):
     """Labels stand for parents, so some hits have none and fall back."""
     hits = materialize(reranked(spark, sf).select(
         "query_id", "hit", F.col("chunk_id").cast("string").alias("chunk_id"),
-        F.substring("text", 1, 50).alias("page_content"), "source", F.lit("prose").alias("content_type")), "hits")
+        F.col("text").alias("page_content"), "source", F.lit("prose").alias("content_type")), "hits")
     none = F.lit(None)
     parents = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("id"),
@@ -204,24 +204,20 @@ def wiring_check(spark, sf):
     return ev.wiring_check(hits, parents)
 
 
-_TITLE = "split_part({}, chr(10), 1)"
-
-
 @query("jaccard_hit", f"""WITH {BM25_SQL},
-pairs AS (SELECT q.query_id, {sql_jaccard(sql_set(_TITLE.format('b.text')), sql_set(_TITLE.format('d.text')))} AS sim
-  FROM bm25 q JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = q.query_id)
+pairs AS (SELECT q.query_id, {sql_jaccard(sql_set('e.source'), sql_set('d.source'))} AS sim
+  FROM bm25 q JOIN documents d USING (doc_id) JOIN documents e ON e.doc_id = q.query_id)
 SELECT item_id AS query_id, coalesce(bool_or(sim >= 0.4), false) AS hit, round(coalesce(max(sim), 0), 6) AS best
 FROM benchmark LEFT JOIN pairs ON query_id = item_id GROUP BY item_id""")
 def jaccard_hit(spark, sf):
-    """Titles are first lines: of the question, and of its top 12 documents."""
+    """Sources are titles: document i's is expected of question i, and met in its top 12 documents."""
     ranked = materialize(sp.bm25_top(questions(spark, sf), stored_index(spark, sf)), "ranked")
-    title = lambda c: F.element_at(F.split(c, "\n", -1), 1)
-    docs = pick_rows(table(spark, sf, "documents"), ranked, "doc_id")
-    found = ranked.join(docs.select("doc_id", title(F.col("text")).alias("title")), "doc_id") \
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"))
+    found = ranked.join(pick_rows(docs, ranked, "doc_id"), "doc_id") \
                   .groupBy("query_id").agg(F.collect_list("title").alias("retrieved"))  # 12 at most
-    asked = questions(spark, sf).withColumn("expected", F.array(title(F.col("question")))) \
-                                .join(found, "query_id", "left")
+    asked = questions(spark, sf).join(docs.withColumnRenamed("doc_id", "query_id"), "query_id", "left") \
+        .withColumn("expected", F.array("title")).join(found, "query_id", "left")
     best = F.array_max(F.transform("retrieved", lambda r: jaccard(
         set_tokens(F.get("expected", 0)), set_tokens(r))))
-    return asked.select("query_id", ev.retrieval_hit(F.col("expected"), F.col("retrieved")).alias("hit"),
+    return asked.select("query_id", F.coalesce(ev.retrieval_hit(F.col("expected"), F.col("retrieved")), F.lit(False)).alias("hit"),
                         F.round(F.coalesce(best, F.lit(0.0)), 6).alias("best"))

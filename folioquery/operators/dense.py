@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folioquery.functions import fixed_values as fv
 from folioquery.operators.joins import top_rows
@@ -34,39 +34,40 @@ def _scores(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
     q2 = np.einsum("ij,ij->i", q, q)[:, None]
     m2 = np.einsum("ij,ij->i", m, m)[None, :]
     if metric == "cosine":
-        return dot / np.sqrt(q2 * m2)
+        length = np.sqrt(q2 * m2)
+        return np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)
     return np.maximum(q2 + m2 - 2.0 * dot, 0.0)
 
 
 class _Best:
-    """The best k (score, id) per question over the batches seen so far."""
+    """The best k (score, id) per question over the batches seen so far, as flat arrays."""
 
     def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str):
         self.qids, self.q, self.k, self.metric = qids, q, k, metric
         self.sign = 1.0 if metric == "l2" else -1.0
-        self.keys = [np.empty(0)] * len(qids)
-        self.ids = [np.empty(0, dtype=object)] * len(qids)
+        self.rows, self.keys, self.ids = np.empty(0, np.int64), np.empty(0), None
 
     def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        ids = ids.astype(str) if ids.dtype == object else ids
+        rows, keys, names = [self.rows], [self.keys], [ids[:0] if self.ids is None else self.ids]
         for start in range(0, len(self.qids), _CHUNK):
             block = np.round(_scores(self.q[start:start + _CHUNK], m, self.metric), 6) * self.sign
             k = min(self.k, block.shape[1])
-            bound = np.partition(block, k - 1, axis=1)[:, k - 1]
-            for row in range(block.shape[0]):
-                near = np.flatnonzero(block[row] <= bound[row])  # keeps ties at the bound
-                i = start + row
-                keys = np.concatenate([self.keys[i], block[row, near]])
-                names = np.concatenate([self.ids[i], ids[near]])
-                order = np.lexsort((names, keys))[: self.k]
-                self.keys[i], self.ids[i] = keys[order], names[order]
+            bound = np.partition(block, k - 1, axis=1)[:, k - 1:k]
+            row, column = np.nonzero(block <= bound)  # keeps ties at the bound
+            rows.append(row + start)
+            keys.append(block[row, column])
+            names.append(ids[column])
+        rows, keys, names = np.concatenate(rows), np.concatenate(keys), np.concatenate(names)
+        order = np.lexsort((names, keys, rows))
+        rows = rows[order]
+        first = np.searchsorted(rows, rows, side="left")
+        best = np.arange(len(rows)) - first < self.k
+        self.rows, self.keys, self.ids = rows[best], keys[order][best], names[order][best]
 
     def frame(self) -> pd.DataFrame:
-        sizes = [len(x) for x in self.keys]
-        return pd.DataFrame({
-            "query_id": np.repeat(self.qids, sizes),
-            "chunk_id": np.concatenate(self.ids) if self.ids else [],
-            "score": np.concatenate(self.keys) * self.sign if self.keys else [],
-        })
+        ids = [] if self.ids is None else self.ids.tolist()
+        return pd.DataFrame({"query_id": self.qids[self.rows], "chunk_id": ids, "score": self.keys * self.sign})
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -93,7 +94,8 @@ def _shipped(rows: list, vectors: DataFrame, k: int, metric: str, schema: T.Stru
             if batch.num_rows:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 best.add(ids, _matrix(batch.column(1)))
-        yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False, schema=arrow)
+        if len(best.rows):
+            yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
@@ -119,21 +121,29 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, metric: str, schema: T
                  .applyInPandas(search, schema)
 
 
+def _usable() -> Column:
+    """Vectors that can be compared: present, and every component a number."""
+    return F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 2 * fv.TOP_K, metric: str = "l2",
         max_shipped: int = MAX_SHIPPED_QUESTIONS) -> DataFrame:
     """queries(query_id, vec), vectors(chunk_id, vec) -> (query_id, chunk_id, score, rank).
 
     ``l2`` scores are squared distances, smallest first; ``cosine`` and ``dot``
     are similarities, largest first. Scores are rounded to 6 places, ties go to
-    the smaller id.
+    the smaller id. Vectors that are NULL, empty or hold NULL or NaN take no
+    part; the cosine of a zero vector with any other is 0.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     schema = _output_schema(queries, vectors)
-    head = queries.select("query_id", "vec").limit(max_shipped + 1).collect()
-    if not head:
+    queries, vectors = queries.where(_usable()), vectors.where(_usable())
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if not size["n"]:
         return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    if len(head) <= max_shipped and len(head) * len(head[0]["vec"]) * 8 <= MAX_SHIPPED_BYTES:
+    if size["n"] <= max_shipped and size["n"] * size["dim"] * 8 <= MAX_SHIPPED_BYTES:
+        head = queries.select("query_id", "vec").collect()  # measured
         near = _shipped(head, vectors, k, metric, schema)
     else:
         near = _grid(queries, vectors, k, metric, schema)

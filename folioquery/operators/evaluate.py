@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import jaccard, lstrip, set_tokens, strip
+from folioquery.session import new_table_path
 
 _REPLY_FIELDS = [f for m in fv.METRICS for f in (m, f"{m}_reasoning")]
 
@@ -29,14 +30,21 @@ def golden_errors(items: DataFrame) -> DataFrame:
     return items.select("index", F.explode(errors).alias("error"))
 
 
-def assert_golden(items: DataFrame, shown: int = 50) -> None:
-    """Fail with the violations; lists the first ones and the full count."""
-    errors = golden_errors(items)
-    n = errors.count()
+class InvalidGolden(ValueError):
+    """``errors`` names the table of all violations (index, error)."""
+
+    def __init__(self, n: int, errors: str):
+        super().__init__(f"golden set is invalid: {n} violation(s), all of them in {errors}")
+        self.errors = errors
+
+
+def assert_golden(items: DataFrame) -> None:
+    """Fail if there are violations; all of them are written to a table that the error names."""
+    spark, path = items.sparkSession, new_table_path(items.sparkSession, "golden-errors")
+    golden_errors(items).write.parquet(path)
+    n = spark.read.schema("index long, error string").parquet(path).count()
     if n:
-        first = errors.orderBy("index", "error").limit(shown).collect()
-        text = "\n".join(f"  Item {r['index']}: {r['error']}" for r in first)
-        raise ValueError(f"golden set is invalid, {n} error(s):\n{text}")
+        raise InvalidGolden(n, path)
 
 
 def find_case(golden: DataFrame, part: str) -> DataFrame:

@@ -32,8 +32,10 @@ def run_evaluation(run_id: str, golden: DataFrame, store: Store, providers: Prov
     """golden(index, question_category, question, expected_answer, sources) -> records.
 
     Every item is answered on its own, without conversation history. With
-    ``compat`` an apology for an engine error is judged like an answer.
+    ``compat`` an apology for an engine error is judged like an answer. The
+    whole golden set is checked first.
     """
+    ev.assert_golden(golden.select("index", F.to_json(F.struct(*fv.GOLDEN_FIELDS)).alias("item")))
     items = ev.subset(golden, indices or [])
     asked = items.select(F.col("index").alias("query_id"), "question")
     done = materialize(answer(asked, store, providers, profile=profile, compat=compat), "answers")

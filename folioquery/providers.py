@@ -170,9 +170,16 @@ def critic(generate: Callable[[Column], Column], context: Column, draft: Column)
 
 def prompted(embed: Callable[[Column], Column], rerank: Callable[[Column, Column], Column],
              open_reader: Callable, open_verifier: Callable, judge: Callable) -> Providers:
-    """Providers around real text clients: prompts in, cleaned answers out."""
+    """Providers around real text clients: prompts in, cleaned answers out.
+
+    ``open_reader`` is called with the generation settings, once per task. A
+    drafted row keeps its client's error beside the apology.
+    """
+    def ask(prompt: Column) -> Column:
+        return client_column(lambda: open_reader(fv.GENERATION), prompt)
+
     def read(prompt: Column) -> Column:
-        return strip_markup(client_column(open_reader, prompt)["answer"])
+        return bind(ask(prompt), lambda r: F.struct(strip_markup(r["answer"]).alias("answer"), r["error"].alias("error")))
 
     def verify(chunk: Column, claims: Column) -> Column:
         @F.pandas_udf("array<boolean>")
@@ -193,5 +200,20 @@ def prompted(embed: Callable[[Column], Column], rerank: Callable[[Column, Column
     return Providers(
         embed=embed, rerank=rerank,
         generate=lambda c, h, q: read(fill(GENERATOR_TEMPLATE, context=c, chat_history=h, question=q)),
-        regenerate=lambda c, q: read(fill(RETRY_TEMPLATE, context=c, question=q)),
+        regenerate=lambda c, q: strip_markup(ask(fill(RETRY_TEMPLATE, context=c, question=q))["answer"]),
         verify=verify, judge=judge)
+
+
+JUDGE_TEMPLATE = (
+    "Score the answer on faithfulness, relevance, completeness and correctness, each one of 0.0, 0.25, 0.5, 0.75, 1.0, and "
+    "give a reason for each as <metric>_reasoning. Reply with one JSON object.\n\nQUESTION: {question}\n\n"
+    "EXPECTED: {expected}\n\nANSWER: {answer}\n\nCONTEXT:\n{context}"
+)
+
+
+def client_judge(open_judge: Callable[[], Callable[[str], str]], **retry) -> Callable[[Column, Column, Column, Column], Column]:
+    """A judge around a text client, retried with growing waits; a reply that never comes scores as a failure."""
+    def judge(question: Column, expected: Column, answer: Column, context: Column) -> Column:
+        prompt = fill(JUDGE_TEMPLATE, question=question, expected=expected, answer=answer, context=context)
+        return client_column(lambda: with_retries(open_judge(), **retry), prompt)["answer"]
+    return judge

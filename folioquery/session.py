@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "folioquery"
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("folioquery.scan.partitions", str(partitions))
         .getOrCreate()
     )
 
@@ -27,18 +28,17 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "folioquery"
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is
-    configured (tests on one machine) is a temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is used
+    only where nothing is configured and driver and executors are one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioquery-"))
-        current = sc.getCheckpointDir()
-    return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioquery-"))
+    return sc.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -52,21 +52,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a file scan of a few small files.
+    """Deal a scan out over ``folioquery.scan.partitions`` tasks, where the session sets that.
 
-    Applies only when there are fewer files than cores and they are no larger
-    than one split; any real table is left alone, unshuffled.
+    For test machines whose tables are single files of one row group; on a
+    cluster the setting stays unset and scans are left as they are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if len(scan.inputFiles()) >= cores:
-        return scan
-    first = scan.select("_metadata.file_size").first()
-    return scan.repartition(cores) if first and first[0] <= SPLIT_BYTES else scan
+    n = scan.sparkSession.conf.get("folioquery.scan.partitions", None)
+    return scan.repartition(int(n)) if n else scan

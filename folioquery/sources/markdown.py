@@ -12,18 +12,21 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Whole markdown files, numbered from 1 in file-name order.
 
     Only .md/.markdown files count, in any case, and none with "merged" in its
-    name. Files that vanish or cannot be read are skipped. Only names are
-    sorted and numbered; texts are joined back by name.
+    name. Numbers come from the listing alone, so a file that cannot be read
+    keeps its number and is then skipped; texts are read once and joined by name.
     """
-    files = (
+    low = F.lower("file_name")
+    accepted = (low.endswith(".md") | low.endswith(".markdown")) & ~low.contains("merged")
+    name = F.col("_metadata.file_name").alias("file_name")
+    listed = spark.read.format("binaryFile").load(folder).select(name)  # contents are not opened
+    numbered = with_positions(listed.where(accepted), [F.asc("file_name")], "file_id")
+    texts = (
         spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
         .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), "value")
+        .select(name, "value")
     )
-    low = F.lower("file_name")
-    accepted = files.where((low.endswith(".md") | low.endswith(".markdown")) & ~low.contains("merged"))
-    numbered = with_positions(accepted.select("file_name"), [F.asc("file_name")], "file_id")
-    return accepted.join(numbered, "file_name").select("file_id", "file_name", "value")
+    plain = F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))).alias("file_name")  # metadata names are escaped
+    return texts.where(accepted).join(numbered, "file_name").select("file_id", plain, "value")
 
 
 def clean(docs: DataFrame, profile: str, column: str = "value") -> DataFrame:

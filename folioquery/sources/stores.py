@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import strip
@@ -22,13 +23,22 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def _jsonl_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parsed lines with their place; a broken line keeps its text in ``_bad``."""
+    """Parsed lines with their place and, from 1, their number in the file; a broken line keeps its text in ``_bad``.
+
+    Lines are counted per split of a file first, so no file is numbered in one task.
+    """
     parsed = F.from_json("value", f"{schema}, _bad STRING",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
                      F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("place"))
+    split = [F.col("place.file_path").alias("_file"), F.col("place.file_block_start").alias("_start")]
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("_n"), F.min("place.row").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
-        spark.read.text(path).select("value", place.alias("place"))
+        lines.select("*", *split).join(starts, ["_file", "_start"])
+        .select("value", "place", (F.col("place.row") - F.col("_first") + F.col("_base") + 1).alias("number"))
         .where(strip(F.col("value")) != "")
         .withColumn("r", parsed)
     )
@@ -36,8 +46,8 @@ def _jsonl_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_children(spark: SparkSession, path: str) -> DataFrame:
     """Child store: broken lines and empty contents are skipped, gaps get defaults."""
-    good = _jsonl_lines(spark, path, CHILD_SCHEMA).where(F.col("r._bad").isNull()).select("place", "r.*")
-    cid = F.coalesce("id", F.concat(F.lit("unknown_"), (F.col("place.row") + 1).cast("string")))
+    good = _jsonl_lines(spark, path, CHILD_SCHEMA).where(F.col("r._bad").isNull()).select("number", "r.*")
+    cid = F.coalesce("id", F.concat(F.lit("unknown_"), F.col("number").cast("string")))
     return good.where(F.coalesce("page_content", F.lit("")) != "").select(
         cid.alias("id"), "page_content",
         F.struct(F.coalesce("metadata.parent_link", cid).alias("parent_link"),
@@ -86,8 +96,13 @@ GOLDEN_SCHEMA = ("question_category STRING, question STRING, expected_answer STR
 
 
 def read_golden_items(spark: SparkSession, path: str) -> DataFrame:
-    """(index, item): each element of the JSON array as text, numbered from 1."""
-    items = F.from_json("value", "array<string>")
+    """(index, item): each element of the JSON array as text, numbered from 1.
+
+    A file that is not a JSON array is an error.
+    """
+    items = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")).startswith("ARRAY"),
+                   F.from_json("value", "array<string>")).otherwise(
+        F.raise_error(F.lit("golden file is not a JSON array")).cast("array<string>"))
     return spark.read.text(path, wholetext=True).select(F.posexplode(items).alias("pos", "item")) \
                 .select((F.col("pos") + 1).alias("index"), "item")
 
@@ -99,11 +114,13 @@ def golden_rows(items: DataFrame) -> DataFrame:
 def read_question_list(spark: SparkSession, path: str) -> DataFrame:
     """(category, emoji, intro, pos, entry) with ``entry`` a variant.
 
-    Entries may be plain text or objects. A category without a list of
-    questions is an error.
+    Entries may be plain text or objects. A file without a list of categories,
+    and a category without a list of questions, is an error.
     """
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    cats = doc.select(F.explode(F.try_variant_get("v", "$.categories", "array<variant>")).alias("cat"))
+    groups = F.coalesce(F.try_variant_get("v", "$.categories", "array<variant>"),
+                        F.raise_error(F.lit("missing categories list in question file")).cast("array<variant>"))
+    cats = doc.select(F.explode(groups).alias("cat"))
     text = lambda f: F.try_variant_get("cat", f"$.{f}", "string")
     listed = F.try_variant_get("cat", "$.questions", "array<variant>")
     missing = F.concat(F.lit("missing questions list in category "), F.coalesce(text("name"), F.lit("?")))

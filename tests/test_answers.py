@@ -95,6 +95,73 @@ def test_verifier_runs_on_high_risk_only(spark):
     assert (out[3]["checked"], out[3]["faithful"], out[3]["answer"]) == (False, None, "Grass. Mud.")
 
 
+def test_a_verifier_that_does_not_repeat_itself_loses_nothing(spark):
+    drafts = spark.range(400).select(
+        F.col("id").alias("query_id"), F.lit("What are the 7 items of order 9?").alias("question"), F.lit("ctx").alias("context"), F.lit("One. Two.").alias("draft"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def verify(chunk, claims):
+        @F.pandas_udf("array<boolean>")
+        def check(c, s):
+            import random
+            asked.add(len(c))
+            return s.map(lambda xs: [random.random() < 0.5 for _ in xs])
+        return check(chunk, claims)
+
+    out = vf.verify_and_retry(drafts, verify, lambda c, q: F.lit("again"))
+    rows = out.collect()
+    assert len(rows) == 400 and len({r["query_id"] for r in rows}) == 400 and asked.value == 400
+    assert all(r["retried"] is (not r["faithful"]) for r in rows) and out.collect() and asked.value == 400
+
+
+def test_failed_client_is_not_checked(spark):
+    drafts = spark.createDataFrame([(1, "What are the 7 items of order 9?", "ctx", fv.ERROR_ANSWER, "down"), (2, "What are the 7 items of order 9?", "ctx", "Sky.", None)],
+                                   "query_id int, question string, context string, draft string, error string")
+    no = lambda chunk, claims: F.transform(claims, lambda c: F.lit(False))
+    out = {r["query_id"]: r for r in vf.verify_and_retry(drafts, no, lambda c, q: F.lit("again")).collect()}
+    assert out[1]["answer"] == fv.ERROR_ANSWER and not out[1]["checked"] and not out[1]["retried"]
+    assert out[2]["retried"] and out[2]["answer"].startswith("again")
+
+
+def test_prompted_clients(spark):
+    seen = []
+
+    def open_reader(settings):
+        assert settings == fv.GENERATION
+
+        def call(p):
+            if "fail" in p:
+                raise RuntimeError("down")
+            return "**bold** reply"
+        return call
+
+    p = pv.prompted(None, None, open_reader, lambda: lambda prompt: "Yes", None)
+    df = spark.createDataFrame([("ok",), ("fail",)], "q string")
+    got = df.select(p.generate(F.lit("c"), F.lit("h"), F.col("q")).alias("r"), p.verify(F.lit("c"), F.array("q")).alias("v")).collect()
+    assert got[0]["r"]["answer"] == "bold reply" and got[0]["r"]["error"] is None and got[0]["v"] == [True]
+    assert got[1]["r"]["error"] == "down" and not seen
+    judge = pv.client_judge(lambda: lambda prompt: "{}" if "EXPECTED: e" in prompt else 1 / 0, attempts=2, sleep=lambda s: None)
+    assert df.select(judge(F.col("q"), F.lit("e"), F.lit("a"), F.lit("c")).alias("j")).first()["j"] == "{}"
+
+
+def test_answers_written_back(spark):
+    from folioquery.plans.ask import write_back
+    turns = spark.createDataFrame([(7, 0, "h", "a")], "conv_id long, turn long, human string, assistant string")
+    asked = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None)], "query_id long, conv_id long")
+    answers = asked.select("query_id", F.concat(F.lit("q"), "query_id").alias("question"), F.concat(F.lit("a"), "query_id").alias("answer"))
+    got = sorted((r["conv_id"], r["turn"], r["human"]) for r in write_back(turns, asked, answers).collect())
+    assert got == [(7, 0, "h"), (7, 1, "q1"), (7, 2, "q2"), (8, 0, "q3")]
+
+
+def test_work_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace as N
+    from folioquery.session import work_dir
+    conf = N(get=lambda *a: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(N(conf=conf, sparkContext=N(master="spark://host:7077", getCheckpointDir=lambda: None)))
+    assert work_dir(N(conf=N(get=lambda *a: "/shared"), sparkContext=N(master="yarn", getCheckpointDir=lambda: None))) == "/shared"
+
+
 def test_client_errors_stay_in_their_row(spark):
     def open_client():
         def call(p):
@@ -156,8 +223,9 @@ def test_golden_errors(spark):
     items = spark.createDataFrame([(1, good), (2, "[1]"), (3, '{"question": " ", "question_category": 5}'), (4, "oops")], "index int, item string")
     got = sorted((r["index"], r["error"]) for r in ev.golden_errors(items).collect())
     assert [g[0] for g in got] == [2, 3, 3, 3, 4] and got[0][1] == "not an object"
-    with pytest.raises(ValueError, match="5 error"):
+    with pytest.raises(ValueError, match="5 violation") as caught:
         ev.assert_golden(items)
+    assert spark.read.parquet(caught.value.errors).count() == 5
     ev.assert_golden(items.where("index = 1"))
 
 
@@ -250,6 +318,31 @@ def test_child_lines(spark, tmp_path):
     assert st.rejected_lines(spark, str(tmp_path)).count() == 1
 
 
+def test_unreadable_file_keeps_its_number(spark, tmp_path, monkeypatch):
+    for name in ("a.md", "b.md", "c d.md"):
+        (tmp_path / name).write_text(f"# {name}\n")
+    scan = spark.read.format("binaryFile").load(str(tmp_path))
+    assert scan.count() == 3
+    rows = read_markdown(spark, str(tmp_path))
+    (tmp_path / "b.md").unlink()  # listed, but gone when it is read
+    assert sorted((r["file_id"], r["file_name"]) for r in rows.collect()) == [(1, "a.md"), (3, "c d.md")]
+
+
+def test_child_ids_are_line_numbers_of_their_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(['{"id": "x", "page_content": "t"}', "", '{"page_content": "%s"}' % name]))
+    assert sorted(r["id"] for r in st.read_children(spark, str(tmp_path)).collect()) == ["unknown_3", "unknown_3", "x", "x"]
+
+
+def test_malformed_files_fail(spark, tmp_path):
+    (tmp_path / "g.json").write_text("{not json")
+    (tmp_path / "q.json").write_text('{"groups": []}')
+    with pytest.raises(Exception, match="not a JSON array"):
+        st.read_golden_items(spark, str(tmp_path / "g.json")).collect()
+    with pytest.raises(Exception, match="missing categories"):
+        st.read_question_list(spark, str(tmp_path / "q.json")).collect()
+
+
 def test_parent_last_duplicate_wins(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"id": "a", "text": "old"}\n{"id": "a", "text": "new"}\n')
     assert [r["text"] for r in st.read_parents(spark, str(tmp_path)).collect()] == ["new"]

@@ -210,3 +210,20 @@ def test_append_and_clear(spark):
     assert sorted((r["conv_id"], r["turn"], r["human"]) for r in both.collect()) == [
         (1, 0, "h"), (1, 1, "h"), (1, 2, "x"), (1, 3, "x2"), (3, 0, "z")]
     assert mm.clear_conversations(both, spark.createDataFrame([(1,)], "conv_id int")).count() == 1
+
+
+def test_chunk_keys_hold_any_size(spark):
+    from folioquery.plans.build import chunk_key, file_of
+    rows = [(1, 2**24), (2, 0), (2**40, 5), (2**40, 2**33), (2, 1)]
+    keyed = spark.createDataFrame(rows, "f long, n long").select("f", "n", chunk_key(F.col("f"), F.col("n")).alias("k"), file_of(chunk_key(F.col("f"), F.col("n"))).alias("g"))
+    got = keyed.orderBy("k").collect()
+    assert [(r["f"], r["n"]) for r in got] == sorted(rows) and all(r["f"] == r["g"] for r in got) and len({r["k"] for r in got}) == len(rows)
+
+
+@pytest.mark.parametrize("shipped", [16_384, 0])
+def test_knn_leaves_out_what_cannot_be_compared(spark, shipped):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [0.6, 0.8]), (6, [None, 1.0]), (7, [])],
+                                    "chunk_id long, vec array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id long, vec array<double>")
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in knn(asked, vectors, 3, "cosine", max_shipped=shipped).collect())
+    assert got == [(1, 1, 1, 1.0), (1, 2, 5, 0.6), (1, 3, 4, 0.0), (3, 1, 1, 0.0), (3, 2, 4, 0.0), (3, 3, 5, 0.0)]
