@@ -49,8 +49,9 @@ def universal_ids(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + fv.UNIVERSAL_ID), F.lit(0)), normal)
 
 
-# A word every match of the pattern contains, to skip texts without it.
-_STANDARD_HINTS = ("iso", "sp", "nist", "o", "fips", "rfc", "ieee")
+# A word and a run of digits that every match of the pattern contains, to skip texts without them.
+_STANDARD_HINTS = (("iso", r"\d{4}"), ("sp", r"\s\d{3}-\d{3}"), ("nist", r"\s\d{3}"), ("o", r"\s\d{5}"), ("fips", r"\s\d"),
+                   ("rfc", r"\s\d{4}"), ("ieee", r"\s\d{3}"))
 
 
 def standard_ids(text: Column) -> Column:
@@ -59,8 +60,9 @@ def standard_ids(text: Column) -> Column:
     for variant, plain in (("ſ", "s"), ("ı", "i"), ("i̇", "i")):  # letters that equal s and i in any case
         low = F.replace(low, F.lit(variant), F.lit(plain))
     found = F.flatten(F.array(*[
-        F.when(F.contains(low, F.lit(hint)), F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0))).otherwise(_none())
-        for p, hint in zip(fv.STANDARD_IDS, _STANDARD_HINTS, strict=True)]))
+        F.when(F.contains(low, F.lit(word)) & text.rlike(f"(?U){digits}"),
+               F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0))).otherwise(_none())
+        for p, (word, digits) in zip(fv.STANDARD_IDS, _STANDARD_HINTS, strict=True)]))
     return F.transform(found, lambda m: F.regexp_replace(strip(F.upper(m)), r"(?U)\s+", "_"))
 
 

@@ -54,7 +54,7 @@ def compare(spark, con, sf: str, name: str, fn, sql: str | None) -> tuple[bool,
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - t
     if sql is None:
-        return True, f"{len(got)} rows, no SQL, {took:.1f}s"
+        return False, f"{len(got)} rows, no SQL, {took:.1f}s"
     t = time.time()
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
