@@ -42,7 +42,7 @@ QUERIES = {
     "build_sparse_index": build_sparse,
     "build_store": build_all,
     **{name: REGISTERED[name] for name in (
-        "document_chunks", "ref_ids", "bm25_top12", "knn_l2", "rrf_fusion", "rerank_lexical", "answer_plan",
+        "document_chunks", "report_chunks", "ref_ids", "bm25_top12", "knn_l2", "rrf_fusion", "rerank_lexical", "answer_plan",
         "history_window_1000", "eval_rollup", "log_pairing", "latency_p80")},
 }
 

@@ -14,18 +14,31 @@ from folioquery.providers import offline
 from folioquery.session import new_table_path
 from folioquery.streaming.logs import answer_stream, last_carry, memory_stream, pair_stream
 
+PARTS = 3
 
-def _as_stream(spark, df, name):
-    """Hand a table to a stream through the work folder."""
-    path = new_table_path(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+
+def _stream_in_parts(spark, df, part, name, start):
+    """Hand a table to a stream part by part, stopping and starting again between them.
+
+    So every part after the first is a micro-batch that needs what the ones
+    before it left. Returns the last query that had rows.
+    """
+    path, last = new_table_path(spark, name), None
+    for n in range(PARTS):
+        df.where(part == n).write.mode("append").parquet(path)
+        q = start(spark.readStream.schema(df.schema).parquet(path))
+        q.awaitTermination()
+        last = q if q.lastProgress and q.lastProgress["numInputRows"] else last
+    return last
 
 
 @query("stream_log_pairing", f"WITH {PAIR_SQL} SELECT event_id, risk, total FROM pairs")
 def stream_log_pairing(spark, sf):
-    out = new_table_path(spark, "pair-stream")
-    pair_stream(_as_stream(spark, log_lines(spark, sf), "lines"), ORDER, out, f"{out}/checkpoint").awaitTermination()
+    out, lines = new_table_path(spark, "pair-stream"), log_lines(spark, sf)
+    cuts = lines.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3]).alias("c")).first()["c"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.when(at < cuts[0], 0).when(at < cuts[1], 1).otherwise(2)
+    _stream_in_parts(spark, lines, part, "lines", lambda s: pair_stream(s, ORDER, out, f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/pairs").select("event_id", "risk", "total")
 
 
@@ -33,8 +46,8 @@ def stream_log_pairing(spark, sf):
 def stream_memory(spark, sf):
     out = new_table_path(spark, "memory-stream")
     turns = turns_from_messages(table(spark, sf, "conversations"))
-    q = memory_stream(_as_stream(spark, turns, "turns"), out, f"{out}/checkpoint")
-    q.awaitTermination()
+    part = F.when(F.col("turn") < 2, 0).when(F.col("turn") < 4, 1).otherwise(2)
+    q = _stream_in_parts(spark, turns, part, "turns", lambda s: memory_stream(s, out, f"{out}/checkpoint"))
     line = F.length("human") + F.length("assistant") + 19
     return last_carry(spark, q, out).select("conv_id", "turn", line.alias("n_chars"))
 
@@ -43,6 +56,6 @@ def stream_memory(spark, sf):
 def stream_answers(spark, sf):
     out = new_table_path(spark, "answer-stream")
     store, models = pipeline_store(spark, sf), offline()
-    stream = _as_stream(spark, questions(spark, sf), "questions")
-    answer_stream(stream, lambda q: answer(q, store, models), out, f"{out}-checkpoint").awaitTermination()
+    _stream_in_parts(spark, questions(spark, sf), F.pmod("query_id", F.lit(PARTS)), "questions",
+                     lambda s: answer_stream(s, lambda q: answer(q, store, models), out, f"{out}-checkpoint"))
     return spark.read.parquet(out).select("query_id", "risk_level", "answer")
