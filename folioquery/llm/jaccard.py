@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery.llm.common import components, measured, read, whole_groups
-from folioquery.operators.joins import pick_rows
+from folioquery.operators.joins import fits_broadcast, pick_rows
 from folioquery.session import materialize
 
 WORDS = 3            # of a shingle
@@ -46,6 +46,8 @@ PERCENT = 90         # 100 * intersection >= PERCENT * union links
 SHARED = 0.2         # cost model: chance that an element is shared with another document of the band
 CHECK = 0.1          # and the cost of comparing two sketches, in index rows
 SKETCH_BITS = 512, 4096  # least and most; beyond, sketches of long texts cut less
+TEXTS_AT_ONCE = 500
+WANTED_KEYS = 4_000_000  # keys of larger buckets that are sent to the tasks, 8 bytes each
 BLOCK = 1024         # members of a bucket that meet in one task
 PAIRS_AT_ONCE = 1 << 18
 
@@ -119,7 +121,7 @@ def allocate(band: int, population: int, percent: int = PERCENT) -> tuple[int, i
                 size = top / (m + extra)
                 tiny = (m + extra - ones) * math.exp(-size) * (1 + size * (small - 1))
                 extra = math.ceil(tiny + 3 * math.sqrt(tiny))
-            if extra <= (budget + 1) / 4:
+            if extra <= (budget + 1) / (4 if small == 1 else 16):
                 spare, least = extra, small
         m, size = m + spare, top / (m + spare)
         seen = CHECK * population
@@ -196,32 +198,60 @@ class _Sketches:
 
 
 def _texts(batch: pd.DataFrame):
-    return (t if isinstance(t, str) else "" for t in batch["text"])
+    """Texts of a batch, some at a time."""
+    for a in range(0, len(batch), TEXTS_AT_ONCE):
+        part = batch.iloc[a:a + TEXTS_AT_ONCE]
+        yield part, [t if isinstance(t, str) else "" for t in part["text"]]
 
 
 def index_rows(docs: DataFrame, plan: dict, width: int, percent: int) -> DataFrame:
-    """Document rows (doc_id, n, cls, bucket null) and, in the same pass, index rows (cls, bucket)."""
+    """Index rows (bucket, cls) of all sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, classes, keys, owners, seen = [], [], [], [], set()
-            for text in _texts(batch):
-                elements = shingle_set(text, width)
-                sizes.append(len(elements))
-                classes.append(set_class(elements))
-                if len(elements) and classes[-1] not in seen:
-                    seen.add(classes[-1])
-                    keys.append(index_keys(elements, plan, percent).view(np.int64))
-                    owners.append((classes[-1], len(keys[-1])))
-            ids = batch["doc_id"].astype("Int64")
-            yield pd.DataFrame({"doc_id": ids, "n": sizes, "cls": classes, "bucket": pd.array([None] * len(ids), "Int64")})
-            for a in range(0, len(keys), 500):
-                bucket = np.concatenate(keys[a:a + 500])
-                if len(bucket):
-                    cls = np.repeat(np.array([o[0] for o in owners[a:a + 500]], np.int64), [o[1] for o in owners[a:a + 500]])
+            seen: set = set()
+            for _, texts in _texts(batch):
+                keys, owners = [np.empty(0, _U)], []
+                for text in texts:
+                    elements = shingle_set(text, width)
+                    cls = set_class(elements)
+                    if len(elements) and cls not in seen:
+                        seen.add(cls)
+                        keys.append(index_keys(elements, plan, percent))
+                        owners.append((cls, len(keys[-1])))
+                if owners:
+                    yield pd.DataFrame({"bucket": np.concatenate(keys).view(np.int64), "cls": np.repeat(*np.array(owners, np.int64).T)})
+
+    return docs.select("text").mapInPandas(run, "bucket long, cls long")
+
+
+def document_rows(docs: DataFrame, plan: dict, width: int, percent: int, wanted: np.ndarray | None) -> DataFrame:
+    """Document rows (doc_id, n, cls), and in the same pass index rows (bucket, cls) of the wanted buckets."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.value
+        for batch in batches:
+            seen: set = set()
+            for part, texts in _texts(batch):
+                sizes, classes, keys, owners = [], [], [np.empty(0, np.int64)], []
+                for text in texts:
+                    elements = shingle_set(text, width)
+                    sizes.append(len(elements))
+                    classes.append(set_class(elements))
+                    if wanted is not None and len(wanted) and len(elements) and classes[-1] not in seen:
+                        seen.add(classes[-1])
+                        found = index_keys(elements, plan, percent).view(np.int64)
+                        found = found[wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found]
+                        keys.append(found)
+                        owners.append((classes[-1], len(found)))
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": sizes, "cls": classes,
+                                    "bucket": pd.array([pd.NA] * len(part), "Int64")})
+                if sum(n for _, n in owners):
+                    bucket = pd.array(np.concatenate(keys), "Int64")
                     none = pd.array(np.zeros(len(bucket), np.int64), "Int64")
-                    none[:] = None
-                    yield pd.DataFrame({"doc_id": none, "n": 0, "cls": cls, "bucket": pd.array(bucket, "Int64")})
+                    none[:] = pd.NA
+                    yield pd.DataFrame({"doc_id": none, "n": 0, "cls": np.repeat(*np.array(owners, np.int64).T), "bucket": bucket})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cls long, bucket long")
 
@@ -231,12 +261,13 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, percent: int) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in _texts(batch)]
-            yield pd.DataFrame({"cls": [set_class(s) for s in sets], "n": [len(s) for s in sets],
-                                "elements": [s.tobytes() for s in sets], "sketch": [sketch(s, percent) for s in sets]})
+            for _, texts in _texts(batch):
+                sets = [shingle_set(t, width) for t in texts]
+                yield pd.DataFrame({"cls": [set_class(s) for s in sets], "n": [len(s) for s in sets],
+                                    "elements": [s.tobytes() for s in sets], "sketch": [sketch(s, percent) for s in sets]})
 
     picked = pick_rows(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
-    return picked.mapInPandas(run, "cls long, n long, elements binary, sketch binary").dropDuplicates(["cls"])
+    return picked.mapInPandas(run, "cls long, n long, elements binary, sketch binary")
 
 
 def _bucket_pairs(frame: pd.DataFrame):
@@ -338,16 +369,20 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         population[k] = population.get(k, 0) + row["c"]
     last = max(population, default=0) + 8
     plan = {k: allocate(k, population.get(k, 0) + population.get(k - 1, 0), percent) for k in range(min(last, len(limits) - 2) + 1)}
-    rows = materialize(index_rows(docs, plan, width, percent), "jaccard-index")
-    texts = rows.where("bucket IS NULL").select("doc_id", "n", "cls")
-    index = rows.where("bucket IS NOT NULL").select("bucket", "cls")
-
+    index = index_rows(docs, plan, width, percent)
     shared = materialize(index.groupBy("bucket").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.count("*").alias("_c"))
                          .where("_lo != _hi"), "jaccard-buckets")
     two = shared.where("_c = 2").select("_lo", "_hi").distinct().select(  # a pair shares many buckets and is met once
         F.xxhash64("_lo", "_hi").alias("bucket"), F.explode(F.array("_lo", "_hi")).alias("cls"), F.lit(1).alias("_blocks"))
     large = shared.where("_c > 2").select("bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks"))
-    many = index.join(measured(large), "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks"))
+    # The texts are read again, not the index written: its rows would outweigh the texts. Only the
+    # rows of larger buckets leave the tasks, while these buckets' keys are few; else they are joined.
+    few = fits_broadcast(large, WANTED_KEYS)
+    wanted = np.sort(large.select("bucket").toPandas()["bucket"].to_numpy(np.int64)) if few else None
+    rows = materialize(document_rows(docs, plan, width, percent, wanted), "jaccard-documents")
+    texts = rows.where("bucket IS NULL").select("doc_id", "n", "cls")
+    of_large = rows.where("bucket IS NOT NULL").select("bucket", "cls") if few else index
+    many = of_large.join(measured(large), "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks"))
     members = materialize(two.unionAll(many), "jaccard-members")
     first = texts.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(members.select("cls").distinct(), "cls", "left_semi")
@@ -360,7 +395,7 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     likely = materialize(candidates(sketched.withColumn("component", F.col("cls")), percent, True), "jaccard-forest")
     links = materialize(verified(likely, sets, percent), "jaccard-links")
-    nodes = sets.select(F.col("cls").alias("id"))
+    nodes = sets.select(F.col("cls").alias("id")).distinct()
     groups = materialize(components(nodes, links, "jaccard"), "jaccard-groups").withColumnRenamed("id", "cls")
     rest = candidates(sketched.join(groups, "cls"), percent, False).join(likely, ["a", "b"], "left_anti")
     more = materialize(verified(rest, sets, percent), "jaccard-links")

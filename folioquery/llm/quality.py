@@ -106,7 +106,9 @@ def with_verdicts(signals: DataFrame, limits: DataFrame) -> DataFrame:
     joined = signals.join(F.broadcast(limits) if fits_broadcast(limits) else limits, same, "left")
     over = F.expr("exists(arrays_zip(_bins, _limits), x -> x._bins > x._limits)")
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False)))
+    # One expression that a filter cannot be split from, or the signals would be computed once more below the join.
+    kept = ~F.exists(F.array("base_failed", F.coalesce(over, F.lit(False))), lambda bad: bad)
+    return joined.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
 def judge(docs: DataFrame) -> DataFrame:
