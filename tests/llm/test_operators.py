@@ -429,7 +429,7 @@ def test_language_model_learns(spark):
 
 def test_code_is_a_probability():
     from folioquery.llm import context_mixing as cm
-    offsets, nodes, bits = cm.huffman(np.array([5, 1, 9, 3, 3]))
+    offsets, nodes, bits, _ = cm.huffman(np.array([5, 1, 9, 3, 3]))
     assert math.isclose(sum(2.0 ** -n for n in np.diff(offsets)), 1)
     paths = {tuple(zip(nodes[a:b], bits[a:b])) for a, b in zip(offsets, offsets[1:])}
     assert len(paths) == 5 and set(nodes) == set(range(4))
