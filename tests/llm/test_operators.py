@@ -277,7 +277,7 @@ def test_n_best_against_all_paths(vocabulary):
     def paths(text, at=0):
         if at == len(text):
             return [(0, ())]
-        edges = [(j, c, ids) for j, into in enumerate(v.lattice(text)[0]) for i, c, ids in into if i == at]
+        edges = [(j, c, ids) for j, into in enumerate(v.lattice(text)[0]) for i, (c, ids) in into if i == at]
         return [(c + d, ids + rest) for j, c, ids in edges for d, rest in paths(text, j)]
 
     for text in (" the cat", " über", "日本", " a", "x  y", " token"):
