@@ -427,6 +427,31 @@ def test_language_model_learns(spark):
     assert held.s > 0.6 * held.b  # a third of the choices to make
 
 
+def test_language_model_tells_all_contexts_apart(spark):
+    from folioquery.llm import context_mixing as cm
+    texts = [f"rare{i} {'left' if i % 2 else 'right'}" for i in range(40_000)]  # more words than symbols
+    df = spark.createDataFrame([(i, t + " ") for i, t in enumerate(texts)] + [(100_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    chunks = cm.chunk_documents(df)
+    counts = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.*").where("counts > 0")
+    counts = counts.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"))
+    code = cm.build_code(counts)
+    tree, want, got = cm.leaves(code), Counter(), Counter()
+    coded = cm.code_chunks(chunks, counts, code)
+    for row in cm.with_counts(coded, code).collect():
+        along, starts = cm._paths(row, tree)
+        tokens = cm._unpacked(row.tokens)
+        n = np.diff(code.offsets)[np.frombuffer(row.symbols, np.uint16)[tokens]]
+        learned = ~np.repeat(np.frombuffer(row.held, bool), np.frombuffer(row.lengths, np.int64))
+        hashes = np.frombuffer(row.hashes, np.uint64)[tokens].tolist()
+        lengths = np.frombuffer(row.lengths, np.int64)
+        for first in (np.cumsum(lengths) - lengths).tolist():
+            context = hashes[first]
+            want[context] += int(learned[first + 1])
+            got[context] = int(along[starts[0, first + 1]])  # all that followed this word
+            assert along[starts[0, first + 1] + n[first + 1]] == got[context]  # one symbol only
+    assert len(got) == len(texts) and got == want
+
+
 def test_code_is_a_probability():
     from folioquery.llm import context_mixing as cm
     offsets, nodes, bits, _ = cm.huffman(np.array([5, 1, 9, 3, 3]))
