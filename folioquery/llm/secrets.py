@@ -12,15 +12,24 @@ that map is known.
 Defined results: null is an empty text; empty texts have no spans (empty
 strings, zero counts); repeated rows give repeated results; whole texts of any
 length are scanned; an empty table gives no rows; other columns are ignored.
-MAX_LAYER is a safety limit against decompression bombs: a compressed layer
-that would grow beyond it stays closed.
+Base64 and hex may be wrapped in lines or stand behind or before separators of
+a path. Bytes are a layer if they are valid UTF-8 or compressed (gzip, zlib, bz2, xz, all
+their members, or raw deflate that ends with its data); a stream that breaks off gives what
+came before. Layers beyond MAX_LAYER are scanned as a stream in pieces that
+overlap by OVERLAP characters; only there, a further encoded run that is longer than
+the overlap and crosses the edge of a piece may stay closed.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import bz2
+import codecs
 import hashlib
+import itertools
+import lzma
 import re
 import zlib
 from collections import deque
@@ -44,7 +53,14 @@ ESCAPE = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
 ESCAPE_UNIT = re.compile(r"((?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_LAYER = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+SEPARATOR = re.compile(r"[/_-]")
+HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2})+")
+MIN_RUN = 16
 MAX_LAYER = 1 << 26
+OVERLAP = 1 << 20
+PIECE = 1 << 20       # bytes that a decompressor gives at once
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -105,42 +121,168 @@ def _escaped(units: str) -> tuple[str, list[int]]:
     return "".join(out), kept
 
 
-def _plain(data: bytes) -> str | None:
+def _engine(head: bytes):
+    """Maker of the decompressor for data that begin so, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor
+    if len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return lambda: zlib.decompressobj(15)
+    return None
+
+
+def _pumped(engine, data: bytes) -> Iterator[bytes]:
+    while not engine.eof:
+        out = engine.decompress(data, PIECE)
+        if out:
+            yield out
+        data = getattr(engine, "unconsumed_tail", b"")
+        if not data and len(out) < PIECE and getattr(engine, "needs_input", True):
+            break
+
+
+def _members(chunks: Iterator[bytes], make) -> Iterator[bytes]:
+    """All members of a compressed stream; what breaks off gives what came before."""
+    engine = make()
+    try:
+        for chunk in chunks:
+            while chunk:
+                if engine.eof:
+                    make = _engine(chunk)
+                    if make is None:
+                        return
+                    engine = make()
+                yield from _pumped(engine, chunk)
+                chunk = engine.unused_data if engine.eof else b""
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        return
+
+
+def _deflated(data: bytes) -> bool:
+    """Whether all of the data are one raw deflate stream."""
+    engine = zlib.decompressobj(-15)
+    try:
+        any_ = [True for _ in _pumped(engine, data)]
+    except zlib.error:
+        return False
+    return bool(any_) and engine.eof and not engine.unused_data
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """A stream as text: one piece, or overlapping ones beyond MAX_LAYER; nothing more where it is no UTF-8."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")(), [], 0
+    try:
+        for chunk in chunks:
+            held.append(decoder.decode(chunk))
+            size += len(held[-1])
+            if size > MAX_LAYER:
+                piece = "".join(held)
+                yield piece
+                held, size = [piece[-OVERLAP:]], min(OVERLAP, len(piece))
+        held.append(decoder.decode(b"", True))
+    except UnicodeDecodeError:
+        return
+    if text := "".join(held):
+        yield text
+
+
+def _plain(data: bytes) -> Iterator[str]:
     """Bytes as text, if they are compressed or are text."""
-    for _ in range(64):  # compressed again and again; ends earlier when it is no longer compressed
-        if data[:2] == b"\x1f\x8b":
-            opened = _inflate(data, 31)
-        elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            opened = _inflate(data, 15)
-        else:
+    chunks, head = iter([data]), data
+    for depth in range(64):  # compressed again and again; ends earlier when it is no longer compressed
+        make = _engine(head)
+        if make is None:
             break
-        if opened is None:
+        inner = _members(itertools.chain([head], chunks if depth else ()), make)
+        first = next(inner, b"")
+        if not first:
             break
-        data = opened
+        head, chunks = first, inner
+    else:
+        return
+    if chunks is not None and head is not data:
+        yield from _texts(itertools.chain([head], chunks))
+        return
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        if _deflated(data):
+            yield from _texts(_pumped(zlib.decompressobj(-15), data))
+        return
+    if text:
+        yield text
 
 
-def _inflate(data: bytes, window: int) -> bytes | None:
-    engine = zlib.decompressobj(window)
+def _bytes(run: str) -> bytes:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:  # the last character has no byte
+        body = body[:-1]
     try:
-        out = engine.decompress(data, MAX_LAYER)
-    except zlib.error:
-        return None
-    return out if engine.eof else None
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
 
 
-def _base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _likely(head: str) -> bool:
+    """Whether a run that begins so can be text or compressed."""
+    data = _bytes(head[:len(head) // 4 * 4])
+    if _engine(data):
+        return True
     try:
-        return _plain(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
-    except (binascii.Error, ValueError):
-        return None
+        codecs.getincrementaldecoder("utf-8")().decode(data[:12])
+        return True
+    except UnicodeDecodeError:
+        pass
+    try:
+        zlib.decompressobj(-15).decompress(data, PIECE)
+        return True
+    except zlib.error:
+        return False
+
+
+def _base64(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, decoded) in a run: of all of it, or of what stands between its separators."""
+    starts = [0, *(m.end() for m in SEPARATOR.finditer(run))]
+    done = 0
+    for start in starts:
+        if start < done or len(run) - start < MIN_RUN or start and not _likely(run[start:start + 1024]):
+            continue
+        data, end = _bytes(run[start:]), len(run)
+        found = False
+        for plain in _plain(data):
+            yield start, end, plain
+            found = True
+        if not found and len(starts) > 1:
+            try:
+                data.decode("utf-8")
+            except UnicodeDecodeError as e:  # text up to a separator that is none of its own
+                end = max((s - 1 for s in starts if s > start + MIN_RUN and (s - 1 - start) * 3 // 4 <= e.start), default=0)
+                for plain in _plain(_bytes(run[start:end])) if end else ():
+                    yield start, end, plain
+                    found = True
+        if found:
+            done = end
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run without its breaks) of lines of one width, with or without the lines before and behind, likeliest first."""
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+        k = 0
+        while k < len(lines):
+            width, last = lines[k][1] - lines[k][0], k + 1
+            while last < len(lines) and lines[last][1] - lines[last][0] == width:
+                last += 1
+            if width >= MIN_RUN:
+                shorter = last < len(lines) and lines[last][1] - lines[last][0] < width
+                for a in ([k - 1] if k else []) + [k]:
+                    for b in ([last + 1] if shorter else []) + [last]:
+                        if b - a > 1:
+                            yield lines[a][0], lines[b - 1][1], "".join(text[x:y] for x, y in lines[a:b])
+            k = last
 
 
 def layers(text: str) -> Iterator[tuple[int, int, str, list[int] | None]]:
@@ -155,12 +297,24 @@ def layers(text: str) -> Iterator[tuple[int, int, str, list[int] | None]]:
             plain, places = _mapped(m[0], ESCAPE_UNIT, _escaped)
             if plain != m[0]:
                 yield m.start(), m.end(), plain, places
+    joined = [(0, 0)]
+    for start, end, run in _wrapped(text) if "\n" in text else ():
+        if start < joined[-1][1]:
+            continue
+        data = bytes.fromhex(run) if HEX_RUN.fullmatch(run) else _bytes(run)
+        for plain in _plain(data):
+            yield start, end, plain, None
+            if joined[-1] != (start, end):
+                joined.append((start, end))
+    inside = lambda at: joined[bisect.bisect(joined, (at, len(text) + 1)) - 1][1] > at
     for m in BASE64.finditer(text):
-        if (plain := _base64(m[0])) is not None:
-            yield m.start(), m.end(), plain, None
+        if not inside(m.start()):
+            for a, b, plain in _base64(m[0]):
+                yield m.start() + a, m.start() + b, plain, None
     for m in HEX_LAYER.finditer(text):
-        if (plain := _plain(bytes.fromhex(m[0]))) is not None:
-            yield m.start(), m.end(), plain, None
+        if not inside(m.start()):
+            for plain in _plain(bytes.fromhex(m[0])):
+                yield m.start(), m.end(), plain, None
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -179,8 +333,6 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         seen.add(key)
         spans.update((kind, *place(a, b)) for kind, a, b in base_spans(layer))
         for start, end, plain, places in layers(layer):
-            if len(plain) > MAX_LAYER:
-                continue
             work.append((plain, lambda a, b, s=start, e=end, p=places, up=place: up(s + p[a], s + p[b]) if p else up(s, e)))
     return base, sorted(spans, key=_order)
 

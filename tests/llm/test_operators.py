@@ -382,6 +382,33 @@ def test_secrets_in_layers():
     assert secrets.scan("%25252525 " * 50 + "QUJD" * 10)[1] == []
 
 
+def test_secrets_in_wrapped_and_framed_layers(monkeypatch):
+    import bz2
+    import lzma
+    from folioquery.llm import secrets
+    rng = np.random.default_rng(1)
+    noise = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 60))
+    inner = f"{noise} password=hunter2hunter2 {noise}".encode()
+    deflate = zlib.compressobj(wbits=-15)
+    raw = deflate.compress(inner) + deflate.flush()
+    code = lambda b: base64.b64encode(b).decode()
+    payloads = {"mime": base64.encodebytes(inner).decode().rstrip(), "mime-gzip": base64.encodebytes(gzip.compress(inner)).decode().rstrip(),
+                "hex": "\n".join(re.findall(".{1,60}", inner.hex().upper())), "indented": base64.encodebytes(inner).decode().rstrip().replace("\n", "\r\n  "),
+                "path": "com/p/" + code(inner), "path-gzip": "com/some-path_x/" + code(gzip.compress(inner)), "before": code(inner[:len(inner) // 3 * 3]) + "/x/y",
+                "space": code("\u00a0\ufeff\u200b\f ".encode() + inner), "deflate": code(raw), "bz2": code(bz2.compress(inner)), "xz": code(lzma.compress(inner)),
+                "members": code(gzip.compress(b"first ") + gzip.compress(inner)), "again": code(gzip.compress(bz2.compress(inner)))}
+    for name, payload in payloads.items():
+        for after in (" prose after", "\nprose\nafter"):
+            text = f"prose before {payload}{after}"
+            spans = [s for s in secrets.scan(text)[1] if s[0] != "hex"]  # the digits of a hex layer are hex strings themselves
+            assert [k for k, _, _ in spans] == ["assign"], name
+            assert 13 <= spans[0][1] < spans[0][2] <= 13 + len(payload) + 6, name
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 20)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    large = b"a b c " * 500_000 + b"token=abcdefgh12 " + b"a b c " * 500_000
+    assert [k for k, _, _ in secrets.scan("x " + code(gzip.compress(large)))[1]] == ["assign"]
+
+
 def test_secret_rows(docs, empty):
     from folioquery.llm import secrets
     got = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
