@@ -220,6 +220,21 @@ def test_vector_dups(spark):
 
 # --- 4 ------------------------------------------------------------------------
 
+def test_vector_dups_in_a_dense_label(spark):
+    from folioquery.llm import vector_dups
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, n, pairs = unit(rng.standard_normal(256)), 8000, 2000
+    x = unit(3 * centre + unit(rng.standard_normal((n, 256))))  # mutual cosine 0.9
+    y = unit(x[:pairs] + 0.195 * unit(rng.standard_normal((pairs, 256))))  # isolated pairs at 0.981
+    rows = np.concatenate([x, y]).astype(np.float32)
+    want = {(k, n + k) for k in range(pairs) if rows[k].astype(float) @ rows[n + k] >= 0.98 * np.linalg.norm(rows[k].astype(float)) * np.linalg.norm(rows[n + k].astype(float))}
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label int").repartition(4)
+    found = {(r.component_id, r.vec_id) for r in vector_dups.near_duplicates(df).where("NOT kept").collect()}
+    assert len(want) > 1000 and found <= want
+    assert len(want - found) <= 1
+
+
 def brute_targets(sizes):
     names = sorted({s for s, _ in sizes}, key=lambda s: (s is None, s or ""))
     total = Counter()
