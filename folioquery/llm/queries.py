@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folioquery.llm import context_mixing, jaccard, line_templates, mixing, pieces, quality, secrets, toxicity, vector_dups, wavelet
+from folioquery.llm import (
+    context_mixing, jaccard, language, line_templates, manifest, mixing, periods, pieces, quality, secrets, toxicity, vector_dups, wavelet)
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_vector_dups": vector_dups.op8_vector_dups,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_line_templates": line_templates.op10_line_templates,
+    "op11_language_id": language.op11_language_id,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLES = {
@@ -22,4 +26,6 @@ ORACLES = {
     "op8_vector_dups": vector_dups.SQL,
     "op9_jaccard_join": jaccard.SQL,
     "op10_line_templates": line_templates.SQL,
+    "op12_merkle_manifest": manifest.SQL,
+    "op13_periodic_runs": periods.SQL,
 }
