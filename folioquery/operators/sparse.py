@@ -3,13 +3,16 @@
 The index is ``postings(doc_id, term, tf, dl)``, ``terms(term, df)`` and the
 one-row ``stats``. Postings are built row by row from each text, so building
 them moves no text between machines; only term counts are shuffled, after
-partial counting in every task.
+partial counting in every task. A stored index also holds its postings in
+impact-ordered blocks by term (see ``blocks``), from which the best k are found
+without scoring everything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import sparse_tokens, strip
-from folioquery.operators.joins import join_small, pick_rows, top_rows
+from folioquery.operators import blocks
+from folioquery.operators.joins import fits_broadcast, join_small, pick_rows, top_rows
 from folioquery.session import materialize
 
 
@@ -28,25 +32,37 @@ class SparseIndex:
     terms: DataFrame
     stats: DataFrame
     n_docs: DataFrame
+    blocks: DataFrame | None = None
 
-    def write(self, path: str) -> "SparseIndex":
+    @cached_property
+    def made(self):
+        """The one row of totals and parameters."""
+        return self.stats.first()
+
+    def write(self, path: str, k1: float = fv.BM25_K1, b: float = fv.BM25_B) -> "SparseIndex":
         """Store the index and return one that reads the stored tables.
 
         Term counts and totals are derived from the stored postings, so the
-        texts are tokenised once.
+        texts are tokenised once. Blocks are ordered by impacts under ``k1`` and ``b``.
         """
         spark = self.postings.sparkSession
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
-        from_postings(stored, self.n_docs).terms.write.mode("overwrite").parquet(f"{path}/terms")
-        _stats(stored, spark.read.parquet(f"{path}/terms"), self.n_docs) \
-            .write.mode("overwrite").parquet(f"{path}/stats")
+        n = self.n_docs.first()["n_docs"]
+        total = stored.agg(F.sum("tf")).first()[0] or 0
+        avgdl = total / n if n else 0.0
+        blocks.with_tops(stored, avgdl or 1.0, k1, b).write.mode("overwrite").parquet(f"{path}/terms")
+        terms = spark.read.parquet(f"{path}/terms")
+        shards = max(blocks.MIN_SHARDS, -(-terms.count() // blocks.TERMS_A_SHARD))
+        _stats(stored, terms, self.n_docs).withColumns(
+            {"k1": F.lit(k1), "b": F.lit(b), "shards": F.lit(shards)}).write.mode("overwrite").parquet(f"{path}/stats")
+        blocks.write_blocks(stored, terms, shards, avgdl or 1.0, k1, b, f"{path}/blocks")
         return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> SparseIndex:
-    postings, terms, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats"))
-    return SparseIndex(postings, terms, stats, stats.select("n_docs"))
+    postings, terms, stats, stored = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats", "blocks"))
+    return SparseIndex(postings, terms, stats, stats.select("n_docs"), stored)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +125,20 @@ def question_terms(questions: DataFrame, id_col: str = "query_id", text_col: str
     )
 
 
-def with_idf(q_terms: DataFrame, index: SparseIndex) -> DataFrame:
+def with_idf(q_terms: DataFrame, index: SparseIndex, small: bool = False) -> DataFrame:
     """Question terms with their idf; negative idf is floored.
 
-    The vocabulary is cut to the questions' terms before anything else.
+    The vocabulary is cut to the questions' terms before anything else, unless
+    they were found small enough to be broadcast.
     """
-    known = pick_rows(index.terms, q_terms, "term")
+    known = index.terms if small else pick_rows(index.terms, q_terms, "term")
     n = index.stats.select("n_docs").scalar()
     mean_idf = index.stats.select("mean_idf").scalar()
     raw = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     idf = F.when(raw < 0, F.lit(fv.BM25_EPSILON) * mean_idf).otherwise(raw)
-    return q_terms.join(known.select("term", idf.alias("idf"), (F.col("df") > 1_000_000).alias("hot")), "term")
+    hot = F.col("df") * 100 > n  # in over a hundredth of all documents
+    tops = ["df", "top"] if "top" in known.columns else []
+    return known.select("term", idf.alias("idf"), hot.alias("hot"), *tops).join(F.broadcast(q_terms) if small else q_terms, "term")
 
 
 def bm25_scores(questions: DataFrame, index: SparseIndex, id_col: str = "query_id",
@@ -143,8 +162,21 @@ def bm25_scores(questions: DataFrame, index: SparseIndex, id_col: str = "query_i
     )
 
 
-def bm25_top(questions: DataFrame, index: SparseIndex, k: int = 2 * fv.TOP_K, **columns) -> DataFrame:
-    """Best k documents per question; ties by document order, scores above 0 only."""
-    best = top_rows(bm25_scores(questions, index, **columns), "query_id",
-                    [F.desc("score"), F.asc("doc_id")], k)
-    return best.where(F.col("score") > 0)
+def bm25_top(questions: DataFrame, index: SparseIndex, k: int = 2 * fv.TOP_K, k1: float = fv.BM25_K1,
+             b: float = fv.BM25_B, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
+    """Best k documents per question; ties by document order, scores above 0 only.
+
+    From a stored index with the same parameters, blocks are read as far as
+    bounds ask for; otherwise everything that matches is scored. Both are exact.
+    """
+    made = None if index.blocks is None else index.made
+    if made is not None and (made["k1"], made["b"]) == (k1, b):
+        q_terms = materialize(question_terms(questions, id_col, text_col), "question-terms")
+        if fits_broadcast(q_terms):
+            asked = blocks.with_bounds(with_idf(q_terms, index, small=True).drop("hot").toPandas())
+            scores = blocks.best_scores(index.blocks, asked, made["shards"], k)
+            return top_rows(scores, "query_id", [F.desc("score"), F.asc("doc_id")], k).where(F.col("score") > 0)
+    scores = bm25_scores(questions, index, id_col, text_col, k1, b)
+    return top_rows(scores, "query_id", [F.desc("score"), F.asc("doc_id")], k).where(F.col("score") > 0)
+    scores = bm25_scores(questions, index, id_col, text_col, k1, b)
+    return top_rows(scores, "query_id", [F.desc("score"), F.asc("doc_id")], k).where(F.col("score") > 0)

@@ -1,7 +1,10 @@
 """Sparse, dense, fused retrieval against brute force; context and memory rules."""
 
+import dataclasses
+import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -227,3 +230,76 @@ def test_knn_leaves_out_what_cannot_be_compared(spark, shipped):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id long, vec array<double>")
     got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in knn(asked, vectors, 3, "cosine", max_shipped=shipped).collect())
     assert got == [(1, 1, 1, 1.0), (1, 2, 5, 0.6), (1, 3, 4, 0.0), (3, 1, 1, 0.0), (3, 2, 4, 0.0), (3, 3, 5, 0.0)]
+
+
+# --- blocks -----------------------------------------------------------------
+
+def random_corpus(spark, n_docs, seed):
+    """Few common words, many rare ones, copies of whole documents."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60))) for _ in range(n_docs)]
+    texts = [texts[rng.randint(0, i)] if rng.random() < 0.1 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    questions = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 8))) for _ in range(25)] + ["", "nothing known", "w0", "w0 w1 w0"]
+    return docs, spark.createDataFrame(list(enumerate(questions)), "query_id long, question string")
+
+
+def best_list(df):
+    return sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("k, block, literals", [(3, 8, 256), (12, 16, 0), (500, 1024, 256)])
+def test_blocks_equal_exhaustive_scores(spark, tmp_path, monkeypatch, k, block, literals):
+    from folioquery.operators import blocks
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(blocks, "LITERALS", literals)
+    docs, questions = random_corpus(spark, 600, k)
+    index = sp.build_index(docs).write(str(tmp_path / "index"))
+    plain = dataclasses.replace(index, blocks=None)
+    assert best_list(sp.bm25_top(questions, index, k)) == best_list(sp.bm25_top(questions, plain, k))
+    assert best_list(sp.bm25_top(questions, index, k, k1=0.9)) == best_list(sp.bm25_top(questions, plain, k, k1=0.9))
+
+
+def test_blocks_hold_every_posting_once(spark, tmp_path, monkeypatch):
+    from folioquery.operators import blocks
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    index = sp.build_index(random_corpus(spark, 500, 1)[0]).write(str(tmp_path / "index"))
+    rows = index.blocks.collect()
+    assert len({(r.term, r.level, r.part) for r in rows}) == len(rows) > 600
+    assert all(abs(r.top - max(e.impact for e in r.entries)) < 1e-12 for r in rows)
+    assert sum(len(r.entries) for r in rows) == index.postings.count() == len({(r.term, e.doc_id) for r in rows for e in r.entries})
+    best = {}
+    for r in rows:
+        best.setdefault(r.term, []).append((r.level, r.top))
+    assert all(a[1] >= b[1] - 1e-12 for levels in best.values() for a, b in itertools.combinations(sorted(levels, key=lambda x: (x[0], -x[1])), 2)
+               if a[0] < b[0])
+
+
+def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
+    """A term of two words' questions: blocks that cannot reach the floor are not read, folders of other terms neither."""
+    from folioquery.operators import blocks
+    monkeypatch.setattr(blocks, "BLOCK", 64)
+    docs = [(i, "rare common " + "filler " * 3 if i < 20 else "common " + " ".join(f"x{i}y{j}" for j in range(40))) for i in range(400)]
+    index = sp.build_index(spark.createDataFrame(docs, "doc_id long, text string")).write(str(tmp_path / "index"))
+    terms = sp.question_terms(spark.createDataFrame([(1, "rare common")], "query_id long, question string"))
+    asked, shards = blocks.with_bounds(sp.with_idf(terms, index).toPandas()), index.made["shards"]
+    least = blocks.wanted_terms(asked, index.blocks, shards, 5).set_index("term")["least"]
+    of_common = index.blocks.where("term = 'common'").collect()
+    assert 0 < sum(r.top >= least["common"] for r in of_common) < len(of_common)
+    plan = blocks.pick_blocks(index.blocks, *blocks._keys(spark, asked[["term"]], shards), shards)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ (IN|=)", plan) and re.search(r"PushedFilters: \[[^\]]*In\(term", plan)
+    monkeypatch.setattr(blocks, "LITERALS", 0)
+    plan = blocks.pick_blocks(index.blocks, *blocks._keys(spark, asked[["term"]], shards), shards)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan)
+
+
+def test_negative_idf_terms_keep_bounds_right(spark, tmp_path, monkeypatch):
+    """Terms in nearly all documents may take score away."""
+    from folioquery.operators import blocks
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    docs = spark.createDataFrame([(i, "all most " + ("some " if i % 2 else "") + f"word{i % 7}") for i in range(60)], "doc_id long, text string")
+    questions = spark.createDataFrame([(1, "all most some"), (2, "all word3"), (3, "most some word1 word2")], "query_id long, question string")
+    index = sp.build_index(docs).write(str(tmp_path / "index"))
+    assert best_list(sp.bm25_top(questions, index, 4)) == best_list(sp.bm25_top(questions, dataclasses.replace(index, blocks=None), 4))
