@@ -83,12 +83,14 @@ def with_bounds(asked: pd.DataFrame) -> pd.DataFrame:
 def pick_blocks(blocks: DataFrame, keys: DataFrame, few: list[str] | None, shards: int) -> DataFrame:
     """The blocks of some terms; folders and row groups of others are not read.
 
-    ``keys`` has term, shard and columns to add. A few terms are literals of the scan's
-    filter; more are joined with their shard, which prunes folders when the query runs.
+    ``keys`` has term, shard and columns to add. The scan's filter names the terms'
+    folders and, where they are few, the terms.
     """
+    folders = sorted({r[0] for r in keys.select("shard").collect()})
+    if len(folders) < shards:
+        blocks = blocks.where(F.col("shard").isin(folders))
     if few is not None:
-        folders = [r[0] for r in keys.select("shard").distinct().collect()]
-        blocks = blocks.where(F.col("shard").isin(sorted(folders)) & F.col("term").isin(few))
+        blocks = blocks.where(F.col("term").isin(few))
     return blocks.join(F.broadcast(keys), ["shard", "term"])
 
 

@@ -290,9 +290,6 @@ def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     assert 0 < sum(r.top >= least["common"] for r in of_common) < len(of_common)
     plan = blocks.pick_blocks(index.blocks, *blocks._keys(spark, asked[["term"]], shards), shards)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ (IN|=)", plan) and re.search(r"PushedFilters: \[[^\]]*In\(term", plan)
-    monkeypatch.setattr(blocks, "LITERALS", 0)
-    plan = blocks.pick_blocks(index.blocks, *blocks._keys(spark, asked[["term"]], shards), shards)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan)
 
 
 def test_negative_idf_terms_keep_bounds_right(spark, tmp_path, monkeypatch):
