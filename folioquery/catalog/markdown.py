@@ -94,15 +94,25 @@ chunks AS (
 """
 
 
-@query("report_chunks", f"WITH {REPORT_SQL} SELECT * FROM chunks")
-def report_chunks(spark, sf):
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
     m = F.col("metadata")
-    return ps.parse_chunks(reports(spark, sf)).select(
+    return chunks.select(
         "file_id", "n", "id", "text", "page_content", F.array_join("refs", ",").alias("refs"),
         *[m[f].alias(f) for f in ("source", "chapter", "section", "content_type", "list_size", "table_id",
                                   "table_row", "table_total")], "prev_id", "next_id")
 
 
+@query("report_chunks", f"WITH {REPORT_SQL} SELECT * FROM chunks")
+def report_chunks(spark, sf):
+    return _chunk_rows(ps.parse_chunks(reports(spark, sf)))
+
+
+@query("report_chunks_striped", f"WITH {REPORT_SQL} SELECT * FROM chunks")
+def report_chunks_striped(spark, sf):
+    """The plan for files of any length: tasks of eight lines here, so states cross many borders."""
+    return _chunk_rows(ps.parse_lines(ps.document_lines(reports(spark, sf)), ps.ParseOptions(stripe=8)))
+
+
 @query("report_child_store", f"""WITH {REPORT_SQL}
 SELECT id, page_content, id AS parent_link, source, content_type FROM chunks""")
 def report_child_store(spark, sf):

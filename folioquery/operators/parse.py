@@ -1,9 +1,11 @@
 """Structured markdown to linked parent and child chunks.
 
-One row per line, then running windows over ``(file_id, line_no)``. All
-windows share one exchange and one sort; only the final grouping of lines
+One row per line, then running columns over ``(file_id, line_no)`` (see ``scan``). All
+share one exchange and one sort; only the final grouping of lines
 into chunks follows, on the same partitioning, so a corpus is parsed with a
-single shuffle of its lines.
+single shuffle of its lines. With ``stripe`` set, stretches of lines are parsed in
+tasks of their own and the state at their borders is composed, so a single
+file may be of any length.
 
 How a line's mode (prose, pending table, table, figure) is found without a
 state machine: headings cut a file into sections, and within a section a
@@ -22,6 +24,8 @@ from pyspark.sql.window import Window
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.refs import reference_ids
 from folioquery.functions.text import lines, lstrip, strip
+from folioquery.operators.scan import Count, Last, running
+from folioquery.session import materialize
 
 
 @dataclass(frozen=True)
@@ -32,9 +36,13 @@ class ParseOptions:
     anywhere in it (as in "accountable"), and an all-empty header row names
     the columns. Without ``compat`` only the word "table" counts, and the
     first row with any text is the header.
+
+    ``stripe`` is the number of line numbers that one task scans; None leaves
+    every file to one task, which suits files that came as one text each.
     """
 
     compat: bool = True
+    stripe: int | None = None
 
 
 BOLD_TABLE = r"(?iU)^\*\*\s*Table\s+"
@@ -43,27 +51,8 @@ NOTE_LINE = r"(?U)^\[\^(\w+)\]:\s*(.+)"
 BIBLIOGRAPHY_LINE = r"(?U)^-\s+\[\d+\]\s+[A-Z]"
 
 
-def _by_line():
-    return Window.partitionBy("file_id").orderBy("line_no")
-
-
-def _so_far():
-    return _by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _before():
-    return _by_line().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _latest(flag: Column, value: Column, default: Column | None = None) -> Column:
-    """``value`` at the last line so far where ``flag`` holds."""
-    last = F.last(F.when(flag, value), ignorenulls=True).over(_so_far())
-    return last if default is None else F.coalesce(last, default)
-
-
-def _previous(flag: Column, value: Column, default: Column) -> Column:
-    """``value`` at the last earlier line where ``flag`` holds."""
-    return F.coalesce(F.last(F.when(flag, value), ignorenulls=True).over(_before()), default)
+def _running(rows: DataFrame, columns: dict, options: ParseOptions, order: str = "line_no") -> DataFrame:
+    return running(rows, columns, "file_id", order, options.stripe)
 
 
 def body_line() -> Column:
@@ -108,33 +97,33 @@ def _headings(rows: DataFrame, options: ParseOptions) -> DataFrame:
         .when((level == 0) & bold & c.rlike(BOLD_FIGURE), "figure").alias("caption"))
 
 
-def classified_lines(docs: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Every content line with its kind and the titles in force at it."""
+def classified_lines(numbered: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """(file_id, line_no, s) -> every content line with its kind and the titles in force at it."""
     head, content = F.col("is_head"), F.col("is_content")
     names_chapter = (F.col("level") >= 2) & (F.col("opens") == "prose")
-    located = _headings(document_lines(docs), options).withColumns({
-        "blanks": F.count_if(F.col("s") == "").over(_so_far()),
-        "after_pipe": _previous(content, F.col("is_pipe"), F.lit(False)),
-        "mode_at_head": _latest(head, F.col("opens"), F.lit("prose")),
-        "doc_title": _latest(F.col("level") == 1, F.col("title"), F.lit(fv.DEFAULT_TITLE)),
-        "chapter": _latest(names_chapter, F.col("title"), F.lit(fv.DEFAULT_CHAPTER)),
-    }).where(content)
+    located = _running(_headings(numbered, options), {
+        "blanks": Count(F.col("s") == ""),
+        "after_pipe": Last(content, F.col("is_pipe"), F.lit(False), before=True),
+        "mode_at_head": Last(head, F.col("opens"), F.lit("prose")),
+        "doc_title": Last(F.col("level") == 1, F.col("title"), F.lit(fv.DEFAULT_TITLE)),
+        "chapter": Last(names_chapter, F.col("title"), F.lit(fv.DEFAULT_CHAPTER)),
+    }, options).where(content)
 
     starts_block = head | (~F.col("is_pipe") & F.col("after_pipe"))
     caption = F.col("caption").isNotNull()
-    blocks = located.withColumn("new_block", starts_block).withColumns({
+    blocks = _running(located.withColumn("new_block", starts_block), {
         # The heading's own block starts in the heading's mode, others as prose.
-        "head_block": _latest(F.col("new_block"), head, F.lit(True)),
-        "caption_before": _previous(F.col("new_block") | caption, caption, F.lit(False)),
-    })
+        "head_block": Last(F.col("new_block"), head, F.lit(True)),
+        "caption_before": Last(F.col("new_block") | caption, caption, F.lit(False), before=True),
+    }, options)
     free = ~F.col("head_block") | (F.col("mode_at_head") == "prose")
     first = caption & free & (F.col("new_block") | ~F.col("caption_before"))
     captioned = blocks.withColumn("first_caption", F.when(first, F.col("caption")))
     is_figure, is_table = (F.coalesce(F.col("first_caption") == x, F.lit(False)) for x in ("figure", "table"))
-    events = captioned.withColumns({
-        "figure_before": _previous(head | is_figure, is_figure, F.lit(False)),
-        "table_before": _previous(F.col("new_block") | is_table, is_table, F.lit(False)),
-    })
+    events = _running(captioned, {
+        "figure_before": Last(head | is_figure, is_figure, F.lit(False), before=True),
+        "table_before": Last(F.col("new_block") | is_table, is_table, F.lit(False), before=True),
+    }, options)
     was_figure = ~head & ((F.col("mode_at_head") == "figure") | F.col("figure_before"))
     starts_figure, starts_table = is_figure & ~was_figure, is_table & ~was_figure
     armed = (F.col("head_block") & (F.col("mode_at_head") == "pending")) \
@@ -163,12 +152,12 @@ def chunk_lines(classified: DataFrame, options: ParseOptions = ParseOptions()) -
     kind = F.col("kind")
     # Notes and bibliography lines never interrupt a list or a paragraph.
     body = ~kind.isin("note", "skip")
-    titled = classified.withColumns({
-        "section": _latest(F.col("named").isNotNull(), F.col("named"), F.lit("")),
-        "table_no": F.count_if("opens_table").over(_so_far()),
-        "body_before": F.last(F.when(body, F.struct("kind", "blanks")), ignorenulls=True).over(_before()),
-        "kind_before": F.lag("kind").over(_by_line()),
-    }).where(kind != "skip")
+    titled = _running(classified, {
+        "section": Last(F.col("named").isNotNull(), F.col("named"), F.lit("")),
+        "table_no": Count(F.col("opens_table")),
+        "body_before": Last(body, F.struct("kind", "blanks"), before=True),
+        "kind_before": Last(F.lit(True), kind, before=True),
+    }, options).where(kind != "skip")
     last = F.col("body_before")
     starts = body & (
         kind.isin("desc", "row") | last.isNull() | (last["kind"] != kind)
@@ -183,19 +172,18 @@ def chunk_lines(classified: DataFrame, options: ParseOptions = ParseOptions()) -
     if options.compat:
         is_header = F.col("first_row") & ~F.col("rule")
     else:
-        rows = rows.withColumn("named_row", is_row & ~F.col("rule") & F.exists("cells", lambda x: x != ""))
-        seen = F.count_if("named_row").over(
-            Window.partitionBy("file_id", "table_no").orderBy("line_no")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        is_header = F.col("named_row") & (seen == 1)
+        named_row = is_row & ~F.col("rule") & F.exists("cells", lambda x: x != "")
+        rows = _running(rows.withColumn("named_row", named_row),
+                        {"named_in": Last(F.col("named_row"), F.col("table_no"), F.lit(-1), before=True)}, options)
+        is_header = F.col("named_row") & (F.col("named_in") != F.col("table_no"))
     none = F.array().cast("array<string>")
     carried = F.when(F.col("is_header"), F.col("cells")).when(F.col("first_row"), none)
     # A note inside a paragraph has its own run; the paragraph's number is
     # counted over body lines only, so it is the same on both sides of it.
-    numbered = rows.withColumn("is_header", is_header).withColumns({
-        "header": F.last(carried, ignorenulls=True).over(_so_far()),
-        "number": F.count_if("starts").over(_so_far()),
-    })
+    numbered = _running(rows.withColumn("is_header", is_header), {
+        "header": Last(carried.isNotNull(), carried),
+        "number": Count(F.col("starts")),
+    }, options)
     keep_row = ~F.col("rule") & ~F.col("is_header") & (F.size("cells") == F.size("header"))
     if not options.compat:
         keep_row = keep_row & (F.size("header") > 0)
@@ -236,8 +224,13 @@ def _notes_appended(text: Column, notes: Column) -> Column:
 
 def parse_chunks(docs: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
     """(file_id, value) -> one row per chunk with parent text, child text, metadata."""
+    return parse_lines(document_lines(docs), options)
+
+
+def parse_lines(numbered: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """(file_id, line_no, s) -> chunks. Line numbers ascend; they need not be dense."""
     runs = (
-        chunk_lines(classified_lines(docs, options), options)
+        chunk_lines(classified_lines(numbered, options), options)
         .groupBy("file_id", "run", "kind")
         .agg(
             F.min("line_no").alias("first_line"),
@@ -249,26 +242,84 @@ def parse_chunks(docs: DataFrame, options: ParseOptions = ParseOptions()) -> Dat
         .withColumn("joined", F.array_join("body", " "))
         .where((F.col("kind") != "prose") | (F.length("joined") >= fv.MIN_PROSE_CHARS))
     )
-    by_first = Window.partitionBy("file_id").orderBy("first_line")
-    so_far = by_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = by_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    is_note = F.col("kind") == "note"
-    note = F.struct(
-        F.col("first_line").alias("at"),
-        F.regexp_extract(F.col("joined"), NOTE_LINE, 1).alias("key"),
-        F.regexp_extract(F.col("joined"), NOTE_LINE, 2).alias("text"),
-    )
-    numbered = (
-        runs.withColumns({
-            "n": F.count_if(~is_note).over(so_far) - 1,
-            "notes": F.collect_list(F.when(is_note, note)).over(whole),
-        })
-        .where(~is_note)
-    )
-    table_rows = Window.partitionBy("file_id", "table_key")
-    placed = numbered.withColumn("table_key", F.when(F.col("kind") == "row", F.col("table_no"))).withColumns({
-        "first_n": F.min("n").over(table_rows), "rows": F.count("*").over(table_rows)})
-    return placed.select(*_chunk_columns())
+    is_note, is_row = F.col("kind") == "note", F.col("kind") == "row"
+    counted = _running(runs, {"n": Count(~is_note)}, options, "first_line").withColumn("n", F.col("n") - 1)
+    if options.stripe is not None:
+        return _long_chunks(materialize(counted, "chunk-runs"))
+    whole = Window.partitionBy("file_id")
+    note = F.struct(F.col("first_line").alias("at"), *_note_columns())
+    numbered_runs = counted.withColumn("notes", F.sort_array(F.collect_list(F.when(is_note, note)).over(whole))).where(~is_note)
+    table_rows = Window.partitionBy("file_id", F.when(is_row, F.col("table_no")))
+    placed = numbered_runs.withColumns({"first_n": F.min("n").over(table_rows), "rows": F.count("*").over(table_rows)})
+    keys = F.array_distinct(F.transform("notes", lambda x: x["key"]))
+    last_note = lambda k: F.element_at(F.filter("notes", lambda x: x["key"] == k), -1)["text"]
+    ordered = F.transform(keys, lambda k: F.struct(k.alias("key"), last_note(k).alias("text")))
+    marked = F.contains(_chunk_text(), F.lit("[^")) & (F.size("notes") > 0)
+    return placed.select("*", F.when(marked, ordered).alias("own_notes")).select(*_chunk_columns())
+
+
+def _note_columns() -> list[Column]:
+    return [F.regexp_extract(F.col("joined"), NOTE_LINE, g).alias(name) for g, name in ((1, "key"), (2, "text"))]
+
+
+def _long_chunks(counted: DataFrame) -> DataFrame:
+    """Chunks of files of any length: tables and notes are met by joins, no file is gathered."""
+    is_note, is_row = F.col("kind") == "note", F.col("kind") == "row"
+    chunks = counted.where(~is_note)
+    tables = chunks.where(is_row).groupBy("file_id", "table_no").agg(F.min("n").alias("first_n"), F.count("*").alias("rows"))
+    placed = chunks.where(is_row).join(tables, ["file_id", "table_no"]).unionByName(
+        chunks.where(~is_row).withColumns({"first_n": F.lit(None).cast("long"), "rows": F.lit(None).cast("long")}))
+    notes = materialize(counted.where(is_note).select("file_id", "first_line", *_note_columns()).groupBy("file_id", "key")
+                        .agg(F.min("first_line").alias("at"), F.max_by("text", "first_line").alias("text")), "notes")
+    asking = placed.select("file_id", "n", F.explode(_marks(_chunk_text())).alias("key"))
+    found = asking.join(notes, ["file_id", "key"]).select("file_id", "n", "key", "at", "text")
+    # A note that was appended may name a later one; most name none, and the rounds end.
+    shown = F.concat(F.substring("text", 1, fv.NOTE_CHARS), F.lit("]"))  # as it is appended: a cut mark may be closed
+    linking = notes.select("file_id", "at", F.explode(_marks(shown)).alias("key"))
+    links = materialize(linking.join(notes.select("file_id", "key", "text", F.col("at").alias("to")), ["file_id", "key"]).where("to > at"), "note-links")
+    if not links.isEmpty():
+        found = materialize(found, "asked-notes")
+        fresh = found
+        while not fresh.isEmpty():
+            named = fresh.select("file_id", "n", "at").join(links, ["file_id", "at"]).select(
+                "file_id", "n", "key", F.col("to").alias("at"), "text").distinct()
+            fresh = materialize(named.join(found.select("file_id", "n", "key"), ["file_id", "n", "key"], "left_anti"), "more-notes")
+            found = materialize(found.unionByName(fresh), "asked-notes")
+    lists = found.groupBy("file_id", "n").agg(F.transform(
+        F.sort_array(F.collect_set(F.struct("at", "key", "text"))), lambda x: F.struct(x["key"].alias("key"), x["text"].alias("text"))).alias("own_notes"))
+    return placed.join(lists, ["file_id", "n"], "left").select(*_chunk_columns())
+
+
+def _marks(text: Column) -> Column:
+    """Keys of the footnote marks in a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\[\^(\w+)\]"), 1))
+
+
+def _chunk_text() -> Column:
+    """The parent text of a chunk, without notes."""
+    kind, joined = F.col("kind"), F.col("joined")
+    title, chapter, section = F.col("doc_title"), F.col("chapter"), F.col("section")
+    row_text = F.concat(F.lit("Document: "), title, F.lit(" | Chapter: "), chapter,
+                        F.lit(" | Table: "), section, F.lit(" | "), _row_pairs())
+    figure_text = F.concat(F.lit("Document: "), title, F.lit(" | Chapter: "), chapter,
+                           F.lit(" | Visual Element: "), section, F.lit(" | Details: "), joined)
+    return (F.when(kind == "list", _list_text()).when(kind == "row", row_text).when(kind == "figure", figure_text)
+            .when(kind == "desc", _desc_text()).otherwise(_prose_text()))
+
+
+def _list_text() -> Column:
+    return F.concat(F.lit("Document: "), F.col("doc_title"), F.lit("\nChapter: "), F.col("chapter"),
+                    F.lit("\nSection: "), F.col("section"), F.lit("\nContent:\n"), F.array_join("body", "\n"))
+
+
+def _prose_text() -> Column:
+    return F.concat(F.lit("Document: "), F.col("doc_title"), F.lit("\nChapter: "), F.col("chapter"),
+                    F.lit("\nContent: "), F.col("joined"))
+
+
+def _desc_text() -> Column:
+    return F.concat(F.lit("Document: "), F.col("doc_title"), F.lit("\nContext: "), F.col("section"),
+                    F.lit("\nDescription: "), F.col("joined"))
 
 
 def _chunk_columns() -> list[Column]:
@@ -283,35 +334,20 @@ def _chunk_columns() -> list[Column]:
     )
     title, chapter, section = F.col("doc_title"), F.col("chapter"), F.col("section")
     items = F.transform("body", lambda b: strip(lstrip(b, "-* ")))
-    list_text = F.concat(F.lit("Document: "), title, F.lit("\nChapter: "), chapter,
-                         F.lit("\nSection: "), section, F.lit("\nContent:\n"), F.array_join("body", "\n"))
-    prose_text = F.concat(F.lit("Document: "), title, F.lit("\nChapter: "), chapter,
-                          F.lit("\nContent: "), joined)
-    desc_text = F.concat(F.lit("Document: "), title, F.lit("\nContext: "), section,
-                         F.lit("\nDescription: "), joined)
-    row_text = F.concat(F.lit("Document: "), title, F.lit(" | Chapter: "), chapter,
-                        F.lit(" | Table: "), section, F.lit(" | "), _row_pairs())
-    figure_text = F.concat(F.lit("Document: "), title, F.lit(" | Chapter: "), chapter,
-                           F.lit(" | Visual Element: "), section, F.lit(" | Details: "), joined)
-    text = (F.when(kind == "list", list_text).when(kind == "row", row_text)
-            .when(kind == "figure", figure_text).when(kind == "desc", desc_text).otherwise(prose_text))
+    text = _chunk_text()
     primary = F.coalesce(*[_row_value(c) for c in fv.PRIMARY_COLUMNS],
                          F.substring("s", 1, fv.RAW_ROW_CHARS))
     child = (
-        F.when(kind == "list", list_text)
+        F.when(kind == "list", _list_text())
         .when(kind == "row", F.concat(F.lit("Doc: "), title, F.lit(" | Table: "), section,
                                       F.lit(" | "), primary))
         .when(kind == "figure", F.concat(F.lit("Doc: "), title, F.lit(" | Visual: "), section,
                                          F.lit(" | "), F.substring(joined, 1, fv.FIGURE_CHARS)))
-        .when(kind == "desc", desc_text).otherwise(prose_text)
+        .when(kind == "desc", _desc_text()).otherwise(_prose_text())
     )
     own_refs = reference_ids(F.when(kind == "list", F.array_join(items, " "))
                              .when(kind == "row", F.col("s")).otherwise(joined))
     refs = F.when((kind == "figure") & (F.size(own_refs) == 0), reference_ids(section)).otherwise(own_refs)
-    has_mark = F.contains(text, F.lit("[^")) & (F.size("notes") > 0)
-    keys = F.array_distinct(F.transform("notes", lambda x: x["key"]))
-    last_note = lambda k: F.element_at(F.filter("notes", lambda x: x["key"] == k), -1)["text"]
-    ordered = F.transform(keys, lambda k: F.struct(k.alias("key"), last_note(k).alias("text")))
     total = F.col("rows")
     is_row, is_list = kind == "row", kind == "list"
     grouped = is_row & (total >= 2)
@@ -330,7 +366,7 @@ def _chunk_columns() -> list[Column]:
     next_id = F.when(is_row & (n < F.col("first_n") + total - 1), row_id(n + 1))
     return [
         cid.alias("id"), "file_id", n.cast("long").alias("n"),
-        F.when(has_mark, _notes_appended(text, ordered)).otherwise(text).alias("text"),
+        F.when(F.col("own_notes").isNotNull(), _notes_appended(text, F.col("own_notes"))).otherwise(text).alias("text"),
         child.alias("page_content"), refs.alias("refs"), metadata.alias("metadata"),
         prev_id.alias("prev_id"), next_id.alias("next_id"),
     ]

@@ -177,3 +177,51 @@ def test_parse_has_one_shuffle_of_lines(spark):
     docs = spark.createDataFrame([(1, LONG)], "file_id long, value string").repartition(4)
     plan = parse_chunks(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+# --- files of any length ------------------------------------------------------
+
+CHAINED = ("# Doc\n" + LONG + "[^a] and [^z]\n\n" + LONG + " without a mark\n\n" + LONG + "[^c]\n[^c]: third, see [^a] and [^d]\n"
+           "[^a]: first, see [^b]\n[^b]: second, see [^c]\n[^d]: " + "q" * 297 + "[^e]\n[^e]: last\n[^a]: again, see [^b]\n[^e]: at last")
+
+
+def rows_of(chunks):
+    return sorted(map(str, chunks.collect()))
+
+
+@pytest.mark.parametrize("stripe, compat", [(1, True), (3, False), (7, True)])
+def test_stripes_give_the_same_chunks(spark, stripe, compat):
+    """Every fixture on its own, and all of them as one long file."""
+    from folioquery.operators.parse import document_lines, parse_lines
+    texts = [*CASES.values(), CHAINED, "\n".join(CASES.values()), "\n\n".join([*CASES.values(), CHAINED] * 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file_id long, value string")
+    numbered = document_lines(docs)
+    want = rows_of(parse_lines(numbered, ParseOptions(compat)))
+    assert rows_of(parse_lines(numbered, ParseOptions(compat, stripe))) == want and len(want) > 60
+    sparse = numbered.withColumn("line_no", F.col("line_no") * 10 + 5)  # numbers need not be dense
+    assert rows_of(parse_lines(sparse, ParseOptions(compat, 40))) == want
+
+
+def test_notes_name_later_notes_only(spark):
+    docs = spark.createDataFrame([(1, CHAINED)], "file_id long, value string")
+    for options in (ParseOptions(), ParseOptions(stripe=2)):
+        texts = [r.text for r in parse_chunks(docs, options).orderBy("n").collect()]
+        assert [t.count("[Note") for t in texts] == [2, 0, 5]
+
+
+def test_one_long_file_is_read_by_many_tasks(spark, tmp_path):
+    from folioquery.operators.parse import parse_lines
+    from folioquery.sources.markdown import read_markdown, read_markdown_lines
+    body = "\n".join(f"## Part {i}\n{LONG} {i}\n\n- item {i}\n## Table {i} T\n| A | B |\n|---|---|\n| a{i} | b |\n| c | d |" for i in range(3000))
+    (tmp_path / "long file.md").write_text("# Title\n" + body)
+    (tmp_path / "merged.md").write_text("# No\n" + LONG)
+    (tmp_path / "a.MD").write_text("# Short\n" + LONG)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        numbered = read_markdown_lines(spark, str(tmp_path))
+        parts = numbered.where("file_name = 'long file.md'").select(F.expr("line_no div 40000")).distinct().count()
+        got = rows_of(parse_lines(numbered, ParseOptions(stripe=20_000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts > 5 and got == rows_of(parse_chunks(read_markdown(spark, str(tmp_path))))
