@@ -12,6 +12,7 @@ from folioquery.operators.memory import turns_from_messages
 from folioquery.plans.ask import answer
 from folioquery.providers import offline
 from folioquery.session import new_table_path
+from folioquery.streaming.keyed import keyed_memory, keyed_pairs, remembered
 from folioquery.streaming.logs import answer_stream, last_carry, memory_stream, pair_stream
 
 PARTS = 3
@@ -52,6 +53,34 @@ def stream_memory(spark, sf):
     return last_carry(spark, q, out).select("conv_id", "turn", line.alias("n_chars"))
 
 
+@query("stream_keyed_memory", f"WITH {HISTORY_SQL} SELECT conv_id, turn, length(line) AS n_chars FROM kept")
+def stream_keyed_memory(spark, sf):
+    """The state itself after three parts, read from the stream's checkpoint."""
+    out = new_table_path(spark, "keyed-memory")
+    turns = turns_from_messages(table(spark, sf, "conversations"))
+    part = F.when(F.col("turn") < 2, 0).when(F.col("turn") < 4, 1).otherwise(2)
+    _stream_in_parts(spark, turns, part, "turns", lambda s: keyed_memory(s, f"{out}/kept", f"{out}/checkpoint"))
+    line = F.length("human") + F.length("assistant") + 19
+    return remembered(spark, f"{out}/checkpoint").select("conv_id", "turn", line.alias("n_chars"))
+
+
+@query("stream_keyed_pairing", """
+WITH marks AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'click' THEN 'LOW' END AS mark,
+          CASE WHEN event_type = 'purchase' THEN value END AS total FROM events WHERE event_type IN ('error', 'click', 'purchase'))
+SELECT user_id, event_id, before AS risk, total FROM
+  (SELECT *, lag(mark) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM marks) WHERE total IS NOT NULL AND before IS NOT NULL""")
+def stream_keyed_pairing(spark, sf):
+    """A log per user, in three parts by time."""
+    out = new_table_path(spark, "keyed-pairs")
+    users = table(spark, sf, "events").select("event_id", "user_id")
+    lines = log_lines(spark, sf).join(users, "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = lines.select(F.percentile_approx(at, [1 / 3, 2 / 3]).alias("c")).first()["c"]
+    part = F.when(at < cuts[0], 0).when(at < cuts[1], 1).otherwise(2)
+    _stream_in_parts(spark, lines, part, "lines", lambda s: keyed_pairs(s, "user_id", ORDER, f"{out}/pairs", f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/pairs").select(F.col("stream").alias("user_id"), F.col("place").alias("event_id"), "risk", "total")
+
+
 @query("stream_answers")
 def stream_answers(spark, sf):
     out = new_table_path(spark, "answer-stream")
