@@ -10,6 +10,7 @@ from folioquery.functions.text import jaccard, set_tokens, sparse_tokens
 from folioquery.operators import dense as dn, evaluate as ev, fuse, sparse as sp
 from folioquery.operators.context import parent_lookup
 from folioquery.operators.joins import pick_rows
+from folioquery.plans.update import LiveIndex
 from folioquery.providers import overlap_reranker
 from folioquery.session import materialize, new_table_path
 
@@ -85,6 +86,41 @@ def bm25_top12(spark, sf):
     return sp.bm25_top(questions(spark, sf), stored_index(spark, sf))
 
 
+def _changed_index(spark, sf) -> LiveIndex:
+    """All documents, by way of changes.
+
+    First come older texts of a third of them and documents that are no more;
+    then the texts of today and the rest; last the deletions.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    old = F.col("doc_id") % 3 == 0
+    live = LiveIndex(spark, new_table_path(spark, "live-index"))
+    nobody = docs.select(F.col("doc_id").alias("key")).limit(0)
+    extinct = docs.where(F.col("doc_id") % 5 == 0).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    live.change(docs.where(F.col("doc_id") % 2 == 0).select("doc_id", F.when(old, F.concat(F.lit("older version "), F.reverse("text")))
+                                                            .otherwise(F.col("text")).alias("text")).unionByName(extinct), nobody)
+    live.change(docs.where(old | (F.col("doc_id") % 2 != 0)), nobody)
+    live.change(docs.limit(0), extinct.select(F.col("doc_id").alias("key")))
+    return live
+
+
+@query("changed_postings", """
+SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (
+  SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, """ + sql_tokens("text") + """ AS t FROM documents))
+GROUP BY doc_id, term""")
+def changed_postings(spark, sf):
+    """After changes and compaction."""
+    live = _changed_index(spark, sf)
+    live.compact()
+    return live.open().postings
+
+
+@query("changed_top12", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm25")
+def changed_top12(spark, sf):
+    """Retrieval from an index that was changed three times equals that from one built anew."""
+    return sp.bm25_top(questions(spark, sf), _changed_index(spark, sf).open())
+
+
 def _knn(metric):
     def run(spark, sf):
         return dn.knn(question_vectors(spark, sf), vectors(spark, sf), metric=metric)

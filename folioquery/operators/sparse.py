@@ -17,7 +17,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import sparse_tokens, strip
@@ -99,10 +99,13 @@ def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _stats(postings: DataFrame, terms: DataFrame, n_docs: DataFrame) -> DataFrame:
+    return stats_of(terms, n_docs.scalar(), postings.agg(F.sum("tf").alias("total")).scalar())
+
+
+def stats_of(terms: DataFrame, n_docs: Column | int, n_tokens: Column | int) -> DataFrame:
     """One row: document count, average length, mean idf over the vocabulary."""
-    n = n_docs.scalar()
+    n, total = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (n_docs, n_tokens))
     idf = F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    total = postings.agg(F.sum("tf").alias("total")).scalar()
     return terms.agg(n.alias("n_docs"), (total / n).alias("avgdl"), F.avg(idf).alias("mean_idf"))
 
 
