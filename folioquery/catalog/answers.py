@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioquery.catalog.base import BM25_SQL, query, sql_sentences, sql_set, sql_strip, table
-from folioquery.catalog.markdown import REPORT_SQL, documents, reports
+from folioquery.catalog.markdown import REPORT_SQL, documents, parsed_reports
 from folioquery.catalog.retrieval import questions, stored_index
 from folioquery.functions import fixed_values as fv, text as tx
 from folioquery.operators import context as cx, memory as mm, sparse as sp, verify as vf
 from folioquery.operators.joins import pick_rows, top_rows
 from folioquery.plans.ask import answer
-from folioquery.plans.build import Store, build_store, file_of, numbered_chunks
+from folioquery.plans.build import Store, build_store, file_of
 from folioquery.plans.diagnose import explain_questions
 from folioquery.providers import containment_verifier, fill, offline
 from folioquery.session import materialize, new_table_path
@@ -45,7 +45,7 @@ walk AS (
 
 
 def report_contexts(spark, sf) -> DataFrame:
-    chunks = materialize(numbered_chunks(reports(spark, sf)), "report-chunks")
+    chunks = parsed_reports(spark, sf)
     rows = chunks.where(F.col("metadata.content_type") == "table").select(
         file_of(F.col("pos")).alias("query_id"), F.col("id").alias("chunk_id"), "page_content",
         F.col("metadata.source").alias("source"), F.lit("table").alias("content_type"))
@@ -73,11 +73,11 @@ def citations(spark, sf):
 
 
 @query("neighbor_expand", f"""WITH {REPORT_SQL}
-SELECT c.id, p.text AS prev_text, x.text AS next_text FROM chunks c LEFT JOIN chunks p ON p.id = c.prev_id
-LEFT JOIN chunks x ON x.id = c.next_id WHERE c.content_type = 'table'""")
+SELECT id, lag(text) OVER (PARTITION BY file_id ORDER BY n) AS prev_text, lead(text) OVER (PARTITION BY file_id ORDER BY n) AS next_text
+FROM chunks WHERE content_type = 'table'""")
 def neighbor_expand(spark, sf):
     """Neighbours of every table row, each row a hit of its own."""
-    chunks = materialize(numbered_chunks(reports(spark, sf)).select("id", "text", "metadata.content_type", "prev_id", "next_id"), "report-chunks")
+    chunks = parsed_reports(spark, sf).select("id", "text", "metadata.content_type", "prev_id", "next_id")
     rows = chunks.where(F.col("content_type") == "table").select(
         F.col("id").alias("query_id"), F.lit(1).alias("hit"), "content_type", "prev_id", "next_id")
     of = lambda c: F.get(F.filter("neighbors", lambda n: n["id"] == F.col(c)), 0)["text"]

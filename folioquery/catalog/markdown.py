@@ -14,7 +14,8 @@ from folioquery.functions import fixed_values as fv
 from folioquery.functions import text as tx
 from folioquery.functions.refs import reference_ids
 from folioquery.operators import evaluate as ev, parse as ps, split as spl
-from folioquery.session import new_table_path
+from folioquery.plans.build import numbered_chunks
+from folioquery.session import materialize, new_table_path
 from folioquery.sources import stores
 from folioquery.sources.markdown import pages_as_markdown
 
@@ -102,6 +103,17 @@ def _chunk_rows(chunks: DataFrame) -> DataFrame:
                                   "table_row", "table_total")], "prev_id", "next_id")
 
 
+_PARSED: dict[tuple[str, str], DataFrame] = {}
+
+
+def parsed_reports(spark, sf) -> DataFrame:
+    """The reports' numbered chunks, parsed and written once per application."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _PARSED:
+        _PARSED[at] = materialize(numbered_chunks(reports(spark, sf)), "report-chunks")
+    return _PARSED[at]
+
+
 @query("report_chunks", f"WITH {REPORT_SQL} SELECT * FROM chunks")
 def report_chunks(spark, sf):
     return _chunk_rows(ps.parse_chunks(reports(spark, sf)))
@@ -118,7 +130,7 @@ SELECT id, page_content, id AS parent_link, source, content_type FROM chunks""")
 def report_child_store(spark, sf):
     """Children written as JSON lines and read back through the tolerant reader."""
     path = new_table_path(spark, "children")
-    stores.write_jsonl(ps.child_store(ps.parse_chunks(reports(spark, sf))), path)
+    stores.write_jsonl(ps.child_store(parsed_reports(spark, sf)), path)
     return stores.read_children(spark, path).select(
         "id", "page_content", F.col("metadata.parent_link").alias("parent_link"),
         F.col("metadata.source").alias("source"), F.col("metadata.content_type").alias("content_type"))
@@ -127,20 +139,20 @@ def report_child_store(spark, sf):
 @query("content_type_hist", f"""WITH {REPORT_SQL}
 SELECT content_type, count(*) AS n, (100 * count(*)) // (SELECT count(*) FROM chunks) AS pct FROM chunks GROUP BY content_type""")
 def content_type_hist(spark, sf):
-    return ps.content_type_histogram(ps.parse_chunks(reports(spark, sf)))
+    return ps.content_type_histogram(parsed_reports(spark, sf))
 
 
 @query("index_quality", f"""WITH {REPORT_SQL}
 SELECT content_type, count(*) AS n, count_if(contains(source, 'Chapter:') OR contains(source, 'Content:')) AS dirty
 FROM chunks GROUP BY content_type""")
 def index_quality(spark, sf):
-    return ev.index_quality(ps.child_store(ps.parse_chunks(reports(spark, sf))))
+    return ev.index_quality(ps.child_store(parsed_reports(spark, sf)))
 
 
 @query("table_audit", f"""WITH {REPORT_SQL}
 SELECT id FROM chunks WHERE content_type = 'table' OR contains(page_content, '|')""")
 def table_audit(spark, sf):
-    return ev.table_chunks(ps.child_store(ps.parse_chunks(reports(spark, sf)))).select("id")
+    return ev.table_chunks(ps.child_store(parsed_reports(spark, sf))).select("id")
 
 
 # --- parsing of documents and pages ----------------------------------------
@@ -237,6 +249,46 @@ def split_documents(spark, sf):
     return spl.split_sections(spl.header_sections(documents(spark, sf)))
 
 
+# --- tables of web pages ------------------------------------------------------
+
+_WEB_TOP = ("<html><head><title>x</title></head><body><h1>Order {k}</h1><h2>Overview</h2><p>Order {k} was placed by customer {c} and is "
+            "listed below.</p><h2>Table 1: Items of order {k}</h2><table class='items'><thead><tr><th rowspan=2>Line<th rowspan=2>Requirement</th>"
+            "<th colspan='2'>Supplier</th><th rowspan=\"2\">Priority</th></tr><tr><th>Key</th><th>Line</th></tr></thead><tbody>")
+_WEB_END = "</tbody></table><p>Nothing else was ordered in order {k} by customer {c}.</p></body></html>"
+
+
+def web_reports(spark, sf) -> DataFrame:
+    """(file_id, value): one web page per order, with a table whose cells span rows and columns."""
+    s = lambda c: F.col(c).cast("string")
+    cells = F.concat(F.lit("<td>"), s("l_linenumber"), F.lit("</td><td>Ship <b>part</b> "), s("l_partkey"), F.lit(" &amp; see\n GV-1."),
+                     s("l_linenumber"), F.lit("</td><td colspan=2>"), s("l_suppkey"), F.lit("</td>"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("no"), cells.alias("cells")).alias("r")) \
+        .groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    orders = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = F.coalesce("rows", F.array().cast("array<struct<no:int,cells:string>>"))
+    priority = F.concat(F.lit("<td rowspan="), F.size(rows).cast("string"), F.lit(">"), F.col("o_orderpriority"), F.lit("</td>"))
+    body = F.array_join(F.transform(rows, lambda r, i: F.concat(F.lit("<tr>"), r["cells"], F.when(i == 0, priority).otherwise(""), F.lit("</tr>"))), "")
+    marks = {"k": F.col("o_orderkey").cast("string"), "c": F.col("o_custkey").cast("string")}
+    return orders.select(F.col("o_orderkey").alias("file_id"),
+                         F.concat(_filled(_WEB_TOP, **marks), body, _filled(_WEB_END, **marks)).alias("value"))
+
+
+@query("web_tables", """
+WITH items AS (SELECT l_orderkey AS k, l_linenumber AS no, 'Ship part ' || l_partkey || ' & see GV-1.' || l_linenumber AS req, l_suppkey AS s, o_orderpriority AS p,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber || '</td><td>Ship <b>part</b> ' || l_partkey || ' &amp; see' || chr(10)
+      || ' GV-1.' || l_linenumber || '</td><td colspan=2>' || l_suppkey || '</td>') AS r,
+    count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT k AS file_id, 'f' || k || '_t1_r' || r AS id, r AS table_row, CASE WHEN m > 1 THEN m ELSE 0 END AS table_total,
+  'Document: Order ' || k || ' | Chapter: Overview | Table: Table 1: Items of order ' || k || ' | Line: ' || no || ' | Requirement: ' || req
+    || ' | Supplier Key: ' || s || ' | Supplier Line: ' || s || ' | Priority: ' || p AS text,
+  'Doc: Order ' || k || ' | Table: Table 1: Items of order ' || k || ' | ' || req AS page_content, 'GOVERN_1.' || no AS refs FROM items""")
+def web_tables(spark, sf):
+    """Table rows of web pages, from the page to the chunk."""
+    pages = web_reports(spark, sf).select("file_id", tx.html_to_markdown(F.col("value")).alias("value"))
+    return ps.parse_chunks(pages).where("metadata.content_type = 'table'").select(
+        "file_id", "id", "metadata.table_row", "metadata.table_total", "text", "page_content", F.array_join("refs", ",").alias("refs"))
+
+
 @query("header_sections", f"""
 WITH md AS (SELECT page_id AS file_id, {_html_sql('html')} AS value FROM pages),
 l AS (SELECT file_id, unnest(range(len(a))) AS ln, {sql_strip('unnest(a)')} AS s FROM (SELECT file_id, string_split(value, chr(10)) AS a FROM md)),

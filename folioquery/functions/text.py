@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from folioquery.functions import fixed_values as fv
+from folioquery.functions.tables import pipe_tables
 
 
 _OTHER_WHITESPACE = fv.WHITESPACE.replace(" ", "")
@@ -183,11 +184,12 @@ HTML_STEPS = (
     (r"(?i)<h2\b[^>]*>", "\n\n## "),
     (r"(?i)<h3\b[^>]*>", "\n\n### "),
     (r"(?i)<li\b[^>]*>", "\n- "),
-    (r"(?i)<img\b[^>]*>", "\n\n![figure](image)\n> **[TODO: MANUAL CAPTION]**\n\n"),
+    (r"(?i)<img\b[^>]*>", "\n\n![figure](image)\n\n"),
     (r"(?i)<br\s*/?>", "\n"),
     (r"(?i)</?(p|div|article|nav|ul|ol|footer|h1|h2|h3|table|tr|body)\b[^>]*>", "\n\n"),
     (r"(?s)<[^>]*>", ""),
 )
+UNSEEN_STEPS = 5   # the first ones drop what a page does not show
 HTML_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
     ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "'"), ("&amp;", "&"),
@@ -198,9 +200,12 @@ def html_to_markdown(col: Column) -> Column:
     """Raw page to markdown: headings, bullets and paragraphs survive.
 
     Takes the place of the external document converter: headings become
-    ``#`` lines, list items ``- `` lines, images a reference plus caption stub.
+    ``#`` lines, list items ``- `` lines, images a reference, tables pipe tables.
     """
-    for pattern, replacement in HTML_STEPS:
+    for pattern, replacement in HTML_STEPS[:UNSEEN_STEPS]:
+        col = F.regexp_replace(col, pattern, replacement)
+    col = pipe_tables(col)
+    for pattern, replacement in HTML_STEPS[UNSEEN_STEPS:]:
         col = F.regexp_replace(col, pattern, replacement)
     for entity, char in HTML_ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
