@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioquery.catalog.base import query, table
 from folioquery.operators import latency as lt
+from folioquery.operators.daily import DayStatistics
 from folioquery.session import new_table_path
 from folioquery.sources.logs import newest_files, write_daily
 
@@ -56,6 +57,19 @@ def latency_p80(spark, sf):
     return lt.order_statistic(table(spark, sf, "events"), "event_type", "value", digits=None)
 
 
+@query("latency_p80_by_day", """
+SELECT event_type, count(*) AS n, list_sort(list(value))[floor(count(*) * 0.8)::BIGINT + 1] AS p80 FROM events GROUP BY event_type""")
+def latency_p80_by_day(spark, sf):
+    """From days stored one after the other: all but the newest, then the newest, then that one again."""
+    events = table(spark, sf, "events").select("event_type", "value", F.to_date("ts").alias("day"))
+    days = DayStatistics(spark, new_table_path(spark, "day-statistics"), "event_type", "value")
+    newest = F.col("day") == events.agg(F.max("day")).scalar()
+    days.add(events.where(~newest), "day")
+    for _ in range(2):
+        days.add(events.where(newest), "day")
+    return days.statistic(0.8)
+
+
 @query("log_timings", """
 SELECT event_id, date_trunc('second', ts) AS ts, value AS total, (value::VARCHAR || '1')::DOUBLE AS retrieval, 5.25::DOUBLE AS generation
 FROM events WHERE event_type = 'purchase'""")

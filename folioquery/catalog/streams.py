@@ -13,6 +13,7 @@ from folioquery.plans.ask import answer
 from folioquery.providers import offline
 from folioquery.session import new_table_path
 from folioquery.streaming.keyed import keyed_memory, keyed_pairs, remembered
+from folioquery.streaming.sessions import session_stream
 from folioquery.streaming.logs import answer_stream, last_carry, memory_stream, pair_stream
 
 PARTS = 3
@@ -81,6 +82,24 @@ def stream_keyed_pairing(spark, sf):
     return spark.read.parquet(f"{out}/pairs").select(F.col("stream").alias("user_id"), F.col("place").alias("event_id"), "risk", "total")
 
 
+@query("stream_sessions", """
+WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE AS cut FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, count(*) FILTER (cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, no""")
+def stream_sessions(spark, sf):
+    """Sessions of users over three parts by time; a last row far ahead closes what is open."""
+    out = new_table_path(spark, "sessions")
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    at = F.unix_micros("ts")
+    cuts = events.select(F.percentile_approx(at, [1 / 3, 2 / 3]).alias("c")).first()["c"]
+    part = F.when(at < cuts[0], 0).when(at < cuts[1], 1).otherwise(2)
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).select(F.lit(None).cast("long").alias("user_id"), "ts")
+    start = lambda s: session_stream(s, "user_id", "30 minutes", "1 hour", f"{out}/closed", f"{out}/checkpoint")
+    _stream_in_parts(spark, events.unionByName(end), F.when(F.col("user_id").isNull(), 2).otherwise(part), "events", start)
+    closed = spark.read.parquet(f"{out}/closed").where("user_id IS NOT NULL")
+    return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
 @query("stream_answers")
 def stream_answers(spark, sf):
     out = new_table_path(spark, "answer-stream")
