@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from folioquery.calls import ask_once
 from folioquery.catalog.base import BM25_SQL, query, sql_sentences, sql_set, sql_strip, table
 from folioquery.catalog.markdown import REPORT_SQL, documents, parsed_reports
 from folioquery.catalog.retrieval import questions, stored_index
@@ -13,7 +14,7 @@ from folioquery.operators.joins import pick_rows, top_rows
 from folioquery.plans.ask import answer
 from folioquery.plans.build import Store, build_store, file_of
 from folioquery.plans.diagnose import explain_questions
-from folioquery.providers import containment_verifier, fill, offline
+from folioquery.providers import containment_verifier, fill, offline, with_retries
 from folioquery.session import materialize, new_table_path
 from folioquery.sources.stores import backend_query, resolve_questions
 
@@ -300,3 +301,32 @@ def answer_plan(spark, sf):
 def explain_plan(spark, sf):
     asked = questions(spark, sf).withColumn("expected_answer", F.col("question"))
     return explain_questions(asked, pipeline_store(spark, sf), offline())
+
+
+# --- client calls -------------------------------------------------------------
+
+def _terse_client():
+    """Stands for a text client: no answer to some prompts, a first try in vain for others."""
+    tried = set()
+
+    def client(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise ValueError(f"refused {len(prompt)}")
+        if len(prompt) % 5 == 0 and prompt not in tried:
+            tried.add(prompt)
+            raise OSError("busy")
+        return f"{len(prompt)} characters, from {prompt[3:9]}"
+    return client
+
+
+@query("client_answers", f"""
+WITH p AS (SELECT item_id AS query_id, 'Q: ' || text AS prompt FROM benchmark)
+SELECT query_id, CASE WHEN length(prompt) % 7 = 0 THEN '{fv.ERROR_ANSWER.replace("'", "''")}'
+    ELSE length(prompt) || ' characters, from ' || prompt[4:9] END AS answer,
+  CASE WHEN length(prompt) % 7 = 0 THEN 'refused ' || length(prompt) END AS error FROM p""")
+def client_answers(spark, sf):
+    """Every question sent once to a client that is retried, may refuse, and whose answers are kept."""
+    folder = new_table_path(spark, "journal")
+    open_client = lambda: with_retries(_terse_client(), attempts=2, base=0.0)
+    asked = ask_once(questions(spark, sf), F.concat(F.lit("Q: "), F.col("question")), open_client, folder)
+    return asked.select("query_id", "reply.answer", "reply.error")
