@@ -8,10 +8,12 @@ from folioquery.catalog.answers import pipeline_store
 from folioquery.catalog.base import query, table
 from folioquery.functions import fixed_values as fv
 from folioquery.operators import evaluate as ev
+from folioquery.operators.joins import with_positions
 from folioquery.plans.evaluate import run_evaluation
 from folioquery.providers import offline
 from folioquery.session import new_table_path
-from folioquery.sources.stores import write_eval
+from folioquery.sources.json_array import read_array
+from folioquery.sources.stores import golden_rows, write_eval
 
 
 @query("golden_validate", """
@@ -183,3 +185,24 @@ def evaluation_plan(spark, sf):
         F.col("text").alias("expected_answer"), F.array(F.struct(
             F.lit("Unknown Framework").alias("document_title"), F.lit("").alias("section_title"), F.col("text").alias("raw_text"))).alias("sources"))
     return run_evaluation("run", golden, pipeline_store(spark, sf), offline())
+
+
+@query("golden_file", """
+SELECT row_number() OVER (ORDER BY doc_id) AS index, lang AS question_category, 'Which text has number ' || doc_id || '?' AS question, text AS expected_answer,
+  1 AS n_sources, source AS document_title FROM documents""")
+def golden_file(spark, sf):
+    """One large JSON array, its splits falling anywhere, read by many tasks."""
+    path = new_table_path(spark, "golden-file")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    source = F.struct(F.col("source").alias("document_title"), F.lit("").alias("section_title"), F.lit("[{,\"").alias("raw_text"))
+    said = F.concat(F.lit("Which text has number "), F.col("doc_id").cast("string"), F.lit("?"))
+    item = F.to_json(F.struct(F.col("lang").alias("question_category"), said.alias("question"), F.col("text").alias("expected_answer"), F.array(source).alias("sources")))
+    numbered = with_positions(docs.select("doc_id", item.alias("item")), ["doc_id"])  # the places of the elements
+    last = numbered.agg(F.max("pos")).first()[0]
+    line = F.concat(F.when(F.col("pos") == 1, "[").otherwise(""), F.col("item"), F.when(F.col("pos") == last, "]").otherwise(","))
+    numbered.select("pos", line.alias("value")).coalesce(1).sortWithinPartitions("pos").select("value").write.text(path)
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path").first()["path"]
+    rows = read_array(spark, file, stripe=1 << 18)
+    return golden_rows(rows.select("index", "item")).select(
+        F.col("index").cast("long").alias("index"), "question_category", "question", "expected_answer", F.size("sources").alias("n_sources"),
+        F.col("sources")[0]["document_title"].alias("document_title"))

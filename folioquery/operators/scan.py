@@ -63,7 +63,27 @@ class Count:
         return F.coalesce(local, F.lit(0)) if carried is None else F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
 
 
-def running(rows: DataFrame, columns: dict[str, Last | Count], key: str, order: str, stripe: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Sum:
+    """The sum of ``value`` over the rows so far."""
+
+    value: Column
+    before: bool = False
+
+    def local(self, window) -> Column:
+        return F.sum(self.value).over(window)
+
+    def effect(self, order: str) -> Column:
+        return F.sum(self.value)
+
+    def compose(self, effect: Column, window) -> Column:
+        return F.sum(effect).over(window)
+
+    def state(self, local: Column, carried: Column | None) -> Column:
+        return F.coalesce(local, F.lit(0)) if carried is None else F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
+
+
+def running(rows: DataFrame, columns: dict[str, Last | Count | Sum], key: str, order: str, stripe: int | None = None) -> DataFrame:
     """``rows`` with running columns by ``order`` (unique numbers) within ``key``.
 
     Without ``stripe`` a sequence is one task's work. With it, stretches of that many

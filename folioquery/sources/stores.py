@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from folioquery.functions import fixed_values as fv
 from folioquery.functions.text import strip
+from folioquery.sources.json_array import read_array
 
 CHILD_SCHEMA = ("id STRING, page_content STRING, "
                 "metadata STRUCT<parent_link STRING, source STRING, content_type STRING>")
@@ -98,13 +99,9 @@ GOLDEN_SCHEMA = ("question_category STRING, question STRING, expected_answer STR
 def read_golden_items(spark: SparkSession, path: str) -> DataFrame:
     """(index, item): each element of the JSON array as text, numbered from 1.
 
-    A file that is not a JSON array is an error.
+    A file that is not a JSON array is an error, found when this is called. Large files are read by many tasks.
     """
-    items = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")).startswith("ARRAY"),
-                   F.from_json("value", "array<string>")).otherwise(
-        F.raise_error(F.lit("golden file is not a JSON array")).cast("array<string>"))
-    return spark.read.text(path, wholetext=True).select(F.posexplode(items).alias("pos", "item")) \
-                .select((F.col("pos") + 1).alias("index"), "item")
+    return read_array(spark, path).select("index", "item")
 
 
 def golden_rows(items: DataFrame) -> DataFrame:
