@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +12,8 @@ from pyspark.sql.window import Window
 
 from folioquery.functions.text import lines, strip
 
+LengthsOf = Callable[[list[str]], list[int]]
+
 HEADERS_FIRST = ("\n# ", "\n## ", "\n\n", "\n|", "\n", " ", "")
 PARAGRAPHS_FIRST = ("\n\n", "\n# ", "\n## ", "\n|", "\n", " ", "")
 
@@ -40,8 +44,7 @@ def header_sections(docs: DataFrame) -> DataFrame:
         marked.withColumn("section", under(1)).withColumn("sub_section", under(2))
         .withColumn("sub_sub_section", under(3))
         .withColumn("section_no", F.count_if(F.col("level").isNotNull()).over(so_far))
-        .withColumn("block", F.count_if((s == "") | F.col("level").isNotNull()).over(so_far)
-                    + F.when(F.lag("level").over(order).isNotNull(), 0).otherwise(0))
+        .withColumn("block", F.count_if((s == "") | F.col("level").isNotNull()).over(so_far))
         .where(s != "")
     )
     blocks = named.groupBy("file_id", "section_no", "section", "sub_section", "sub_sub_section", "block").agg(
@@ -60,44 +63,66 @@ def _cut(text: str, sep: str) -> list[str]:
     return [p for p in [head, *(sep + r for r in rest)] if p]
 
 
-def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Join neighbouring pieces up to ``size``; a new chunk repeats a tail of at most ``overlap``."""
-    out, held, length = [], [], 0
-    for piece in pieces:
-        if held and length + len(piece) > size:
-            out.append("".join(held).strip())
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
-    if held:
-        out.append("".join(held).strip())
+def _pack(pieces: list[str], lengths: list[int], size: int, overlap: int) -> list[str]:
+    """Join neighbouring pieces up to ``size``; a new chunk repeats a tail of at most ``overlap``.
+
+    Lengths are summed once; where a chunk ends, and where the next one starts, is found
+    by binary search in the sums.
+    """
+    upto = list(accumulate(lengths, initial=0))
+    out, start = [], 0
+    while start < len(pieces):
+        end = max(start + 1, bisect_right(upto, upto[start] + size) - 1)
+        out.append("".join(pieces[start:end]).strip())
+        if end == len(pieces):
+            break
+        room = min(overlap, size - lengths[end])
+        start = min(end, bisect_left(upto, upto[end] - room))
     return [c for c in out if c]
 
 
-def recursive_split(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
+def characters(texts: list[str]) -> list[int]:
+    return [len(t) for t in texts]
+
+
+def recursive_split(text: str, size: int, overlap: int, separators: Sequence[str], lengths_of: LengthsOf = characters) -> list[str]:
     """Cut at the first separator that occurs, recursing into pieces still too long."""
     at = next(i for i, s in enumerate(separators) if not s or s in text)
-    out, short = [], []
-    for piece in _cut(text, separators[at]):
-        if len(piece) < size:
-            short.append(piece)
+    pieces = _cut(text, separators[at])
+    lengths, rest = lengths_of(pieces), separators[at + 1:]
+    out, first = [], 0
+    for i, length in enumerate([*lengths, size]):
+        if length < size:
             continue
-        out += _pack(short, size, overlap)
-        short = []
-        rest = separators[at + 1:]
-        out += recursive_split(piece, size, overlap, rest) if rest else [piece]
-    return out + _pack(short, size, overlap)
+        out += _pack(pieces[first:i], lengths[first:i], size, overlap)
+        first = i + 1
+        if i < len(pieces):
+            out += recursive_split(pieces[i], size, overlap, rest, lengths_of) if rest else [pieces[i]]
+    return out
+
+
+def token_lengths(open_tokenizer: Callable[[], object]) -> Callable[[], LengthsOf]:
+    """Lengths in subword tokens; the tokenizer (``encode_batch``) is opened once per task."""
+    def opened() -> LengthsOf:
+        tokenizer = open_tokenizer()
+        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return opened
 
 
 def split_sections(sections: DataFrame, size: int = 1000, overlap: int = 100,
-                   separators: Sequence[str] = PARAGRAPHS_FIRST) -> DataFrame:
-    """Add bounded pieces: (..., piece_no, piece, content_type)."""
+                   separators: Sequence[str] = PARAGRAPHS_FIRST, open_lengths: Callable[[], LengthsOf] = lambda: characters) -> DataFrame:
+    """Add bounded pieces: (..., piece_no, piece, content_type).
+
+    ``open_lengths`` is called once per task and gives the measure of ``size`` and ``overlap``:
+    characters, or tokens (see ``token_lengths``).
+    """
     seps = tuple(separators)
 
     @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_split(t, size, overlap, seps) if t else [])
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lengths_of = open_lengths()
+        for texts in batches:
+            yield texts.map(lambda t: recursive_split(t, size, overlap, seps, lengths_of) if t else [])
 
     kind = F.when(F.contains("piece", F.lit("|")), "table").otherwise("prose")
     return sections.select(*[c for c in sections.columns if c != "text"],
