@@ -15,7 +15,7 @@ from folioquery.functions import text as tx
 from folioquery.functions.refs import reference_ids
 from folioquery.operators import evaluate as ev, parse as ps, split as spl
 from folioquery.plans.build import numbered_chunks
-from folioquery.session import materialize, new_table_path
+from folioquery.session import materialize, new_table_path, spread
 from folioquery.sources import stores
 from folioquery.sources.markdown import pages_as_markdown
 
@@ -387,5 +387,5 @@ def ref_ids(spark, sf):
     texts = (
         table(spark, sf, "documents").select(F.concat(F.lit("d"), s(F.col("doc_id"))).alias("id"), "text")
         .unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p"), s(F.col("page_id"))).alias("id"), F.col("html").alias("text")))
-        .unionByName(table(spark, sf, "orders").select(F.concat(F.lit("o"), s(k)).alias("id"), derived.alias("text"))))
+        .unionByName(spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(F.concat(F.lit("o"), s(k)).alias("id"), derived.alias("text"))))
     return texts.select("id", F.array_join(reference_ids(F.col("text")), ",").alias("refs"))

@@ -59,15 +59,16 @@ def standard_ids(text: Column) -> Column:
     low = F.lower(text)
     for variant, plain in (("ſ", "s"), ("ı", "i"), ("i̇", "i")):  # letters that equal s and i in any case
         low = F.replace(low, F.lit(variant), F.lit(plain))
-    found = F.flatten(F.array(*[
+    found = bind(low, lambda low: F.flatten(F.array(*[
         F.when(F.contains(low, F.lit(word)) & text.rlike(f"(?U){digits}"),
                F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0))).otherwise(_none())
-        for p, (word, digits) in zip(fv.STANDARD_IDS, _STANDARD_HINTS, strict=True)]))
+        for p, (word, digits) in zip(fv.STANDARD_IDS, _STANDARD_HINTS, strict=True)])))
     return F.transform(found, lambda m: F.regexp_replace(strip(F.upper(m)), r"(?U)\s+", "_"))
 
 
 def reference_ids(text: Column) -> Column:
     """All identifiers. Each kind holds a digit, so texts without one are skipped."""
-    every = F.concat(function_ids(text), universal_ids(text), standard_ids(text))
-    return F.when(text.rlike(r"\p{Nd}"), F.sort_array(F.array_distinct(every))) \
-            .otherwise(_none())
+    def found(text: Column) -> Column:
+        every = F.concat(function_ids(text), universal_ids(text), standard_ids(text))
+        return F.when(text.rlike(r"\p{Nd}"), F.sort_array(F.array_distinct(every))).otherwise(_none())
+    return bind(text, found)  # a text made of parts is put together once
