@@ -14,6 +14,7 @@ from folioquery.operators.joins import pick_rows, top_rows
 from folioquery.plans.ask import answer
 from folioquery.plans.build import Store, build_store, file_of
 from folioquery.plans.diagnose import explain_questions
+from folioquery.plans.telemetry import Counters
 from folioquery.providers import containment_verifier, fill, offline, with_retries
 from folioquery.session import materialize, new_table_path
 from folioquery.sources.stores import backend_query, resolve_questions
@@ -330,3 +331,14 @@ def client_answers(spark, sf):
     open_client = lambda: with_retries(_terse_client(), attempts=2, base=0.0)
     asked = ask_once(questions(spark, sf), F.concat(F.lit("Q: "), F.col("question")), open_client, folder)
     return asked.select("query_id", "reply.answer", "reply.error")
+
+
+@query("stage_counters", """
+SELECT stage, 'rows' AS counter, (n * per)::DOUBLE AS value FROM (SELECT count(*) AS n FROM benchmark),
+  (VALUES ('question-vectors', 1), ('pool', 10), ('hits', 6), ('drafts', 1)) AS s(stage, per)
+UNION ALL SELECT 'drafts', 'failed', 0.0::DOUBLE UNION ALL SELECT 'drafts', 'without_context', 0.0::DOUBLE""")
+def stage_counters(spark, sf):
+    """What the stages of a batch of answers counted while they were written."""
+    counters = Counters()
+    answer(questions(spark, sf), pipeline_store(spark, sf), offline(), counters=counters)
+    return counters.table(spark).where("counter != 'characters'")
