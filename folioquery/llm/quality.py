@@ -4,8 +4,11 @@ Signals of each text are counted in place. Their spread is kept in mergeable
 quantile sketches: a histogram of fixed integer bins per language, source and
 signal. Two sketches merge by adding counts, so partial sketches are summed
 before the shuffle, and a small group's sketch merges up into its language's or
-the whole table's. Each group's cutoff is a fence above its own quartiles;
-texts are filtered by joining the cutoffs.
+the whole table's. Each group's cutoff is a fence above its own median, as wide
+as its lower half asks, so up to half of a group may be bad without moving it;
+and it stands at most a second slack above the fence of the language, so a
+source that is bad as a whole does not vouch for itself. Texts are filtered by
+joining the cutoffs.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null languages or sources form groups of their own; repeated rows count each;
@@ -23,10 +26,10 @@ from folioquery.session import materialize
 
 MIN_WORDS = 50            # fewer fail
 MAX_REPEAT_PERCENT = 50   # more words in repeated three-word windows fail
-IQR_FACTOR = 3            # the fence stands this many quartile ranges above the upper quartile,
+HALF_FACTOR = 7           # the fence stands this many times (median - lower quartile) above the median,
 MIN_GROUP = 50            # and groups of fewer texts use the merged sketch of their language, or of all
 
-# Signals in thousandths, and the least distance from the upper quartile to the fence.
+# Signals in thousandths, and the least distance from the median to the fence.
 SLACK = {"symbols": 50, "exclaims": 50, "capitals": 300, "dup_lines": 400, "repeats": 400}
 
 _REPEATS = """
@@ -50,7 +53,7 @@ def with_signals(docs: DataFrame) -> DataFrame:
     Windows are told apart by 64-bit hashes within one text.
     """
     staged = docs.withColumn("w", F.expr(words_sql("text"))).withColumn(
-        "_lines", F.expr(r"filter(split(coalesce(text, ''), '\n'), l -> length(trim(BOTH ' \t\r\f\u000B' FROM l)) > 0)"))
+        "_lines", F.expr(r"filter(split(coalesce(text, ''), '\n'), l -> length(trim(BOTH ' \t\r\u000C\u000B' FROM l)) > 0)"))
     counted = (
         staged.withColumn("n_words", F.size("w").cast("long"))
         .withColumn("word_chars", F.length(F.array_join("w", "")).cast("long"))
@@ -85,18 +88,20 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     running = merged.withColumn("_run", F.sum("n").over(group.orderBy("bin"))).withColumn("_all", F.sum("n").over(group))
     quartile = lambda k: F.min(F.when(4 * F.col("_run") >= k * F.col("_all"), F.col("bin")))
     slack = F.element_at(F.array(*[F.lit(v) for v in SLACK.values()]), F.col("signal") + 1)
-    q1, q3 = quartile(1), quartile(3)
+    q1, q2 = quartile(1), quartile(2)
     fences = running.groupBy("_level", "lang", "source", "signal").agg(
-        F.max("_all").alias("_n"), (q3 + IQR_FACTOR * (q3 - q1)).alias("_fence")).withColumn("_limit", F.col("_fence") + slack)
+        F.max("_all").alias("_n"), (q2 + HALF_FACTOR * (q2 - q1)).alias("_fence")).withColumn("_limit", F.col("_fence") + slack)
     level = fences.groupBy("_level", "lang", "source").agg(
         F.max("_n").alias("_n"),
         F.transform(F.sort_array(F.collect_list(F.struct("signal", "_limit"))), lambda x: x["_limit"]).alias("limits"))
     own = level.where("_level = 0").select("lang", "source", "_n", F.col("limits").alias("_own"))
     lang = level.where("_level = 1").select(F.col("lang").alias("_l"), F.col("_n").alias("_ln"), F.col("limits").alias("_lim"))
     every = level.where("_level = 3").select(F.col("limits").alias("_every"))
+    second = F.array(*[F.lit(v) for v in SLACK.values()])
+    bounded = F.transform(F.arrays_zip("_own", "_wide", second.alias("_more")), lambda x: F.least(x["_own"], x["_wide"] + x["_more"]))
     return (own.join(lang, F.col("lang").eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(every))  # one row
-            .select("lang", "source", F.when(F.col("_n") >= MIN_GROUP, F.col("_own"))
-                    .when(F.col("_ln") >= MIN_GROUP, F.col("_lim")).otherwise(F.col("_every")).alias("_limits")))
+            .withColumn("_wide", F.when(F.col("_ln") >= MIN_GROUP, F.col("_lim")).otherwise(F.col("_every")))
+            .select("lang", "source", F.when(F.col("_n") >= MIN_GROUP, bounded).otherwise(F.col("_wide")).alias("_limits")))
 
 
 def with_verdicts(signals: DataFrame, limits: DataFrame) -> DataFrame:
@@ -158,11 +163,13 @@ b AS (SELECT *, [{share('n_symbols', 'word_chars')}, {share('ex', 'word_chars')}
 long AS (SELECT lang, source, s, bins[s] AS bin FROM (SELECT *, unnest(range(1, {len(SLACK) + 1})) AS s FROM b)),
 lev AS (SELECT 0 AS lv, lang, source, s, bin FROM long UNION ALL SELECT 1, lang, NULL, s, bin FROM long
     UNION ALL SELECT 2, NULL, NULL, s, bin FROM long),
-q AS (SELECT lv, lang, source, s, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM lev GROUP BY ALL),
-t AS (SELECT lv, lang, source, max(n) AS n, list(q3 + {IQR_FACTOR} * (q3 - q1) + ([{slack}])[s] ORDER BY s) AS lim FROM q GROUP BY ALL),
-lims AS (SELECT o.lang, o.source, CASE WHEN o.n >= {MIN_GROUP} THEN o.lim WHEN l.n >= {MIN_GROUP} THEN l.lim ELSE e.lim END AS lim
+q AS (SELECT lv, lang, source, s, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.5) AS q2 FROM lev GROUP BY ALL),
+t AS (SELECT lv, lang, source, max(n) AS n, list(q2 + {HALF_FACTOR} * (q2 - q1) + ([{slack}])[s] ORDER BY s) AS lim FROM q GROUP BY ALL),
+wide AS (SELECT o.*, CASE WHEN l.n >= {MIN_GROUP} THEN l.lim ELSE e.lim END AS wide
     FROM (SELECT * FROM t WHERE lv = 0) o JOIN (SELECT * FROM t WHERE lv = 1) l ON o.lang IS NOT DISTINCT FROM l.lang,
-    (SELECT lim FROM t WHERE lv = 2) e)
+    (SELECT lim FROM t WHERE lv = 2) e),
+lims AS (SELECT lang, source, CASE WHEN n >= {MIN_GROUP} THEN
+    list_transform(range(1, {len(SLACK) + 1}), lambda s: least(lim[s], wide[s] + ([{slack}])[s])) ELSE wide END AS lim FROM wide)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed,
     NOT bad AND NOT list_bool_or(list_transform(range(1, {len(SLACK) + 1}), lambda s: bins[s] > lim[s])) AS kept
 FROM (SELECT b.*, lims.lim, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS bad
