@@ -226,7 +226,7 @@ def index_rows(docs: DataFrame, plan: dict, width: int, percent: int) -> DataFra
 
 
 def document_rows(docs: DataFrame, plan: dict, width: int, percent: int, wanted: np.ndarray | None) -> DataFrame:
-    """Document rows (doc_id, n, cls), and in the same pass index rows (bucket, cls) of the wanted buckets."""
+    """Document rows (doc_id, _t, n, cls), _t a hash of the text, and in the same pass index rows (bucket, cls) of the wanted buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,19 +245,22 @@ def document_rows(docs: DataFrame, plan: dict, width: int, percent: int, wanted:
                         found = found[wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found]
                         keys.append(found)
                         owners.append((classes[-1], len(found)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": sizes, "cls": classes,
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "_t": part["_t"].array, "n": sizes, "cls": classes,
                                     "bucket": pd.array([pd.NA] * len(part), "Int64")})
                 if sum(n for _, n in owners):
                     bucket = pd.array(np.concatenate(keys), "Int64")
                     none = pd.array(np.zeros(len(bucket), np.int64), "Int64")
                     none[:] = pd.NA
-                    yield pd.DataFrame({"doc_id": none, "n": 0, "cls": np.repeat(*np.array(owners, np.int64).T), "bucket": bucket})
+                    yield pd.DataFrame({"doc_id": none, "_t": 0, "n": 0, "cls": np.repeat(*np.array(owners, np.int64).T), "bucket": bucket})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cls long, bucket long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInPandas(run, "doc_id long, _t long, n long, cls long, bucket long")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    """(cls, n, elements, sketch) of the wanted classes, from one document (doc_id) of each."""
+    """(cls, n, elements, sketch) of the wanted classes, from one document (doc_id) of each.
+
+    Classes that only rows without an id hold are found among those rows' distinct texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,8 +269,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, percent: int) ->
                 yield pd.DataFrame({"cls": [set_class(s) for s in sets], "n": [len(s) for s in sets],
                                     "elements": [s.tobytes() for s in sets], "sketch": [sketch(s, percent) for s in sets]})
 
-    picked = pick_rows(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
-    return picked.mapInPandas(run, "cls long, n long, elements binary, sketch binary")
+    columns = "cls long, n long, elements binary, sketch binary"
+    picked = pick_rows(docs.select("doc_id", "text"), wanted.where("doc_id IS NOT NULL").select("doc_id"), "doc_id")
+    without = docs.where("doc_id IS NULL").select("doc_id", "text").dropDuplicates(["text"]).mapInPandas(run, columns)
+    asked = wanted.where("doc_id IS NULL").select("cls")
+    return picked.mapInPandas(run, columns).unionAll(without.join(asked, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
 def _bucket_pairs(frame: pd.DataFrame):
@@ -358,8 +364,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInPandas(run, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_shingles, component_id), a row per input row."""
+def grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, text) to (doc_id, _t, n, _g, _low), a row per input row.
+
+    _t: hash of the text; _g: the group; _low: its smallest id. A text without words has neither group nor smallest id.
+    """
     about = docs.select(F.expr(r"greatest(1, regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+') - 2)").alias("n"))
     limits = bands(percent)
     counted = about.select(F.floor(F.log(F.col("n").cast("double")) * 64).alias("g")).groupBy("g").agg(F.count("*").alias("c")).collect()  # a few hundred rows at most: sizes on a log scale
@@ -380,7 +389,7 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     few = fits_broadcast(large, WANTED_KEYS)
     wanted = np.sort(large.select("bucket").toPandas()["bucket"].to_numpy(np.int64)) if few else None
     rows = materialize(document_rows(docs, plan, width, percent, wanted), "jaccard-documents")
-    texts = rows.where("bucket IS NULL").select("doc_id", "n", "cls")
+    texts = rows.where("bucket IS NULL").select("doc_id", "_t", "n", "cls")
     of_large = rows.where("bucket IS NOT NULL").select("bucket", "cls") if few else index
     many = of_large.join(measured(large), "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks"))
     members = materialize(two.unionAll(many), "jaccard-members")
@@ -403,17 +412,37 @@ def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     named = first.join(groups, "cls", "left").withColumn("_g", F.coalesce("component", "cls"))
     lowest = named.groupBy("_g").agg(F.min("doc_id").alias("_low"))
-    of_class = materialize(named.join(lowest, "_g").select("cls", "_low"), "jaccard-classes")
-    return texts.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = materialize(named.join(lowest, "_g").select("cls", "_g", "_low"), "jaccard-classes")
+    worded = lambda c: F.when(F.col("n") > 0, F.col(c)).alias(c)
+    return texts.join(of_class, "cls", "left").select("doc_id", "_t", "n", worded("_g"), worded("_low"))
+
+
+def jaccard_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) to (doc_id, n_shingles, component_id), a row per input row."""
+    return grouped_rows(docs, width, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest id of their group; columns as they came."""
-    kept = jaccard_groups(docs, width, percent).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"))
-    return packed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_doc.*")
+    """One row of each group, of the smallest id (null last); texts without words all stay; columns as they came.
+
+    A row is known by its id and its text's hash; rows that are equal in both are met once more and one of them stays.
+    """
+    rows = grouped_rows(docs, width, percent)
+    alike = rows.groupBy("doc_id", "_t").agg(F.min("_g").alias("_g"), F.count("*").alias("_c"))
+    low = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_t")
+    best = alike.where("_g IS NOT NULL").groupBy("_g").agg(F.min_by(F.struct("doc_id", "_t", "_c"), low).alias("_best"))
+    kept = materialize(best.select("_best.*").select("doc_id", "_t", (F.col("_c") > 1).alias("_many"))
+                       .unionAll(alike.where("_g IS NULL").select("doc_id", "_t", F.lit(False))), "jaccard-kept")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
+
+    def met(which: str) -> DataFrame:
+        return packed.join(kept.where(which), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_t")), "left_semi")
+
+    once = met("NOT _many").select("_doc.*")
+    if kept.where("_many").isEmpty():
+        return once
+    return once.unionAll(met("_many").groupBy("_id", "_h").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from a hash of the document id, so reruns and lost tasks agree.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a
 source of its own, last in order; repeated rows
-are drawn each for itself, and as documents all take the larger number of copies;
-a null id draws like any other; an empty table gives no rows.
+are drawn each for itself; rows equal in id, source and size are numbered, and as
+documents each takes the copies of its number. Where FILLS rounds are over, a source may stay
+short of its target by less than the documents that were still too large; a null id draws like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ MAX_COPIES = 2
 POWER = 0.5             # longer documents are likelier, by the root of their size
 BUCKETS = 4096          # of the order, to find the border
 FILLS = 4               # rounds that fill what is open at the border
+STRETCH = 1 << 16       # equal rows that one task numbers
 SEED = 20
 
 WORD = SPACES.replace("[", "[^", 1)
@@ -44,6 +46,19 @@ def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.expr(f"CAST(coalesce(regexp_count(text, r'{WORD}'), 0) AS BIGINT)"))
 
 
+def numbered_rows(sizes: DataFrame) -> DataFrame:
+    """Adds ``_row``: 1, 2, ... among rows equal in doc_id, source and size, made from their counts.
+
+    A count is spread over tasks in stretches, so many equal rows are no hot group.
+    """
+    counts = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_c"))
+    stretch = F.explode(F.expr(f"sequence(0L, (_c - 1) div {STRETCH} * {STRETCH}, {STRETCH}L)"))
+    few = counts.where(F.col("_c") <= STRETCH).withColumn("_from", F.lit(0).cast("long"))
+    many = counts.where(F.col("_c") > STRETCH).withColumn("_from", stretch).repartition("doc_id", "source", "size", "_from")
+    return few.unionByName(many).select("doc_id", "source", "size", F.explode(F.sequence(
+        F.col("_from") + 1, F.least(F.col("_c"), F.col("_from") + STRETCH))).alias("_row"))
+
+
 def by_source(left: DataFrame, right: DataFrame) -> DataFrame:
     """Join on the source, null included; ``right`` has one row per source."""
     right = right.withColumnRenamed("source", "_src")
@@ -119,9 +134,8 @@ def pareto_prefix(candidates: DataFrame, room: DataFrame) -> DataFrame:
 
 
 def mix(sizes: DataFrame) -> DataFrame:
-    """(doc_id, source, size) to (doc_id, source, size, source_size, target, _copies), a row per input row."""
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
-    numbered = materialize(sizes.withColumn("_row", F.row_number().over(same)).withColumn("_k", F.monotonically_increasing_id()), "mix-sizes")
+    """(doc_id, source, size) to (doc_id, source, size, _row, source_size, target, _copies), a row per input row."""
+    numbered = materialize(numbered_rows(sizes).withColumn("_k", F.monotonically_increasing_id()), "mix-sizes")
     goals = materialize(targets(numbered), "mix-targets")
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), "doc_id", "_row")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rated = expected_copies(numbered, goals).withColumn("_whole", F.floor("_e").cast("long"))
@@ -140,7 +154,7 @@ def mix(sizes: DataFrame) -> DataFrame:
                            .select("source", (F.col("_room") - F.coalesce("_add", F.lit(0))).alias("_room")), "mix-room")
     counted = rated.select("_k", "_whole").join(taken.select("_k", F.lit(1).alias("_one")), "_k", "left").select(
         "_k", (F.col("_whole") + F.coalesce("_one", F.lit(0))).alias("_copies"))
-    return by_source(numbered, goals).join(counted, "_k", "left").fillna(0, ["_copies"]).drop("_k", "_row")
+    return by_source(numbered, goals).join(counted, "_k", "left").fillna(0, ["_copies"]).drop("_k")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +164,26 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with every document as often as the mix takes it; columns as they came."""
+    """``docs`` with every document as often as the mix takes it; columns as they came.
+
+    Rows whose id, source and size are met once are joined by them; only the others are
+    written, numbered along a range sort, and joined by number.
+    """
     sized = with_sizes(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "source", "text")).drop("text")
-    copies = (mix(sized.select("doc_id", "source", "size")).where("_copies > 0").groupBy("doc_id", "source", "size")
-              .agg(F.max("_copies").alias("_copies")).withColumnsRenamed({"doc_id": "_i", "source": "_s", "size": "_n"}))
+    copies = materialize(mix(sized.select("doc_id", "source", "size")).select("doc_id", "source", "size", "_row", "_copies"), "mix-copies")
+    copies = copies.withColumnsRenamed({"doc_id": "_i", "source": "_s", "size": "_n"})
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return sized.join(copies, same).select("_doc", times.alias("_time")).select("_doc.*")
+    by_key = copies.groupBy("_i", "_s", "_n").agg(F.count("*").alias("_c"), F.max("_copies").alias("_copies"))
+    once = sized.join(by_key.where("_c = 1 AND _copies > 0"), same).select("_doc", times.alias("_time")).select("_doc.*")
+    repeated = materialize(by_key.where("_c > 1 AND _copies > 0").select("_i", "_s", "_n"), "mix-repeated")
+    if repeated.isEmpty():
+        return once
+    held = materialize(sized.join(repeated, same, "left_semi").withColumn("_id", F.monotonically_increasing_id())
+                       .withColumn("_j", F.xxhash64(F.to_json("_doc"))), "mix-equal")
+    key = ["doc_id", "source", "size"]
+    placed = with_positions(held.select(*key, "_j", "_id"), [*key, "_j", "_id"], "_at")
+    low = placed.groupBy(*key).agg(F.min("_at").alias("_low")).withColumnsRenamed({"doc_id": "_i", "source": "_s", "size": "_n"})
+    number = placed.join(low, same).select(*key, "_id", (F.col("_at") - F.col("_low") + 1).alias("_at"))
+    taken = number.join(copies.where("_copies > 0"), same & (F.col("_at") == F.col("_row"))).select("_id", "_copies")
+    return once.unionAll(held.join(taken, "_id").select("_doc", times.alias("_time")).select("_doc.*"))
