@@ -15,9 +15,11 @@ length are scanned; an empty table gives no rows; other columns are ignored.
 Base64 and hex may be wrapped in lines or stand behind or before separators of
 a path. Bytes are a layer if they are valid UTF-8 or compressed (gzip, zlib, bz2, xz, all
 their members, or raw deflate that ends with its data); a stream that breaks off gives what
-came before. Layers beyond MAX_LAYER are scanned as a stream in pieces that
-overlap by OVERLAP characters; only there, a further encoded run that is longer than
-the overlap and crosses the edge of a piece may stay closed.
+came before, and one that begins like a stream it came from is not opened again. Layers
+beyond MAX_LAYER are scanned as a stream in pieces; a piece ends only where no pattern and
+no encoded run can go on (SAFE), so nothing is lost at its edges; where no such place comes, the
+piece grows until one does. Time is linear in a text's length: runs are tried from
+their first character, and bytes are decoded as far as they make sense.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ import itertools
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,9 +48,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-PERCENT = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}(?:[^\s%]|%[0-9A-Fa-f]{2})*")
+PERCENT = re.compile(r"(?<![^\s%])[^\s%]*%[0-9A-Fa-f]{2}(?:[^\s%]|%[0-9A-Fa-f]{2})*")
 PERCENT_UNIT = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
-ESCAPE = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
+ESCAPE = re.compile(r"(?<!\S)\S*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
 ESCAPE_UNIT = re.compile(r"((?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_LAYER = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
@@ -59,8 +60,9 @@ SEPARATOR = re.compile(r"[/_-]")
 HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2})+")
 MIN_RUN = 16
 MAX_LAYER = 1 << 26
-OVERLAP = 1 << 20
+SAFE = re.compile(r"[.,;!?()<>\[\]{}|]\s")
 PIECE = 1 << 20       # bytes that a decompressor gives at once
+STEP = 1 << 8         # characters of a run that are first decoded; each further step is twice as long
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -161,27 +163,32 @@ def _members(chunks: Iterator[bytes], make) -> Iterator[bytes]:
         return
 
 
-def _deflated(data: bytes) -> bool:
+def _deflated(chunks: Iterator[bytes]) -> bool:
     """Whether all of the data are one raw deflate stream."""
-    engine = zlib.decompressobj(-15)
+    engine, size = zlib.decompressobj(-15), 0
     try:
-        any_ = [True for _ in _pumped(engine, data)]
+        for chunk in chunks:
+            if engine.eof:
+                return False
+            size += sum(map(len, _pumped(engine, chunk)))
     except zlib.error:
         return False
-    return bool(any_) and engine.eof and not engine.unused_data
+    return size > 0 and engine.eof and not engine.unused_data
 
 
 def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
-    """A stream as text: one piece, or overlapping ones beyond MAX_LAYER; nothing more where it is no UTF-8."""
+    """A stream as text: one piece, or several beyond MAX_LAYER, cut at safe places; nothing more where it is no UTF-8."""
     decoder, held, size = codecs.getincrementaldecoder("utf-8")(), [], 0
     try:
         for chunk in chunks:
             held.append(decoder.decode(chunk))
             size += len(held[-1])
             if size > MAX_LAYER:
-                piece = "".join(held)
-                yield piece
-                held, size = [piece[-OVERLAP:]], min(OVERLAP, len(piece))
+                *_, cut = itertools.chain([None], SAFE.finditer(held[-1]))
+                if cut:
+                    yield "".join(held[:-1]) + held[-1][:cut.end()]
+                    held = [held[-1][cut.end():]]
+                    size = len(held[0])
         held.append(decoder.decode(b"", True))
     except UnicodeDecodeError:
         return
@@ -189,31 +196,47 @@ def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
         yield text
 
 
-def _plain(data: bytes) -> Iterator[str]:
-    """Bytes as text, if they are compressed or are text."""
-    chunks, head = iter([data]), data
-    for depth in range(64):  # compressed again and again; ends earlier when it is no longer compressed
-        make = _engine(head)
-        if make is None:
-            break
-        inner = _members(itertools.chain([head], chunks if depth else ()), make)
+def _utf8_up_to(chunks: Iterator[bytes]) -> int | None:
+    """How many bytes are valid UTF-8 if not all are, else None."""
+    decoder, done, held = codecs.getincrementaldecoder("utf-8")(), 0, b""
+    try:
+        for chunk in chunks:
+            held = decoder.getstate()[0]
+            decoder.decode(chunk)
+            done += len(chunk)
+        held = decoder.getstate()[0]
+        decoder.decode(b"", True)
+    except UnicodeDecodeError as e:
+        return done - len(held) + e.start
+    return None
+
+
+def _plain(read) -> Iterator[str]:
+    """Bytes as text, if they are compressed or are text. ``read()`` gives their chunks from the start, the first of at least 6 bytes where there are as many."""
+    chunks = read()
+    head, opened, seen = next(chunks, b""), False, set()
+    while make := _engine(head):  # compressed again and again, until it no longer is
+        digest = hashlib.blake2b(head, digest_size=16).digest()
+        if digest in seen:
+            return
+        seen.add(digest)
+        inner = _members(itertools.chain([head], chunks), make)
         first = next(inner, b"")
         if not first:
             break
-        head, chunks = first, inner
-    else:
-        return
-    if chunks is not None and head is not data:
+        second = next(inner, None)  # a short layer needs its stream no more, so streams stand in each other only while they are long
+        head, opened, chunks = first, True, iter(()) if second is None else itertools.chain([second], inner)
+    if opened:
         yield from _texts(itertools.chain([head], chunks))
-        return
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        if _deflated(data):
-            yield from _texts(_pumped(zlib.decompressobj(-15), data))
-        return
-    if text:
-        yield text
+    elif _utf8_up_to(read()) is None:
+        yield from _texts(read())
+    elif _deflated(read()):
+        engine = zlib.decompressobj(-15)
+        yield from _texts(out for chunk in read() for out in _pumped(engine, chunk))
+
+
+def _whole(data: bytes):
+    return lambda: iter([data])
 
 
 def _bytes(run: str) -> bytes:
@@ -227,12 +250,12 @@ def _bytes(run: str) -> bytes:
 
 
 def _likely(head: str) -> bool:
-    """Whether a run that begins so can be text or compressed."""
-    data = _bytes(head[:len(head) // 4 * 4])
+    """Whether a run that begins so can be text, up to a separator at least, or compressed: what most starts are not is seen at once."""
+    data = _bytes(head)
     if _engine(data):
         return True
     try:
-        codecs.getincrementaldecoder("utf-8")().decode(data[:12])
+        codecs.utf_8_decode(data[:12], "strict", False)
         return True
     except UnicodeDecodeError:
         pass
@@ -243,24 +266,35 @@ def _likely(head: str) -> bool:
         return False
 
 
+def _steps(run: str, start: int, end: int) -> Iterator[bytes]:
+    """A run's bytes in steps of growing length, so that a start that makes no sense costs little."""
+    step = STEP
+    while start < end:
+        stop = min(start + step, end)
+        if data := _bytes(run[start:stop]):
+            yield data
+        start, step = stop, 2 * step
+
+
 def _base64(run: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded) in a run: of all of it, or of what stands between its separators."""
-    starts = [0, *(m.end() for m in SEPARATOR.finditer(run))]
+    separators = [m.end() for m in SEPARATOR.finditer(run)]
     done = 0
-    for start in starts:
-        if start < done or len(run) - start < MIN_RUN or start and not _likely(run[start:start + 1024]):
+    for start in [0, *separators]:
+        if start < done or len(run) - start < MIN_RUN or start and not _likely(run[start:start + STEP]):
             continue
-        data, end = _bytes(run[start:]), len(run)
-        found = False
-        for plain in _plain(data):
+        end, found = len(run), False
+        for plain in _plain(lambda: _steps(run, start, end)):
             yield start, end, plain
             found = True
-        if not found and len(starts) > 1:
-            try:
-                data.decode("utf-8")
-            except UnicodeDecodeError as e:  # text up to a separator that is none of its own
-                end = max((s - 1 for s in starts if s > start + MIN_RUN and (s - 1 - start) * 3 // 4 <= e.start), default=0)
-                for plain in _plain(_bytes(run[start:end])) if end else ():
+        if not found and separators:
+            upto = _utf8_up_to(_steps(run, start, len(run)))
+            if upto and upto * 4 // 3 >= MIN_RUN:  # text up to a separator that is none of its own
+                k = bisect.bisect_right(separators, start + (upto + 1) * 4 // 3 + 1) - 1
+                while k >= 0 and (separators[k] - 1 - start) * 3 // 4 > upto:
+                    k -= 1
+                end = separators[k] - 1 if k >= 0 and separators[k] > start + MIN_RUN else 0
+                for plain in _plain(lambda: _steps(run, start, end)) if end else ():
                     yield start, end, plain
                     found = True
         if found:
@@ -302,7 +336,7 @@ def layers(text: str) -> Iterator[tuple[int, int, str, list[int] | None]]:
         if start < joined[-1][1]:
             continue
         data = bytes.fromhex(run) if HEX_RUN.fullmatch(run) else _bytes(run)
-        for plain in _plain(data):
+        for plain in _plain(_whole(data)):
             yield start, end, plain, None
             if joined[-1] != (start, end):
                 joined.append((start, end))
@@ -313,7 +347,7 @@ def layers(text: str) -> Iterator[tuple[int, int, str, list[int] | None]]:
                 yield m.start() + a, m.start() + b, plain, None
     for m in HEX_LAYER.finditer(text):
         if not inside(m.start()):
-            for plain in _plain(bytes.fromhex(m[0])):
+            for plain in _plain(_whole(bytes.fromhex(m[0]))):
                 yield m.start(), m.end(), plain, None
 
 
@@ -322,18 +356,22 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     text = text or ""
     base = base_spans(text)
     spans, seen = set(base), set()
-    work: deque = deque((plain, lambda a, b, s=start, e=end, p=places: (s + p[a], s + p[b]) if p else (s, e))
-                        for start, end, plain, places in layers(text))
+    identity = lambda a, b: (a, b)
+    work = [(layers(text), identity)]  # layers still to be opened, with the way from their places to the text's
     while work:
-        layer, place = work.popleft()
-        where = place(0, len(layer))
-        key = (where, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        found, up = work[-1]
+        step = next(found, None)
+        if step is None:
+            work.pop()
+            continue
+        start, end, layer, places = step
+        place = (lambda a, b, s=start, p=places, up=up: up(s + p[a], s + p[b])) if places else (lambda a, b, s=start, e=end, up=up: up(s, e))
+        key = (place(0, len(layer)), hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if key in seen:
             continue
         seen.add(key)
         spans.update((kind, *place(a, b)) for kind, a, b in base_spans(layer))
-        for start, end, plain, places in layers(layer):
-            work.append((plain, lambda a, b, s=start, e=end, p=places, up=place: up(s + p[a], s + p[b]) if p else up(s, e)))
+        work.append((layers(layer), place))
     return base, sorted(spans, key=_order)
 
 

@@ -80,6 +80,23 @@ def test_quality_cutoffs_follow_the_group(spark):
     assert kept == set(range(80))
 
 
+def test_quality_of_dirty_sources(spark):
+    from folioquery.llm import quality
+    base = lambda i: f"{PROSE}{i} " + " ".join(f"u{i}v{k}" for k in range(40))
+    junk = lambda i: " ".join(f"w{i}q{k}{'*' * (k % 3)}" for k in range(60))
+    rows = [(i, base(i), "en", "good") for i in range(300)] + [(1000 + i, base(i), "en", "mixed") for i in range(120)]
+    rows += [(2000 + i, junk(i), "en", "mixed") for i in range(80)] + [(3000 + i, junk(i + 99), "en", "bad") for i in range(60)]
+    kept = {r.doc_id for r in quality.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == {r[0] for r in rows if r[0] < 2000}
+
+
+def test_form_feeds_are_white_space(spark):
+    from folioquery.llm import quality
+    rows = [(1, "f\nf\nff\nff\nhello\nhello", "en", "s"), (2, "\f\n\f\n \v\t\n \v\t\nx", "en", "s")]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: r.n_dup_lines for r in got} == {1: 3, 2: 0}
+
+
 # --- 10 -----------------------------------------------------------------------
 
 def test_line_templates(spark, docs, empty):
@@ -174,6 +191,20 @@ def test_jaccard_deletion_plans_lose_nothing():
                     or set(jaccard.index_keys(a, plan, 90).tolist()) & set(jaccard.index_keys(b, plan, 90).tolist()))
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    from folioquery.llm import jaccard
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(100))
+    near = lambda k: text(k) + " end"
+    rows = [(None, text(1)), (None, text(1)), (None, near(1)), (None, near(2)), (5, text(2)), (5, text(2)), (5, text(3)), (4, near(3)),
+            (8, text(4)), (8, near(4)), (None, text(5)), (9, None), (9, None), (None, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, mark int")
+    groups = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_groups(df).collect())
+    assert groups == Counter({(None, None): 5, (None, 5): 1, (5, 5): 2, (5, 4): 1, (4, 4): 1, (8, 8): 2, (9, 9): 2})
+    kept = sorted(r.mark for r in jaccard.one_of_each(df).collect())
+    assert len([m for m in kept if m < 3]) == 1 and len([m for m in kept if m in (3, 4, 5)]) == 1 and len([m for m in kept if m in (8, 9)]) == 1
+    assert [m for m in kept if m in (6, 7)] == [7] and [m for m in kept if m > 9] == [10, 11, 12, 13] and len(kept) == 8
+
+
 def test_jaccard_odd_rows(docs, empty):
     from folioquery.llm import jaccard
     assert jaccard.jaccard_groups(docs).count() == docs.count()
@@ -269,6 +300,22 @@ def test_mixing(spark):
     assert again == {(r.doc_id, r._copies) for r in got}
 
 
+def test_mixed_words_are_what_the_mix_takes(spark, monkeypatch):
+    from folioquery.llm import mixing
+    monkeypatch.setattr(mixing, "STRETCH", 16)
+    rng = np.random.default_rng(4)
+    rows = [((int(rng.integers(0, 60)), None)[i % 3 == 0], " ".join([str(i)] * (1 + i % 7)), ("a", "b", None)[i % 5 % 3], i) for i in range(900)]
+    rows += [(None, "same text twice", "a", -1)] * 200 + [(7, "one id again", "b", -2)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    mixed, sizes = mixing.mixed_documents(df), mixing.with_sizes(df).drop("text", "mark")
+    want = Counter()
+    for r in mixing.mix(sizes).collect():
+        want[r.doc_id, r.source, r.size] += r._copies
+    got = Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed.collect())
+    assert mixed.columns == df.columns and got == +want
+    assert max(Counter(r.mark for r in mixed.collect() if r.mark >= 0).values()) <= 2
+
+
 def test_mixing_odd_rows(docs, empty):
     from folioquery.llm import mixing
     mixed = mixing.mixed_documents(docs)
@@ -418,10 +465,31 @@ def test_secrets_in_wrapped_and_framed_layers(monkeypatch):
             spans = [s for s in secrets.scan(text)[1] if s[0] != "hex"]  # the digits of a hex layer are hex strings themselves
             assert [k for k, _, _ in spans] == ["assign"], name
             assert 13 <= spans[0][1] < spans[0][2] <= 13 + len(payload) + 6, name
-    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 20)
-    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
-    large = b"a b c " * 500_000 + b"token=abcdefgh12 " + b"a b c " * 500_000
-    assert [k for k, _, _ in secrets.scan("x " + code(gzip.compress(large)))[1]] == ["assign"]
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 18)
+    for inner in (b"token=abcdefgh12", code(gzip.compress(b"token=abcdefgh12 " + rng.bytes(1 << 19).hex().upper().encode())).encode()):
+        for mark in (b"a b. ", b"a b c "):  # with and without places where a piece may end
+            large = mark * 200_000 + inner + b" " + mark * 200_000
+            assert [k for k, _, _ in secrets.scan("x " + code(gzip.compress(large)))[1] if k != "hex"] == ["assign"]
+
+
+def test_secrets_in_very_many_compressions():
+    from folioquery.llm import secrets
+    data = b"password=hunter2hunter2"
+    for _ in range(150):
+        data = gzip.compress(data)
+    assert [k for k, _, _ in secrets.scan(base64.b64encode(data).decode())[1]] == ["assign"]
+
+
+def test_secrets_in_long_runs_take_linear_time():
+    import time
+    from folioquery.llm import secrets
+    rng = np.random.default_rng(3)
+    runs = {"percent": "a" * 1_000_000 + "%41", "escape": "b" * 1_000_000 + "\\x41", "path": "abcd/" * 200_000,
+            "noise": base64.b64encode(rng.bytes(750_000)).decode(), "words": "-".join(rng.choice(["alpha", "beta", "gamma"], 150_000))}
+    for name, run in runs.items():
+        start = time.time()
+        assert [s for s in secrets.scan(run)[1] if s[0] != "hex"] == [], name
+        assert time.time() - start < 20, name
 
 
 def test_secret_rows(docs, empty):
