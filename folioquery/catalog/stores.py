@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioquery.catalog.answers import pipeline_store
 from folioquery.catalog.base import query, table
-from folioquery.catalog.markdown import REPORT_SQL, parsed_reports
+from folioquery.catalog.markdown import REPORT_SQL, orders_with_items, parsed_reports
 from folioquery.catalog.retrieval import questions, vectors
 from folioquery.operators import parse as ps
 from folioquery.plans.ask import answer
@@ -116,9 +116,7 @@ UNION ALL SELECT k, 'f' || k || '_fig' || (m + 1), 'figure', 'Figure 3: Route of
 def bold_captions(spark, sf):
     """Tables and figures that open with a bold caption instead of a heading."""
     line = F.concat(F.lit("|"), F.col("l_linenumber").cast("string"), F.lit("|"), F.col("l_partkey").cast("string"), F.lit("|\n"))
-    items = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber"), F.col("l_partkey"), line.alias("line")).alias("r")) \
-        .groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    orders = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = orders_with_items(spark, sf, no=F.col("l_linenumber"), part=F.col("l_partkey"), line=line)
     k, rows = F.col("o_orderkey").cast("string"), F.coalesce(F.array_join(F.transform("rows", lambda r: r["line"]), ""), F.lit(""))
     value = F.concat(F.lit("These are the items of order "), k, F.lit(" as they were sent.\n\n**Table 2: Items of order "), k, F.lit("**\n|Line|Part|\n|---|---|\n"),
                      rows, F.lit("**Figure 3: Route of order "), k, F.lit("**\nA map of order "), k, F.lit("\n**Table 4: no table, as a figure goes on**\n"))
