@@ -72,12 +72,13 @@ class Vocabulary:
         else:
             self.costs = {i: round(-1e6 * model.get_score(i)) for i in plain}
         self.unknown_cost = max(self.costs.values()) + UNKNOWN * 1_000_000
-        self.trie: dict = {}
+        self.trie: dict = {}  # character -> [edge of the piece that ends here or None, the trie after it]
         for i in plain:
-            node = self.trie
+            node, after = [None, None], self.trie
             for c in self.pieces[i].replace(MARK, " "):
-                node = node.setdefault(c, {})
-            node[""] = self.costs[i], (i,)
+                node = after.setdefault(c, [None, {}])
+                after = node[1]
+            node[0] = self.costs[i], (i,)
 
     def lattice(self, part: str) -> tuple[list[list[tuple[int, tuple[int, tuple]]]], list[int]]:
         """Edges by the place they end at, (start, (cost, ids)), and the forward Viterbi costs of all places."""
@@ -85,20 +86,19 @@ class Vocabulary:
         into: list[list] = [[] for _ in range(size + 1)]
         least: list = [0] + [math.inf] * size
         for i, c in enumerate(part):
-            base, node, j, single = least[i], trie.get(c), i, False
+            base, node, j = least[i], trie.get(c), i
+            single = node is not None and node[0] is not None
             while node is not None:
                 j += 1
-                edge = node.get("")
+                edge, after = node
                 if edge is not None:
                     into[j].append((i, edge))
                     cost = base + edge[0]
                     if cost < least[j]:
                         least[j] = cost
-                    if j == i + 1:
-                        single = True
                 if j == size:
                     break
-                node = node.get(part[j])
+                node = after.get(part[j])
             if not single:
                 raw = c.encode("utf-8", "surrogatepass")
                 ids = tuple(self.bytes_at[b] for b in raw) if self.bytes_at else (self.unknown_id,)
@@ -154,7 +154,7 @@ class Encoder:
         self.cost = np.zeros(1 << 14, np.int64)
         self.step = np.zeros(1 << 14, np.int64)  # from the best to the second; -1: there is none
         self.same = np.zeros(1 << 14, bool)
-        self.more: dict[str, list[int]] = {}  # steps from the best to each of the N best, of the parts that were asked
+        self.more: dict[str, list] = {}  # (step from the best, ids) of each of the N best, of the parts that were asked
 
     def _learn(self, parts: list[str]) -> None:
         if not parts:
@@ -180,6 +180,13 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, list[int], bool]]:
         """For each text: ids of the best segmentation, costs of the N best, whether decoding gives the text back."""
+        return [(every[0], costs, same) for every, costs, same in self.segmentations(texts, False)]
+
+    def segmentations(self, texts: list[str], all_ids: bool = True) -> list[tuple[list[np.ndarray], list[int], bool]]:
+        """For each text: ids and costs of the N best segmentations, best first, and whether decoding the best gives the text back.
+
+        Without ``all_ids`` only those of the best are put together.
+        """
         split = [PARTS.findall(" " + t) if t else [] for t in texts]
         if len(self.place) > REMEMBERED:
             self.forget()
@@ -189,25 +196,40 @@ class Encoder:
             at = np.fromiter(map(find, parts), np.int64, len(parts))
             total = int(self.cost[at].sum())
             n = self.size[at]
-            ids = self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            out.append((ids, self._sums(parts, at, total), bool(self.same[at].all())))
+            ends = np.cumsum(n)
+            ids = self.ids[np.repeat(self.start[at] - (ends - n), n) + np.arange(int(n.sum()))]
+            found = self._ranked(parts, at)
+            every = [ids, *(self._replaced(ids, at, ends, chosen) for _, chosen in found[1:])] if all_ids else [ids]
+            out.append((every, [total + step for step, _ in found], bool(self.same[at].all())))
         return out
 
-    def _sums(self, parts: list[str], at: np.ndarray, total: int) -> list[int]:
+    def _ranked(self, parts: list[str], at: np.ndarray) -> list[tuple[int, list]]:
+        """The N best segmentations of a text: step from the best, and (part, its ids) where they take other ids than the best."""
         steps = self.step[at]
         free = np.flatnonzero(steps >= 0)
         if self.n == 1 or not len(free):
-            return [total]
+            return [(0, [])]
         if len(free) >= self.n:
-            free = free[np.argpartition(steps[free], self.n - 2)[: self.n - 1]]
+            free = np.sort(free[np.argpartition(steps[free], self.n - 2)[: self.n - 1]])
         choices = []
-        for k in free:
+        for k in free.tolist():
             part = parts[k]
             if part not in self.more:
                 found = self.vocabulary.n_best(part, self.n)
-                self.more[part] = [cost - found[0][0] for cost, _ in found]
-            choices.append(self.more[part])
-        return [total + d for d in sorted(map(sum, itertools.product(*choices)))[: self.n]]
+                self.more[part] = [(cost - found[0][0], np.array(own, self.kind)) for cost, own in found]
+            choices.append((k, self.more[part]))
+        sums = [sum(c) for c in itertools.product(*[[step for step, _ in own] for _, own in choices])]
+        places = list(itertools.product(*[range(len(own)) for _, own in choices]))
+        first = sorted(range(len(sums)), key=sums.__getitem__)[: self.n]  # the best takes place 0 everywhere
+        return [(sums[i], [(k, own[j][1]) for (k, own), j in zip(choices, places[i]) if j]) for i in first]
+
+    def _replaced(self, ids: np.ndarray, at: np.ndarray, ends: np.ndarray, chosen: list) -> np.ndarray:
+        """The best ids of a text with those of some parts replaced."""
+        pieces, a = [], 0
+        for k, own in chosen:
+            pieces += [ids[a:ends[k] - self.size[at[k]]], own]
+            a = ends[k]
+        return np.concatenate([*pieces, ids[a:]])
 
 
 @lru_cache(maxsize=2)
@@ -216,35 +238,39 @@ def encoder(path: str, n: int = N_BEST, costs: str = "zipf") -> Encoder:
     return Encoder(path, n, costs)
 
 
-def _runs(batches: Iterator[pd.DataFrame], path: str, n: int, costs: str):
-    encode = encoder(path, n, costs)
+def _runs(batches: Iterator[pd.DataFrame], path: str, n: int, costs: str, all_ids: bool):
+    encode = encoder(path, n, costs).segmentations
     for batch in batches:
         texts = [t if isinstance(t, str) else "" for t in batch["text"]]
         marks = np.cumsum([len(t) for t in texts]) // TEXTS_AT_ONCE
         cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1), len(texts)]
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.iloc[a:b], encode(texts[a:b])
+            yield batch.iloc[a:b], encode(texts[a:b], all_ids)
 
 
-def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, costs: str = "zipf", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, n: int = N_BEST, costs: str = "zipf", with_ids: bool = True, every: bool = False) -> DataFrame:
     """(doc_id, text) to (doc_id, n_pieces, scores, round_trip, ids or ids_crc32); no shuffle.
 
-    ``scores``: log-probabilities (nats) of the N best segmentations, best first.
+    ``scores``: log-probabilities (nats) of the N best segmentations, best first. With
+    ``every``, ``segmentations`` (or ``segmentations_crc32``) holds the ids of all N in the same order.
     """
-    last = "ids array<int>" if with_ids else "ids_crc32 long"
+    last, kind = ("ids", "array<int>") if with_ids else ("ids_crc32", "bigint")
+    name = "segmentations" if with_ids else "segmentations_crc32"
+    schema = f"doc_id long, n_pieces long, scores array<double>, round_trip boolean, {last} {kind}" + (f", {name} array<{kind}>" if every else "")
+    value = (lambda ids: ids.astype(np.int32)) if with_ids else (lambda ids: zlib.crc32(ids.astype("<u4")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, found in _runs(batches, path, n, costs):
+        for rows, found in _runs(batches, path, n, costs, every):
+            values = [[value(ids) for ids in own] for own, _, _ in found]
             out = pd.DataFrame({
-                "doc_id": rows["doc_id"].astype("Int64").reset_index(drop=True), "n_pieces": [len(ids) for ids, _, _ in found],
+                "doc_id": rows["doc_id"].astype("Int64").reset_index(drop=True), "n_pieces": [len(own[0]) for own, _, _ in found],
                 "scores": [[-c / 1e6 for c in sums] for _, sums, _ in found], "round_trip": [ok for _, _, ok in found]})
-            if with_ids:
-                out["ids"] = [ids.astype(np.int32) for ids, _, _ in found]
-            else:
-                out["ids_crc32"] = [zlib.crc32(ids.astype("<u4")) for ids, _, _ in found]
+            out[last] = [own[0] for own in values]
+            if every:
+                out[name] = values
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, n_pieces long, scores array<double>, round_trip boolean, {last}")
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
@@ -262,4 +288,4 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = read(spark, sf_dir, "documents")
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, every=True)

@@ -359,6 +359,23 @@ def test_text_n_best_is_exact(vocabulary):
     assert costs == every[:4] and same and e.vocabulary.decode(ids.tolist())[1:] == text
 
 
+def test_every_segmentation_comes_out(spark, vocabulary):
+    pieces, path = vocabulary
+    e = pieces.Encoder(path, 4)
+    cost = e.vocabulary.costs
+    texts = ["The new cat sat on  a mat", "a", "cat cat cat", ""]
+    for text, (every, costs, _) in zip(texts, e.segmentations(texts)):
+        assert len({tuple(ids.tolist()) for ids in every}) == len(every) == len(costs)
+        assert costs == [sum(cost[i] for i in ids.tolist()) for ids in every]
+        assert all(e.vocabulary.decode(ids.tolist())[1:] == text for ids in every)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pieces.encode_documents(docs, path, every=True).collect()}
+    for i, (every, _, _) in enumerate(e.segmentations(texts)):
+        assert rows[i].segmentations == [ids.tolist() for ids in every] and rows[i].ids == rows[i].segmentations[0]
+    crcs = {r.doc_id: r for r in pieces.encode_documents(docs, path, with_ids=False, every=True).collect()}
+    assert all(len(crcs[i].segmentations_crc32) == len(rows[i].scores) and crcs[i].segmentations_crc32[0] == crcs[i].ids_crc32 for i in rows)
+
+
 def test_pieces_round_trip(docs, empty, vocabulary):
     pieces, path = vocabulary
     coded = pieces.encode_documents(docs, path)
