@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,41 @@ def test_negative_idf_terms_keep_bounds_right(spark, tmp_path, monkeypatch):
     questions = spark.createDataFrame([(1, "all most some"), (2, "all word3"), (3, "most some word1 word2")], "query_id long, question string")
     index = sp.build_index(docs).write(str(tmp_path / "index"))
     assert best_list(sp.bm25_top(questions, index, 4)) == best_list(sp.bm25_top(questions, dataclasses.replace(index, blocks=None), 4))
+
+
+def test_blocks_take_one_shuffle_and_small_tasks(spark, tmp_path, monkeypatch):
+    """Postings move once, whatever the vocabulary; a term's parts are dealt over tasks."""
+    from folioquery.operators import blocks
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "PARTS_A_TASK", 1)
+    docs, _ = random_corpus(spark, 500, 1)
+    index = sp.build_index(docs).write(str(tmp_path / "index"))
+    made = blocks.blocked(index.postings, index.terms, index.made["shards"], 9.0, 1.5, 0.75)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
+    common = max(index.terms.collect(), key=lambda r: r["df"])["term"]
+    assert made.where(F.col("term") == common).select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_blocks_go_on_over_batches(size):
+    """Whatever batches the sorted postings come in, a block is one row."""
+    from folioquery.operators import blocks
+    rows = [(t % 2, f"t{t:02}", level, part, 1000 * t + i, float(i)) for t in (2, 4, 1, 3) for level in (0, 1) for part in (0, 1) for i in range(t)]
+    rows.sort(key=lambda r: r[:4])
+    names = ["shard", "term", "level", "part", "doc_id", "impact"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[a:a + size]]) for a in range(0, len(rows), size)]
+    got = [r for b in blocks._grouped(iter(batches)) for r in b.to_pylist()]
+    assert [(r["shard"], r["term"], r["level"], r["part"], e["doc_id"], e["impact"]) for r in got for e in r["entries"]] == rows
+    assert len(got) == len({r[:4] for r in rows}) and all(r["top"] == max(e["impact"] for e in r["entries"]) for r in got)
+
+
+def test_terms_are_counted_some_documents_at_a_time(monkeypatch):
+    """A batch of many tokens is counted in pieces; no document is cut."""
+    monkeypatch.setattr(sp, "TOKENS_AT_ONCE", 5, raising=False)
+    tokens = [["a", "b", "a"], [], ["b"] * 12, None, ["c", "a", "c", "c"], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(tokens, pa.list_(pa.string()))], names=["doc_id", "tokens"])
+    out = list(sp._count_terms(iter([batch])))
+    assert len(out) > 1
+    got = sorted((r["doc_id"], r["term"], r["tf"], r["dl"]) for b in out for r in b.to_pylist())
+    assert got == [(0, "a", 2, 3), (0, "b", 1, 3), (2, "b", 12, 12), (4, "a", 1, 4), (4, "c", 3, 4), (5, "a", 1, 1)]
