@@ -78,11 +78,11 @@ def blocked(postings: DataFrame, terms: DataFrame, shards: int, avgdl: float, k1
     each = postings.join(common, "term", "left").select("term", level.alias("level"), part.alias("part"), "doc_id", "tf", "dl")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings.count() // POSTINGS_A_TASK))  # counted from the files' footers
     id_type = postings.schema["doc_id"].dataType.simpleString()
-    order = ["shard", "term", "level", "part"]
+    order = ["term", "level", "part"]  # what is written is sorted by shard, which leaves this order within
     return (each.repartition(tasks, shard, F.floor(F.col("part") / PARTS_A_TASK)).withColumn("shard", shard)
-            .sortWithinPartitions(*order).select(*order, "doc_id", worth.alias("impact"))
+            .sortWithinPartitions(*order).select("shard", *order, "doc_id", worth.alias("impact"))
             .mapInArrow(_grouped, "shard int, term string, level int, part int, top double, "
-                                  f"entries array<struct<doc_id:{id_type},impact:double>>").sortWithinPartitions(*order))
+                                  f"entries array<struct<doc_id:{id_type},impact:double>>"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
