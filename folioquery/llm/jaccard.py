@@ -17,6 +17,8 @@ difference of the sets). What is left is united from the likeliest pair on, so
 a group of near copies yields a spanning forest and not all its pairs; these
 pairs are verified on the whole sets, then every remaining pair that passes the
 cuts and whose ends are still apart is verified too. So components are exact.
+Whole sets are built for the classes of pairs to verify only; all others are
+known by size and sketch.
 Sets are told apart by 64-bit hashes.
 
 Defined results: lower case for A-Z only; texts of fewer words than a shingle
@@ -48,6 +50,7 @@ CHECK = 0.1          # and the cost of comparing two sketches, in index rows
 SKETCH_BITS = 512, 4096  # least and most; beyond, sketches of long texts cut less
 TEXTS_AT_ONCE = 500
 WANTED_KEYS = 4_000_000  # keys of larger buckets that are sent to the tasks, 8 bytes each
+GOING = 2_000_000    # documents known by id and text that are broadcast, 16 bytes each
 BLOCK = 1024         # members of a bucket that meet in one task
 PAIRS_AT_ONCE = 1 << 18
 
@@ -226,7 +229,10 @@ def index_rows(docs: DataFrame, plan: dict, width: int, percent: int) -> DataFra
 
 
 def document_rows(docs: DataFrame, plan: dict, width: int, percent: int, wanted: np.ndarray | None) -> DataFrame:
-    """Document rows (doc_id, _t, n, cls), _t a hash of the text, and in the same pass index rows (bucket, cls) of the wanted buckets."""
+    """Document rows (doc_id, _t, n, cls, sketch), _t a hash of the text, and in the same pass index rows (bucket, cls) of the wanted buckets.
+
+    Of equal sets met together one row has the sketch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,30 +240,35 @@ def document_rows(docs: DataFrame, plan: dict, width: int, percent: int, wanted:
         for batch in batches:
             seen: set = set()
             for part, texts in _texts(batch):
-                sizes, classes, keys, owners = [], [], [np.empty(0, np.int64)], []
+                sizes, classes, sketches, keys, owners = [], [], [], [np.empty(0, np.int64)], []
                 for text in texts:
                     elements = shingle_set(text, width)
                     sizes.append(len(elements))
                     classes.append(set_class(elements))
-                    if wanted is not None and len(wanted) and len(elements) and classes[-1] not in seen:
+                    new = len(elements) > 0 and classes[-1] not in seen
+                    sketches.append(sketch(elements, percent) if new else None)
+                    if new:
                         seen.add(classes[-1])
+                    if new and wanted is not None and len(wanted):
                         found = index_keys(elements, plan, percent).view(np.int64)
                         found = found[wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found]
                         keys.append(found)
                         owners.append((classes[-1], len(found)))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "_t": part["_t"].array, "n": sizes, "cls": classes,
-                                    "bucket": pd.array([pd.NA] * len(part), "Int64")})
+                                    "sketch": sketches, "bucket": pd.array([pd.NA] * len(part), "Int64")})
                 if sum(n for _, n in owners):
                     bucket = pd.array(np.concatenate(keys), "Int64")
                     none = pd.array(np.zeros(len(bucket), np.int64), "Int64")
                     none[:] = pd.NA
-                    yield pd.DataFrame({"doc_id": none, "_t": 0, "n": 0, "cls": np.repeat(*np.array(owners, np.int64).T), "bucket": bucket})
+                    yield pd.DataFrame({"doc_id": none, "_t": 0, "n": 0, "cls": np.repeat(*np.array(owners, np.int64).T),
+                                        "sketch": None, "bucket": bucket})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInPandas(run, "doc_id long, _t long, n long, cls long, bucket long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInPandas(
+        run, "doc_id long, _t long, n long, cls long, sketch binary, bucket long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    """(cls, n, elements, sketch) of the wanted classes, from one document (doc_id) of each.
+def class_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, elements) of the wanted classes, from one document (doc_id) of each.
 
     Classes that only rows without an id hold are found among those rows' distinct texts.
     """
@@ -266,10 +277,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, percent: int) ->
         for batch in batches:
             for _, texts in _texts(batch):
                 sets = [shingle_set(t, width) for t in texts]
-                yield pd.DataFrame({"cls": [set_class(s) for s in sets], "n": [len(s) for s in sets],
-                                    "elements": [s.tobytes() for s in sets], "sketch": [sketch(s, percent) for s in sets]})
+                yield pd.DataFrame({"cls": [set_class(s) for s in sets], "elements": [s.tobytes() for s in sets]})
 
-    columns = "cls long, n long, elements binary, sketch binary"
+    columns = "cls long, elements binary"
     picked = pick_rows(docs.select("doc_id", "text"), wanted.where("doc_id IS NOT NULL").select("doc_id"), "doc_id")
     without = docs.where("doc_id IS NULL").select("doc_id", "text").dropDuplicates(["text"]).mapInPandas(run, columns)
     asked = wanted.where("doc_id IS NULL").select("cls")
@@ -389,25 +399,33 @@ def grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     few = fits_broadcast(large, WANTED_KEYS)
     wanted = np.sort(large.select("bucket").toPandas()["bucket"].to_numpy(np.int64)) if few else None
     rows = materialize(document_rows(docs, plan, width, percent, wanted), "jaccard-documents")
-    texts = rows.where("bucket IS NULL").select("doc_id", "_t", "n", "cls")
+    texts = rows.where("bucket IS NULL").select("doc_id", "_t", "n", "cls", "sketch")
     of_large = rows.where("bucket IS NOT NULL").select("bucket", "cls") if few else index
     many = of_large.join(measured(large), "bucket").groupBy("bucket", "cls").agg(F.max("_blocks").alias("_blocks"))
     members = materialize(two.unionAll(many), "jaccard-members")
     first = texts.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(members.select("cls").distinct(), "cls", "left_semi")
-    sets = materialize(class_sets(docs, wanted, width, percent), "jaccard-sets")
+    sketches = materialize(texts.where("sketch IS NOT NULL").select("cls", "n", "sketch")
+                           .join(members.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sketches")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by the whole sets of their classes, which are few of all."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        wanted = materialize(first.join(ends, "cls", "left_semi"), "jaccard-wanted")
+        sets = materialize(class_sets(docs, wanted, width), "jaccard-sets")
+        return materialize(verified(pairs, sets, percent), "jaccard-links")
+
 
     block = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
     units = members.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     units = units.select("bucket", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "cls")
-    sketched = units.join(sets.select("cls", "n", "sketch"), "cls")
+    sketched = units.join(sketches, "cls")
 
     likely = materialize(candidates(sketched.withColumn("component", F.col("cls")), percent, True), "jaccard-forest")
-    links = materialize(verified(likely, sets, percent), "jaccard-links")
-    nodes = sets.select(F.col("cls").alias("id")).distinct()
+    links = linked(likely)
+    nodes = sketches.select(F.col("cls").alias("id"))
     groups = materialize(components(nodes, links, "jaccard"), "jaccard-groups").withColumnRenamed("id", "cls")
     rest = candidates(sketched.join(groups, "cls"), percent, False).join(likely, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, percent), "jaccard-links")
+    more = linked(materialize(rest, "jaccard-rest"))
     groups = components(nodes, links.unionAll(more), "jaccard").withColumnRenamed("id", "cls")
 
     named = first.join(groups, "cls", "left").withColumn("_g", F.coalesce("component", "cls"))
@@ -432,17 +450,23 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     alike = rows.groupBy("doc_id", "_t").agg(F.min("_g").alias("_g"), F.count("*").alias("_c"))
     low = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_t")
     best = alike.where("_g IS NOT NULL").groupBy("_g").agg(F.min_by(F.struct("doc_id", "_t", "_c"), low).alias("_best"))
-    kept = materialize(best.select("_best.*").select("doc_id", "_t", (F.col("_c") > 1).alias("_many"))
-                       .unionAll(alike.where("_g IS NULL").select("doc_id", "_t", F.lit(False))), "jaccard-kept")
+    best = best.select("_g", F.col("_best.doc_id").alias("_id"), F.col("_best._t").alias("_h"))
+    stays = F.col("_g").isNull() | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
+    many = F.col("_g").isNotNull() & (F.col("_c") > 1)
+    alike = materialize(alike.join(best, "_g", "left").select("doc_id", "_t", stays.alias("_stays"), many.alias("_many")), "jaccard-alike")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
 
-    def met(which: str) -> DataFrame:
-        return packed.join(kept.where(which), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_t")), "left_semi")
+    def met(which: DataFrame, how: str) -> DataFrame:
+        return packed.join(which, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("_t")), how)
 
-    once = met("NOT _many").select("_doc.*")
-    if kept.where("_many").isEmpty():
+    # Those that go are few as a rule; while they can be broadcast, no text is shuffled.
+    go = alike.where("NOT _stays OR _many").select("doc_id", "_t")
+    once = met(F.broadcast(go), "left_anti") if fits_broadcast(go, GOING) else met(alike.where("_stays AND NOT _many"), "left_semi")
+    many = alike.where("_stays AND _many").select("doc_id", "_t")
+    once = once.select("_doc.*")
+    if many.isEmpty():
         return once
-    return once.unionAll(met("_many").groupBy("_id", "_h").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*"))
+    return once.unionAll(met(measured(many), "left_semi").groupBy("_id", "_h").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     by_key = copies.groupBy("_i", "_s", "_n").agg(F.count("*").alias("_c"), F.max("_copies").alias("_copies"))
-    once = sized.join(by_key.where("_c = 1 AND _copies > 0"), same).select("_doc", times.alias("_time")).select("_doc.*")
+    single = materialize(by_key.where("_c = 1 AND _copies > 0").drop("_c"), "mix-single")
+    once = sized.join(measured(single), same).select("_doc", times.alias("_time")).select("_doc.*")
     repeated = materialize(by_key.where("_c > 1 AND _copies > 0").select("_i", "_s", "_n"), "mix-repeated")
     if repeated.isEmpty():
         return once

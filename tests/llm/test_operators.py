@@ -205,6 +205,45 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert [m for m in kept if m in (6, 7)] == [7] and [m for m in kept if m > 9] == [10, 11, 12, 13] and len(kept) == 8
 
 
+def test_jaccard_builds_whole_sets_for_pairs_only(spark, monkeypatch):
+    """Texts that share most shingles and do not link are told apart by sketches; no text is shuffled to keep one of each."""
+    from folioquery.llm import jaccard
+    common = " ".join(f"c{i}" for i in range(240))
+    rows = [(k, common + " " + " ".join(f"d{k}x{i}" for i in range(80))) for k in range(120)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(10)]
+    df, built = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    write = jaccard.materialize
+
+    def noted(table, name):
+        out = write(table, name)
+        built.extend([out.count()] if name == "jaccard-sets" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = jaccard.one_of_each(df)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in one.collect()) == list(range(120))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 20 <= sum(built) < 60, built
+    assert "hashpartitioning" not in plan
+
+
+def test_mixed_documents_do_not_shuffle_texts(spark):
+    from folioquery.llm import mixing
+    df = spark.createDataFrame([(k, "word " * (k % 7 + 1), "ab"[k % 2]) for k in range(200)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mixed_documents(df)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert mixed.count() > 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan
+
+
 def test_jaccard_odd_rows(docs, empty):
     from folioquery.llm import jaccard
     assert jaccard.jaccard_groups(docs).count() == docs.count()
