@@ -252,6 +252,22 @@ def test_jaccard_odd_rows(docs, empty):
     assert jaccard.jaccard_groups(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def test_context_counts_are_shuffled_once_unless_hot(spark, monkeypatch):
+    """A part's task sums and answers; parts that many chunks ask go in steps, with the same scores."""
+    from folioquery.llm import context_mixing as lm
+    keys = np.unique(np.random.default_rng(5).integers(0, 2**64, 1000, dtype=np.uint64))
+    assert (lm._from_steps(lm._ascending(keys)) == keys).all() and len(lm._from_steps(lm._ascending(keys[:0]))) == 0
+    df = spark.createDataFrame([(k, PROSE * (k % 3 + 1) + f"word{k % 11}") for k in range(60)], "doc_id long, text string").repartition(6)
+    names, write = [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda table, name: names.append(name) or write(table, name))
+    once = {r.doc_id: r.score for r in lm.score_documents(df).collect()}
+    assert "lm-contexts" not in names
+    monkeypatch.setattr(lm, "leaves", lambda code, real=lm.leaves: real(code)._replace(parts=3))
+    monkeypatch.setattr(lm, "PAIRS", 8)
+    steps = {r.doc_id: r.score for r in lm.score_documents(df).collect()}
+    assert "lm-contexts" in names and steps == pytest.approx(once, abs=1e-9)
+
+
 # --- 8 ------------------------------------------------------------------------
 
 def test_vector_dups(spark):
