@@ -11,7 +11,7 @@ from folioquery.catalog.retrieval import questions
 from folioquery.operators.memory import turns_from_messages
 from folioquery.plans.ask import answer
 from folioquery.providers import offline
-from folioquery.session import new_table_path
+from folioquery.session import materialize, new_table_path
 from folioquery.streaming.keyed import keyed_memory, keyed_pairs, remembered
 from folioquery.streaming.sessions import session_stream
 from folioquery.streaming.logs import answer_stream, last_carry, memory_stream, pair_stream
@@ -74,7 +74,7 @@ def stream_keyed_pairing(spark, sf):
     """A log per user, in three parts by time."""
     out = new_table_path(spark, "keyed-pairs")
     users = table(spark, sf, "events").select("event_id", "user_id")
-    lines = log_lines(spark, sf).join(users, "event_id")
+    lines = materialize(log_lines(spark, sf).join(users, "event_id"), "keyed-lines")  # the cuts and every part read them
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = lines.select(F.percentile_approx(at, [1 / 3, 2 / 3]).alias("c")).first()["c"]
     part = F.when(at < cuts[0], 0).when(at < cuts[1], 1).otherwise(2)

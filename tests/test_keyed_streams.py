@@ -91,3 +91,42 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     feed(spark, f"{out}/in", schema, [[("a", 1, "x", "y")]], lambda s: keyed_memory(s, f"{out}/kept", f"{out}/cp"))
     keyed_memory(spark.readStream.schema(schema).parquet(f"{out}/in"), f"{out}/kept", f"{out}/cp").awaitTermination()
     assert spark.read.parquet(f"{out}/kept").count() == 1 and remembered(spark, f"{out}/cp").count() == 1
+
+
+def test_pairing_asks_the_state_no_more_than_needed():
+    """Every call on the state is a round trip: one to read, one to change what changed."""
+    import pandas as pd
+
+    from folioquery.streaming.keyed import Pairing
+
+    class Value:
+        def __init__(self, value):
+            self.value, self.calls = value, []
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+    for before, marks, calls, after, pairs in [
+            (("HIGH", 0), [(None, 7.5)], ["get", "clear"], None, [("HIGH", 7.5)]),
+            (None, [("LOW", None), (None, 2.0)], ["get"], None, [("LOW", 2.0)]),
+            (None, [(None, 2.0)], ["get"], None, []),
+            (("LOW", 0), [("LOW", None)], ["get"], ("LOW", 0), []),
+            (None, [("HIGH", None)], ["get", "update"], ("HIGH", 0), [])]:
+        pairing = Pairing(["n"], None)
+        pairing.waiting = Value(before)
+        frame = pd.DataFrame([(n, n, *m) for n, m in enumerate(marks)], columns=["n", "place", "risk", "total"])
+        found = [tuple(r) for f in pairing.handleInputRows(("a",), iter([frame]), None) for r in f[["risk", "total"]].itertuples(index=False)]
+        assert (pairing.waiting.calls, pairing.waiting.value, found) == (calls, after, pairs)
