@@ -92,38 +92,36 @@ def targets(sizes: DataFrame) -> DataFrame:
 def expected_copies(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     """Adds ``_e``: expected copies, so that a source's expected words meet its target.
 
-    c is solved per source by rounds: documents over the limit are held there
-    and c is raised for the rest, until no source changes.
+    Documents over the limit are held there and c is raised for the rest. With all sizes
+    above t held, c follows from sums along the sizes; the largest t that stays within the limit
+    is the border. A source's sizes stand in one window: k sizes that differ are
+    k * k / 2 words at least, so they grow with the root of the input.
     """
     x = F.pow(F.col("size").cast("double"), F.lit(POWER))
-    rated = by_source(sizes.where("size > 0"), goals)
-    scale = goals.select("source", F.lit(0.0).alias("_c"))
-    before = None
-    while True:
-        at = by_source(rated, scale).withColumn("_held", x * F.col("_c") > MAX_COPIES)
-        sums = materialize(at.groupBy("source").agg(
-            F.max("target").alias("target"), F.max("_c").alias("_old"), F.count(F.when(F.col("_held"), 1)).alias("_n"),
-            F.sum(F.when(F.col("_held"), MAX_COPIES * F.col("size")).otherwise(0)).alias("_capped"),
-            F.sum(F.when(~F.col("_held"), x * F.col("size")).otherwise(0.0)).alias("_free")), "mix-scale")
-        now = sums.agg(F.sum("_n")).first()[0]
-        if now == before or now is None:
-            break
-        before = now
-        scale = sums.select("source", F.when(F.col("_free") > 0, (F.col("target") - F.col("_capped")) / F.col("_free"))
-                            .otherwise(F.col("_old")).alias("_c"))
-    return by_source(rated, scale).withColumn("_e", F.least(x * F.col("_c"), F.lit(float(MAX_COPIES)))).drop("_c")
-
-
-def pareto_prefix(candidates: DataFrame, room: DataFrame) -> DataFrame:
-    """The rows (_k, source, size) of the order's prefix within each source's ``_room`` words."""
+    some = sizes.where("size > 0")
+    rated = by_source(some.groupBy("source", "size").agg(F.count("*").alias("_n")), goals)
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    c = (F.col("target") - F.coalesce(F.sum(MAX_COPIES * F.col("size") * F.col("_n")).over(larger), F.lit(0))) \
+        / F.sum(x * F.col("size") * F.col("_n")).over(up_to)
+    within = x * F.col("_c") <= MAX_COPIES
+    scale = (rated.withColumn("_c", c).groupBy("source").agg(F.max_by("_c", F.when(within, F.col("size"))).alias("_c"))
+             .withColumnRenamed("source", "_src2"))
+    scaled = materialize(goals.join(scale, F.col("source").eqNullSafe(F.col("_src2"))).drop("_src2"), "mix-scale")
+    held = F.lit(float(MAX_COPIES))
+    return by_source(some, scaled).withColumn("_e", F.coalesce(F.least(x * F.col("_c"), held), held)).drop("_c")
+
+
+def pareto_prefix(candidates: DataFrame) -> DataFrame:
+    """The rows (_k, source, size) of the order's prefix within each source's words, ``_room``."""
     v = F.col("_q") / (1 + F.col("_q"))
     placed = candidates.withColumn("_b", F.least(F.floor(v * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    sums = placed.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
+    sums = placed.groupBy("source", "_b").agg(F.sum("size").alias("_s"), F.max("_room").alias("_room"))
     along = Window.partitionBy("source").orderBy("_b")  # at most BUCKETS rows a source
-    run = by_source(sums.withColumn("_run", F.sum("_s").over(along)), room)
-    border = run.groupBy("source").agg(
-        F.max("_room").alias("_room"), F.min(F.when(F.col("_run") > F.col("_room"), F.col("_b"))).alias("_edge"),
-        F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))).alias("_before"))
+    run = sums.withColumn("_run", F.sum("_s").over(along))
+    border = materialize(run.groupBy("source").agg(
+        F.min(F.when(F.col("_run") > F.col("_room"), F.col("_b"))).alias("_edge"),
+        F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))).alias("_before")), "mix-border")
     at = by_source(placed, border)
     whole = at.where("_edge IS NULL OR _b < _edge")
     inside = Window.partitionBy("source").orderBy("_q", "doc_id", "_row", "_k").rowsBetween(Window.unboundedPreceding, 0)
@@ -147,7 +145,7 @@ def mix(sizes: DataFrame) -> DataFrame:
     taken = None
     for _ in range(FILLS):
         left = open_ if taken is None else open_.join(taken.select("_k"), "_k", "left_anti")
-        new = materialize(pareto_prefix(by_source(left, room).where("size <= _room").drop("_room"), room), "mix-taken")
+        new = materialize(pareto_prefix(by_source(left, room).where("size <= _room")), "mix-taken")
         more = new.groupBy("source").agg(F.sum("size").alias("_add")).withColumnRenamed("source", "_src2")
         taken = new if taken is None else taken.unionAll(new)
         room = materialize(room.join(more, F.col("source").eqNullSafe(F.col("_src2")), "left")

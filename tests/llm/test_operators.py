@@ -371,6 +371,30 @@ def test_mixed_words_are_what_the_mix_takes(spark, monkeypatch):
     assert max(Counter(r.mark for r in mixed.collect() if r.mark >= 0).values()) <= 2
 
 
+def test_copies_are_solved_without_rounds(spark, monkeypatch):
+    from folioquery.llm import mixing
+    rng, written = np.random.default_rng(8), []
+    put = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: written.append(name) or put(df, name))
+    sizes = {"a": [int(x) for x in rng.pareto(0.7, 400) * 20], "b": [3, 3, 0, 3], None: [int(x) for x in rng.pareto(1.1, 300) * 9], "c": [1, 10, 100, 1000]}
+    share = {"a": 1.4, "b": 2.0, None: 0.6, "c": 1.9}
+    df = spark.createDataFrame([(i, s, n) for s, ns in sizes.items() for i, n in enumerate(ns)], "doc_id long, source string, size long")
+    goals = spark.createDataFrame([(s, sum(ns), sum(ns) * share[s]) for s, ns in sizes.items()], "source string, source_size long, target double")
+    got = {(r.source, r.doc_id): r._e for r in mixing.expected_copies(df, goals).collect()}
+    assert set(got) == {(s, i) for s, ns in sizes.items() for i, n in enumerate(ns) if n}
+    for s, ns in sizes.items():
+        held, c = set(), 0.0
+        while True:  # hold what is above the limit, raise c for the rest
+            free = [n for n in ns if n and n not in held]
+            c = (share[s] * sum(ns) - sum(2 * n for n in ns if n in held)) / sum(n ** 1.5 for n in free) if free else c
+            over = {n for n in ns if n ** 0.5 * c > 2}
+            if over == held:
+                break
+            held = over
+        assert all(math.isclose(got[s, i], 2.0 if n in held else n ** 0.5 * c, rel_tol=1e-9) for i, n in enumerate(ns) if n)
+    assert len(written) == 1  # however many times sizes are held
+
+
 def test_mixing_odd_rows(docs, empty):
     from folioquery.llm import mixing
     mixed = mixing.mixed_documents(docs)
