@@ -658,6 +658,20 @@ def test_language_model_tells_all_contexts_apart(spark):
     assert len(got) == len(texts) and got == want
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    from folioquery.llm import context_mixing as cm
+    from folioquery.session import FREE_SHUFFLES, materialize
+    blocks = lambda: {str(b) for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(",") if b}
+    df = spark.createDataFrame([(i, f"w{i % 7} x{i}") for i in range(500)], "doc_id long, text string")
+    chunks = materialize(cm.chunk_documents(df), "lm-chunks")
+    words = chunks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    before, mode = blocks(), spark.conf.get(FREE_SHUFFLES, "false")
+    assert materialize(words, "lm-words", free=True).count() == 508
+    new = blocks() - before
+    assert len(new) <= 1  # the count's own
+    assert spark.conf.get(FREE_SHUFFLES, "false") == mode
+
+
 def test_code_is_a_probability():
     from folioquery.llm import context_mixing as cm
     offsets, nodes, bits, _ = cm.huffman(np.array([5, 1, 9, 3, 3]))
