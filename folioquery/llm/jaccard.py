@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery.llm.common import components, measured, read, whole_groups
 from folioquery.operators.joins import fits_broadcast, pick_rows
-from folioquery.session import materialize
+from folioquery.session import freed_shuffles, materialize
 
 WORDS = 3            # of a shingle
 PERCENT = 90         # 100 * intersection >= PERCENT * union links
 SHARED = 0.2         # cost model: chance that an element is shared with another document of the band
 CHECK = 0.1          # and the cost of comparing two sketches, in index rows
-SKETCH_BITS = 512, 4096  # least and most; beyond, sketches of long texts cut less
+SKETCH_BITS = 128, 4096  # least and most; beyond, sketches of long texts cut less
 TEXTS_AT_ONCE = 500
 WANTED_KEYS = 4_000_000  # keys of larger buckets that are sent to the tasks, 8 bytes each
 GOING = 2_000_000    # documents known by id and text that are broadcast, 16 bytes each
@@ -169,7 +169,7 @@ def sketch(elements: np.ndarray, percent: int = PERCENT) -> bytes:
     Its two halves, added, are the sketch with half the places.
     """
     bits = SKETCH_BITS[0]
-    while bits < SKETCH_BITS[1] and bits < 8 * allowed(2 * len(elements), percent):
+    while bits < SKETCH_BITS[1] and bits < 4 * allowed(2 * len(elements), percent):
         bits *= 2
     counts = np.bincount((mix(elements ^ _MUL[2]) & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).tobytes()
@@ -306,9 +306,9 @@ def _bucket_pairs(frame: pd.DataFrame):
 
 
 def _survivors(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Distinct pairs (a < b) of classes, of different components, that sizes and sketches allow."""
+    """Distinct pairs (a < b) of classes, of different components, that sizes and sketches allow, with a bucket where they meet."""
     sketches = _Sketches(frame["sketch"].tolist())
-    n, cls, comp = frame["n"].to_numpy(), frame["cls"].to_numpy(), frame["component"].to_numpy()
+    n, cls, comp, bucket = (frame[c].to_numpy() for c in ("n", "cls", "component", "bucket"))
     out = []
     for x, y in _bucket_pairs(frame):
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
@@ -318,8 +318,8 @@ def _survivors(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
         fit = away <= allowed(n[x] + n[y], percent)
         x, y = x[fit], y[fit]
         out.append(pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y]),
-                                 "away": away[fit] * 1000 // np.maximum(n[x] + n[y], 1)}))
-    return pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "away": []})
+                                 "away": away[fit] * 1000 // np.maximum(n[x] + n[y], 1), "bucket": bucket[x]}))
+    return pd.concat(out, ignore_index=True).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": [], "b": [], "away": [], "bucket": []})
 
 
 def _forest(pairs: pd.DataFrame, component: dict) -> pd.DataFrame:
@@ -344,17 +344,20 @@ def _forest(pairs: pd.DataFrame, component: dict) -> pd.DataFrame:
 
 
 def candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) to verify among (bucket, i, j, block, cls, n, sketch, component)."""
+    """Pairs (a, b) to verify among (bucket, i, j, block, cls, n, sketch, component); of a forest also the buckets with pairs that it leaves out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, ["bucket", "i", "j"]):
             pairs = _survivors(frame, percent)
-            if forest and len(pairs):
-                pairs = _forest(pairs, dict(zip(frame["cls"].tolist(), frame["component"].tolist())))
-            yield pairs[["a", "b"]].astype("int64")
+            kept = _forest(pairs, dict(zip(frame["cls"].tolist(), frame["component"].tolist()))) if forest and len(pairs) else pairs
+            yield kept[["a", "b"]].astype("Int64").assign(bucket=pd.array([pd.NA] * len(kept), "Int64"))
+            if len(kept) < len(pairs):
+                out = pd.array(pairs["bucket"].drop(kept.index).unique(), "Int64")
+                none = pd.array([pd.NA] * len(out), "Int64")
+                yield pd.DataFrame({"a": none, "b": none, "bucket": out})
 
     keys = ["bucket", "i", "j"]
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long, bucket long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -379,6 +382,11 @@ def grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     _t: hash of the text; _g: the group; _low: its smallest id. A text without words has neither group nor smallest id.
     """
+    with freed_shuffles(docs.sparkSession):  # the index is the largest, and may be shuffled twice
+        return _grouped_rows(docs, width, percent)
+
+
+def _grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     about = docs.select(F.expr(r"greatest(1, regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+') - 2)").alias("n"))
     limits = bands(percent)
     counted = about.select(F.floor(F.log(F.col("n").cast("double")) * 64).alias("g")).groupBy("g").agg(F.count("*").alias("c")).collect()  # a few hundred rows at most: sizes on a log scale
@@ -415,16 +423,19 @@ def grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return materialize(verified(pairs, sets, percent), "jaccard-links")
 
 
-    block = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
-    units = members.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    units = units.select("bucket", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "cls")
-    sketched = units.join(sketches, "cls")
+    def units(members: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
+        each = members.withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        return each.select("bucket", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "cls").join(sketches, "cls")
 
-    likely = materialize(candidates(sketched.withColumn("component", F.col("cls")), percent, True), "jaccard-forest")
+    met = materialize(candidates(units(members).withColumn("component", F.col("cls")), percent, True), "jaccard-forest")
+    likely = met.where("a IS NOT NULL").select("a", "b")
     links = linked(likely)
     nodes = sketches.select(F.col("cls").alias("id"))
     groups = materialize(components(nodes, links, "jaccard"), "jaccard-groups").withColumnRenamed("id", "cls")
-    rest = candidates(sketched.join(groups, "cls"), percent, False).join(likely, ["a", "b"], "left_anti")
+    # Where the forest has all pairs of a bucket, they are verified; members of the other buckets meet once more.
+    again = members.join(measured(met.where("bucket IS NOT NULL").select("bucket").distinct()), "bucket", "left_semi")
+    rest = candidates(units(again).join(groups, "cls"), percent, False).select("a", "b").join(likely, ["a", "b"], "left_anti")
     more = linked(materialize(rest, "jaccard-rest"))
     groups = components(nodes, links.unionAll(more), "jaccard").withColumnRenamed("id", "cls")
 
