@@ -32,3 +32,16 @@ def test_shuffles_of_near_duplicates_are_freed(spark, monkeypatch, keys):
     groups = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs, 3, 80).collect()}
     assert groups == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
     assert set(freed) == {"true"} and spark.conf.get(FREE_SHUFFLES, "false") == before
+
+
+def test_tables_that_nothing_reads_any_more_go(spark):
+    """Of the tables of context mixing the one that is scored stays."""
+    import os
+
+    from folioquery.llm import context_mixing as lm
+    from folioquery.session import work_dir
+    folder = work_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame([(k, f"some words of text {k % 7} and word{k % 3}") for k in range(40)], "doc_id long, text string").repartition(3)
+    assert lm.score_documents(df).count() == 40
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"lm-found", "lm-parts"}
